@@ -1,0 +1,19 @@
+"""Broadcast only what has been measured."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_BROADCAST_BYTES = 64 << 20
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast when the rows, as JSON, take at most ``max_bytes``.
+
+    One aggregate over ``df`` measures it; a larger side is returned without a hint and the
+    join shuffles. Meant for configuration tables, which are cheap to read twice.
+    """
+    row = F.octet_length(F.to_json(F.struct(*df.columns))).cast("long")
+    size = df.agg(F.coalesce(F.sum(row), F.lit(0)).alias("bytes")).first()["bytes"]
+    return F.broadcast(df) if size <= max_bytes else df
