@@ -1 +1,8 @@
 """auditlake: audit captured language-model traffic with Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# The few helpers that run inside tasks travel with the job, so executors need no install.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

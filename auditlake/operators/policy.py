@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from auditlake.functions.text import KNOWN_ROUTES
-from auditlake.plans.small import broadcast_if_small
+from auditlake.plans.lookup import lookup
+from auditlake.plans.segmented import running
 
 # The lattice of decisions, and the defaults of an unset policy field.
 RANK = {"allow": 0, "monitor": 1, "redact": 2, "block": 3}
@@ -71,16 +71,15 @@ def policy_resolve(traffic: DataFrame, policies: DataFrame, direction: Column |
     """Adds struct ``policy``: tenant+route, tenant+*, global+route, global+*, built-in default.
 
     The global scope is one value of at most ten policies, read as a scalar subquery; the
-    tenant side is broadcast if its measured size allows and shuffled otherwise.
+    tenant side is broadcast if its measured size allows and salted otherwise.
     """
     direction = F.col("direction") if direction is None else direction
     scopes = _by_scope(policy_defaults(policies))
     tenant = scopes.filter(F.col("scope").startswith("tenant:")).select(
         F.expr("substring(scope, 8)").alias("tenant_id"), F.col("m").alias("__tenant")
     )
-    tenant = broadcast_if_small(tenant)
     everyone = scopes.filter(F.col("scope") == "global").agg(F.first("m")).scalar()
-    joined = traffic.join(tenant, "tenant_id", "left").withColumn("__global", everyone)
+    joined = lookup(traffic, tenant, ["tenant_id"], F.col("request_id")).withColumn("__global", everyone)
     exact, any_route = F.concat_ws("|", "path", direction), F.concat_ws("|", F.lit("*"), direction)
     # Unknown paths only match '*', as no policy can name them.
     found = F.coalesce(
@@ -186,10 +185,12 @@ def policy_coverage(rule_sets: DataFrame, policies: DataFrame) -> DataFrame:
     return rules.join(scoped, "k").drop("k").withColumn("covered", ok)
 
 
-def policy_timeline(changes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def policy_timeline(changes: DataFrame, keys: list[str], order: list[str], bucket: Column) -> DataFrame:
     """Revision number of each change of a policy (1, 2, ...), in change order."""
-    w = W.partitionBy(*keys).orderBy(*order)
-    return changes.withColumn("revision", F.row_number().over(w).cast("bigint"))
+    return running(
+        changes.withColumn("__bucket", bucket), keys, "__bucket", order,
+        sums={"revision": F.lit(1).cast("bigint")},
+    ).drop("__bucket")
 
 
 def snapshot_hash(table: DataFrame, columns: list[str]) -> DataFrame:

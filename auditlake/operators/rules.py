@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditlake.functions import regex
-from auditlake.plans.small import broadcast_if_small
+from auditlake.plans.lookup import lookup
 from auditlake.schemas import RULE
 
 # Up to this many keywords each get a literal ``contains``; beyond it one shared-prefix
@@ -214,15 +214,15 @@ def effective_rule_set(traffic: DataFrame, sets: DataFrame, *columns: str) -> Da
     """Attach ``columns`` of the tenant's own set, or of the global one, to each text.
 
     ``sets`` has one row per scope. The global set is one value, read as a scalar subquery;
-    the tenant side is broadcast if its measured size allows and shuffled otherwise.
+    the tenant side is broadcast if its measured size allows and salted otherwise.
     """
     wanted = F.struct(*columns)
     tenant = sets.filter(F.col("scope").startswith("tenant:")).select(
         F.expr("substring(scope, 8)").alias("tenant_id"), wanted.alias("__tenant_set")
     )
-    tenant = broadcast_if_small(tenant)
     everyone = sets.filter(F.col("scope") == "global").agg(F.max_by(wanted, F.col("version"))).scalar()
-    joined = traffic.join(tenant, "tenant_id", "left").withColumn("__global_set", everyone)
+    joined = lookup(traffic, tenant, ["tenant_id"], F.col("request_id"))
+    joined = joined.withColumn("__global_set", everyone)
     chosen = F.coalesce("__tenant_set", "__global_set")
     return joined.select(*traffic.columns, *[chosen[c].alias(c) for c in columns])
 
@@ -296,13 +296,13 @@ def _or_default(value: Column, default: str) -> Column:
     return F.when(F.coalesce(value, F.lit("")) == "", default).otherwise(value)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def pattern_problem(patterns: pd.Series) -> pd.Series:
     """Why a pattern is refused (null when it is fine); checked batch by batch."""
     return patterns.map(lambda p: None if p is None else regex.problem(p))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def java_patterns(patterns: pd.Series, is_regex: pd.Series) -> pd.Series:
     """Java spelling of the regular expressions of one set (null for keywords)."""
     return pd.Series(

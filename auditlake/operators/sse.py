@@ -15,6 +15,7 @@ from auditlake.functions.text import WHITESPACE, as_text, json_valid, with_norma
 from auditlake.operators import events as ev
 from auditlake.operators import policy as pol
 from auditlake.operators import rules as rul
+from auditlake.plans.lookup import salted_lookup
 from auditlake.plans.segmented import running
 
 WINDOW_BYTES = 16 << 10
@@ -294,21 +295,12 @@ def stream_cut(audited: DataFrame, oversize: DataFrame | None = None) -> DataFra
     )
 
 
-SALTS = 32
-
-
-def before_cut(rows: DataFrame, cuts: DataFrame, include_trigger: bool, salt: Column) -> DataFrame:
+def before_cut(rows: DataFrame, cuts: DataFrame, include_trigger: bool) -> DataFrame:
     """Rows up to each stream's cut (events before it; fragments up to the trigger).
 
-    The cut side holds one row per ended stream; it is repeated per salt so that one long
-    stream's rows spread over many tasks.
+    The cut side has one row per ended stream; one long stream's rows spread over tasks.
     """
-    salted = rows.withColumn("__salt", F.pmod(salt, F.lit(SALTS)))
-    copies = cuts.select(
-        "request_id", "cut_seq", "cut_frag", "code",
-        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"),
-    )
-    joined = salted.join(copies, ["request_id", "__salt"], "left").drop("__salt")
+    joined = salted_lookup(rows, cuts, ["request_id"], F.col("seq"))
     inside = F.col("seq") < F.col("cut_seq")
     if include_trigger:
         inside = inside | ((F.col("seq") == F.col("cut_seq")) & (F.col("frag") <= F.col("cut_frag")))
@@ -317,7 +309,7 @@ def before_cut(rows: DataFrame, cuts: DataFrame, include_trigger: bool, salt: Co
 
 def stream_events(audited: DataFrame, cuts: DataFrame) -> DataFrame:
     """Redacted audit events of the fragments that were audited before each stream ended."""
-    kept = before_cut(audited, cuts, True, F.col("seq"))
+    kept = before_cut(audited, cuts, True)
     trigger = (F.col("seq") == F.col("cut_seq")) & (F.col("frag") == F.col("cut_frag"))
     metadata = F.create_map(F.lit("sse"), F.lit("true"), F.lit("sse_channel"), F.col("channel"))
     reason = F.create_map(F.lit("stream_termination_reason"), F.col("code"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +11,10 @@ from auditlake.schemas import POLICY_FIELDS
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One driver table; zone-less times are read as UTC instants."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    times = {c: F.col(c).cast("timestamp") for c, kind in rows.dtypes if kind == "timestamp_ntz"}
+    return rows.withColumns(times) if times else rows
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -48,7 +52,11 @@ POLICIES = [
 
 
 def policies(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(POLICIES, POLICY_FIELDS)
+    """The policies above as a local table, whose size Spark knows while it plans."""
+    columns = list(zip(*POLICIES))
+    names = [field.split()[0] for field in POLICY_FIELDS.split(", ")]
+    local = spark.createDataFrame(pa.table(dict(zip(names, columns))))
+    return local.select(*[F.col(f.split()[0]).cast(f.split()[1]) for f in POLICY_FIELDS.split(", ")])
 
 
 def json_string(text: Column) -> Column:
@@ -142,3 +150,31 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("1").alias("version"),
         F.lit("").alias("error"),
     )
+
+
+# ---- audit log of calls, from events: k is the number in props
+
+EVENT_ROUTE = {
+    "click": "/v1/chat/completions", "view": "/v1/completions", "purchase": "/v1/embeddings",
+    "signup": "/v1/responses",
+}
+
+
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("int")
+    path = F
+    for name, target in EVENT_ROUTE.items():
+        path = path.when(F.col("event_type") == name, target)
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id"),
+        F.col("ts").alias("event_time"),
+        F.concat(F.lit("u"), "user_id").alias("tenant_id"),
+        F.col("event_type"),
+        path.otherwise("/v1/errors").alias("path"),
+        F.when(F.col("event_id") % 3 == 0, "response").otherwise("request").alias("direction"),
+        F.when(k < 70, "allow").when(k < 85, "monitor").when(k < 95, "redact").otherwise("block").alias("decision"),
+        F.when(k < 80, 200).when(k < 90, 403).otherwise(429).alias("status"),
+        (F.col("value") / 100).alias("seconds"),
+        k.alias("k"),
+        F.col("user_id"),
+    )
