@@ -88,6 +88,15 @@ def _repeat(token: str) -> str:
     return token
 
 
+def has_boundary(pattern: str) -> bool:
+    return ASCII_BOUNDARY in to_java(pattern) or ASCII_NOT_BOUNDARY in to_java(pattern)
+
+
+def without_boundaries(pattern: str) -> str:
+    """Java spelling with word boundaries left out: matches at least what the pattern does."""
+    return to_java(pattern).replace(ASCII_BOUNDARY, "(?:)").replace(ASCII_NOT_BOUNDARY, "(?:)")
+
+
 def to_java(pattern: str) -> str:
     """Java spelling of ``pattern``; raises PatternError when there is none."""
     out, depth, inside, repeatable, class_empty = [], 0, False, False, False
@@ -177,6 +186,35 @@ def problem(pattern: str) -> str | None:
     return None
 
 
+def required_literal(pattern: str) -> str:
+    """A text every match contains ('' if none is evident): a cheap test before the pattern.
+
+    Only plain characters outside groups count, and none after an alternation or a flag.
+    """
+    best, run, depth, inside = "", "", 0, False
+    for piece in _PIECE.finditer(pattern):
+        kind, token = piece.lastgroup, piece.group()
+        if inside:
+            inside = token != "]" and not (kind == "cls" and token.endswith("]"))
+            continue
+        if token == "|" or (kind == "group" and "i" in token):
+            return ""
+        plain = kind == "char" and depth == 0 and token not in ".^$()[]"
+        if kind == "esc" and depth == 0 and not token[1].isalnum():
+            plain, token = True, token[1]
+        if plain:
+            run += token
+            continue
+        if kind == "rep":
+            # The repeated character may be missing or repeated, so it ends the run.
+            run = run[:-1] if not token.startswith("+") else run
+        best, run = max(best, run, key=len), ""
+        inside = kind == "cls"
+        depth += token == "(" or (kind == "group" and not token.endswith(")"))
+        depth -= token == ")"
+    return max(best, run, key=len)
+
+
 def keyword_trie(keywords) -> str:
     """One pattern that finds the longest keyword at a position, sharing common prefixes."""
     root: dict = {}

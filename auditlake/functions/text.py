@@ -13,14 +13,16 @@ from pyspark.sql import functions as F
 KNOWN_ROUTES = ["/v1/chat/completions", "/v1/completions", "/v1/embeddings", "/v1/responses"]
 
 # Characters of Unicode White_Space.
-WHITESPACE = (
-    r"[\t-\r \x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+ASCII_SPACES = "\t\n\x0b\x0c\r"
+_OTHER_SPACES = (
+    r"\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 )
+WHITESPACE = rf"[ \t-\r{_OTHER_SPACES}]"
 
 # Characters that are never altered by NFKC, alone or next to each other (tests check every
 # one of them). Text made only of these skips the normaliser.
 NFKC_STABLE = (
-    r"\x{00}-\x{7F}\x{A1}-\x{A7}\x{A9}\x{AB}-\x{AE}\x{B0}\x{B1}\x{B6}\x{B7}\x{BB}\x{BF}-\x{131}"
+    r"\x{A1}-\x{A7}\x{A9}\x{AB}-\x{AE}\x{B0}\x{B1}\x{B6}\x{B7}\x{BB}\x{BF}-\x{131}"
     r"\x{134}-\x{13E}\x{141}-\x{148}\x{14A}-\x{17E}\x{180}-\x{1C3}\x{1CD}-\x{1F0}"
     r"\x{391}-\x{3A1}\x{3A3}-\x{3CE}\x{400}-\x{482}\x{48A}-\x{52F}"
     r"\x{5D0}-\x{5EA}\x{621}-\x{63A}\x{641}-\x{64A}"
@@ -66,20 +68,31 @@ def json_text(body: Column) -> Column:
     return F.when(json_valid(text), json_strings(text)).otherwise(text)
 
 
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
 def nfkc(text: Column) -> Column:
     composed = F.reflect(
         F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True)
     )
-    return F.when(text.rlike(f"[^{NFKC_STABLE}]"), composed).otherwise(text)
+    # ASCII runs and stable runs are skipped whole; the wide class sees other characters only.
+    stable = text.rlike(rf"\A(?:[\x00-\x7F]++|[{NFKC_STABLE}]++)*+\z")
+    return F.when(is_ascii(text) | stable, text).otherwise(composed)
 
 
 def collapse_ws(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, WHITESPACE + "+", " "))
+    """Plain byte searches first; a regular expression only where it has work to do."""
+    plain = F.when(is_ascii(text), text).otherwise(F.regexp_replace(text, f"[{_OTHER_SPACES}]", " "))
+    for char in ASCII_SPACES:
+        plain = F.replace(plain, F.lit(char), F.lit(" "))
+    return F.trim(F.regexp_replace(plain, " {2,}", " "))
 
 
 def fold_case(text: Column) -> Column:
     """Lower-case rune by rune (no final sigma, no two-character dotted i)."""
-    return F.lower(F.translate(text, "İΣ", "iσ"))
+    special = text.contains("İ") | text.contains("Σ")
+    return F.lower(F.when(special, F.translate(text, "İΣ", "iσ")).otherwise(text))
 
 
 def normalize_plain(text: Column) -> Column:
@@ -103,7 +116,8 @@ def with_normal_text(df: DataFrame, body: str = "body", out: str = "text") -> Da
         .withColumn(f"{step}_json", json_valid(text))
         .withColumn(step, F.when(valid, json_strings(text)).otherwise(text))
         .withColumn(step, nfkc(text))
-        .withColumn(out, fold_case(collapse_ws(text)))
+        .withColumn(step, collapse_ws(text))
+        .withColumn(out, fold_case(text))
         .drop(step, f"{step}_json")
     )
 

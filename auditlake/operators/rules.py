@@ -99,13 +99,23 @@ def _json(value) -> str:
     return json.dumps(value, ensure_ascii=False)
 
 
+def pattern_hit(text: Column, pattern: str) -> Column:
+    """Unanchored match, after cheaper tests that every matching text passes."""
+    hit = text.rlike(regex.to_java(pattern))
+    if regex.has_boundary(pattern):
+        # Word boundaries are costly to try at every position.
+        hit = text.rlike(regex.without_boundaries(pattern)) & hit
+    literal = regex.required_literal(pattern)
+    return text.contains(F.lit(literal)) & hit if literal else hit
+
+
 def pattern_hits(text: Column, patterns: Sequence[str]) -> Column:
     """array<string> of the given patterns that match ``text`` anywhere."""
     unique = sorted(set(patterns))
     if not unique:
         return F.array().cast("array<string>")
     return F.array_compact(
-        F.array(*[F.when(text.rlike(regex.to_java(p)), F.lit(p)) for p in unique])
+        F.array(*[F.when(pattern_hit(text, p), F.lit(p)) for p in unique])
     )
 
 
@@ -134,7 +144,7 @@ def match_list(text: Column, rules: Sequence[Rule]) -> Column:
     for position, rule in enumerate(rules):
         pos = F.lit(position)
         if rule.regex:
-            hit = text.rlike(regex.to_java(rule.pattern))
+            hit = pattern_hit(text, rule.pattern)
             key = _sort_key(F.lit(1), F.lit(0), F.lit(0), pos)
         else:
             word = fold_keyword(rule.pattern)
@@ -175,7 +185,7 @@ def _match_many(text: Column, rules: Sequence[Rule]) -> Column:
     )
     by_pattern = [
         F.when(
-            text.rlike(regex.to_java(r.pattern)),
+            pattern_hit(text, r.pattern),
             F.struct(*_sort_key(F.lit(1), F.lit(0), F.lit(0), F.lit(p)), _struct(r).alias("m")),
         )
         for p, r in enumerate(rules)

@@ -22,3 +22,10 @@ def sse_source(spark: SparkSession, path: str, glob: str = "*.sse") -> DataFrame
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
     name = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
     return files.select(name.alias("request_id"), F.col("content").alias("body"))
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Use every core on an input with fewer splits than cores; otherwise no shuffle is added."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    splits = rows._jdf.queryExecution().toRdd().getNumPartitions()
+    return rows if splits >= cores else rows.repartition(cores, *keys)

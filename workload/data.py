@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from auditlake.operators.rules import Rule
 from auditlake.schemas import POLICY_FIELDS
+from auditlake.sources.traffic import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return rows.withColumns(times) if times else rows
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Runtime settings the results depend on."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -90,7 +95,7 @@ def wrapped_body(model: Column, text: Column, shape: Column) -> Column:
 
 
 def traffic(spark: SparkSession, sf_dir: str, wrap: bool = False) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     body = F.col("text")
     if wrap:
         body = wrapped_body(F.concat(F.lit("m-"), F.col("lang")), body, F.col("doc_id") % 4)
@@ -108,7 +113,7 @@ def traffic(spark: SparkSession, sf_dir: str, wrap: bool = False) -> DataFrame:
 
 def conversation_traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both directions: assistant turns are responses, the others requests."""
-    turns = table(spark, sf_dir, "conversations")
+    turns = spread(table(spark, sf_dir, "conversations"), "conv_id", "turn")
     return turns.select(
         F.concat_ws("-", "conv_id", "turn").alias("request_id"),
         F.concat(F.lit("c"), F.col("conv_id") % 20).alias("tenant_id"),
@@ -122,7 +127,7 @@ def conversation_traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
+    pages = spread(table(spark, sf_dir, "pages"), "page_id")
     return pages.select(
         F.col("page_id").cast("string").alias("request_id"),
         F.concat(F.lit("src"), F.col("page_id") % 5).alias("tenant_id"),

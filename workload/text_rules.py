@@ -161,7 +161,7 @@ texts AS (SELECT doc_id, {sql.normal("text")} AS text FROM documents)
 SELECT doc_id, count(word) AS n, string_agg(lower(word), '|' ORDER BY encode(lower(word))) AS words
 FROM texts LEFT JOIN k ON contains(text, lower(word)) GROUP BY doc_id""")
 def keyword_match(spark, sf):
-    docs = tx.with_normal_text(table(spark, sf, "documents"), "text", "t").select("doc_id", "t")
+    docs = tx.with_normal_text(data.documents(spark, sf), "text", "t").select("doc_id", "t")
     found = rul.keyword_hits(F.col("t"), [rul.fold_keyword(w) for w in KEYWORDS])
     return docs.select("doc_id", F.array_sort(found).alias("w")).select(
         "doc_id", F.size("w").cast("bigint").alias("n"),
@@ -178,7 +178,7 @@ PATTERNS = [r"[a-z0-9.]+@[a-z0-9.]+", 'token = "[0-9a-f]{40}"', r"\b[0-9]{16}\b"
 SELECT doc_id, string_agg(pos::varchar, ',' ORDER BY pos) AS hits
 FROM texts LEFT JOIN p ON regexp_matches(text, pattern) GROUP BY doc_id""")
 def regex_match(spark, sf):
-    docs = tx.with_normal_text(table(spark, sf, "documents"), "text", "t").select("doc_id", "t")
+    docs = tx.with_normal_text(data.documents(spark, sf), "text", "t").select("doc_id", "t")
     found = rul.pattern_hits(F.col("t"), PATTERNS)
     position = F.transform(found, lambda p: F.array_position(F.array(*[F.lit(x) for x in PATTERNS]), p) - 1)
     return docs.select("doc_id", F.array_join(F.array_sort(position), ",").alias("h")).select(
@@ -230,7 +230,7 @@ def many_rules(n: int = 1000) -> list[rul.Rule]:
 h AS (SELECT doc_id, least(sum(weight), 100) AS score, count(*) AS n FROM texts JOIN rules ON contains(text, pattern) GROUP BY doc_id)
 SELECT t.doc_id, coalesce(score, 0)::int AS risk_score, coalesce(n, 0) AS n FROM texts t LEFT JOIN h USING (doc_id)""")
 def rule_set_1000(spark, sf):
-    docs = tx.with_normal_text(table(spark, sf, "documents"), "text", "t").select("doc_id", "t")
+    docs = tx.with_normal_text(data.documents(spark, sf), "text", "t").select("doc_id", "t")
     found = docs.withColumn("m", rul.match_list(F.col("t"), many_rules())).drop("t")
     return found.select("doc_id", rul.risk_score(F.col("m")).alias("risk_score"), F.size("m").cast("bigint").alias("n"))
 
