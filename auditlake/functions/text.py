@@ -81,12 +81,21 @@ def nfkc(text: Column) -> Column:
     return F.when(is_ascii(text) | stable, text).otherwise(composed)
 
 
-def collapse_ws(text: Column) -> Column:
-    """Plain byte searches first; a regular expression only where it has work to do."""
+def plain_spaces(text: Column) -> Column:
+    """Every white-space character as a plain space, by byte searches where the text is ASCII."""
     plain = F.when(is_ascii(text), text).otherwise(F.regexp_replace(text, f"[{_OTHER_SPACES}]", " "))
     for char in ASCII_SPACES:
         plain = F.replace(plain, F.lit(char), F.lit(" "))
-    return F.trim(F.regexp_replace(plain, " {2,}", " "))
+    return plain
+
+
+def squeeze(text: Column) -> Column:
+    """Runs of plain spaces as one, none at the ends."""
+    return F.trim(F.when(text.contains("  "), F.regexp_replace(text, " {2,}", " ")).otherwise(text))
+
+
+def collapse_ws(text: Column) -> Column:
+    return squeeze(plain_spaces(text))
 
 
 def fold_case(text: Column) -> Column:
@@ -116,7 +125,8 @@ def with_normal_text(df: DataFrame, body: str = "body", out: str = "text") -> Da
         .withColumn(f"{step}_json", json_valid(text))
         .withColumn(step, F.when(valid, json_strings(text)).otherwise(text))
         .withColumn(step, nfkc(text))
-        .withColumn(step, collapse_ws(text))
+        .withColumn(step, plain_spaces(text))
+        .withColumn(step, squeeze(text))
         .withColumn(out, fold_case(text))
         .drop(step, f"{step}_json")
     )
