@@ -18,6 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return rows.withColumns(times) if times else rows
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One driver table as a stream of files."""
+    path = f"{sf_dir}/{name}.parquet"
+    # A pattern, as a file stream takes a plain path for a folder.
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+    times = {c: F.col(c).cast("timestamp") for c, kind in rows.dtypes if kind == "timestamp_ntz"}
+    return rows.withColumns(times) if times else rows
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents"), "doc_id")
 
@@ -98,7 +107,11 @@ def wrapped_body(model: Column, text: Column, shape: Column) -> Column:
 
 
 def traffic(spark: SparkSession, sf_dir: str, wrap: bool = False) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    return traffic_of(documents(spark, sf_dir), wrap)
+
+
+def traffic_of(docs: DataFrame, wrap: bool = False) -> DataFrame:
+    """Requests from a batch or streaming frame of documents."""
     body = F.col("text")
     if wrap:
         body = wrapped_body(F.concat(F.lit("m-"), F.col("lang")), body, F.col("doc_id") % 4)
@@ -169,11 +182,16 @@ EVENT_ROUTE = {
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calls_of(table(spark, sf_dir, "events"))
+
+
+def calls_of(events: DataFrame) -> DataFrame:
+    """Call log from a batch or streaming frame of events."""
     k = F.get_json_object("props", "$.k").cast("int")
     path = F
     for name, target in EVENT_ROUTE.items():
         path = path.when(F.col("event_type") == name, target)
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id"),
         F.col("ts").alias("event_time"),
         F.concat(F.lit("u"), "user_id").alias("tenant_id"),

@@ -35,7 +35,13 @@ SMALL_EVENT = 100
 
 
 def transcripts(spark, sf):
-    turns = data.spread(data.table(spark, sf, "conversations"), "conv_id", "turn").filter("role = 'assistant'")
+    turns = data.spread(data.table(spark, sf, "conversations"), "conv_id", "turn")
+    return transcripts_of(turns).drop("event_time")
+
+
+def transcripts_of(turns):
+    """Transcripts of a batch or streaming frame of conversation turns."""
+    turns = turns.filter("role = 'assistant'")
     shape = F.col("conv_id") % 3
     count = F.ceil(F.length("text") / STEP).cast("int")
 
@@ -56,6 +62,7 @@ def transcripts(spark, sf):
         F.concat(F.lit("c"), F.col("conv_id") % 20).alias("tenant_id"),
         F.lit("/v1/chat/completions").alias("path"),
         F.concat(events, F.lit("data: [DONE]\n\n")).cast("binary").alias("body"),
+        F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 60 + F.col("turn")).alias("event_time"),
     )
 
 
