@@ -78,7 +78,7 @@ def nfkc(text: Column) -> Column:
     )
     # ASCII runs and stable runs are skipped whole; the wide class sees other characters only.
     stable = text.rlike(rf"\A(?:[\x00-\x7F]++|[{NFKC_STABLE}]++)*+\z")
-    return F.when(is_ascii(text) | stable, text).otherwise(composed)
+    return F.when(~(is_ascii(text) | stable), composed).otherwise(text)
 
 
 def plain_spaces(text: Column) -> Column:

@@ -66,29 +66,31 @@ def sse_data(events: DataFrame) -> DataFrame:
     return events.withColumn("data", data).withColumn("done", done)
 
 
-def _kind(value: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
-
-
 def _at(value: Column, path: str) -> Column:
     return F.try_variant_get(value, path, "variant")
 
 
-def _is(value: Column, *kinds: str) -> Column:
+def _empty(value: Column) -> Column:
     """Absent and null fields count as empty, not as a wrong type."""
-    kind = _kind(value)
-    test = kind == "VOID"
-    for name in kinds:
-        test = test | (kind.startswith(name) if name in ("OBJECT", "ARRAY") else kind == name)
-    return test
+    return value.isNull() | F.is_variant_null(value)
+
+
+def _is_leaf(value: Column, kind: str) -> Column:
+    return _empty(value) | (F.schema_of_variant(value) == kind)
+
+
+def _is_object(value: Column) -> Column:
+    return _empty(value) | F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
 
 
 def _text(value: Column) -> Column:
     return F.coalesce(F.try_variant_get(value, "$", "string"), F.lit(""))
 
 
-def _items(value: Column) -> Column:
-    return F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array().cast("array<variant>"))
+def _array(value: Column) -> Column:
+    """Elements; no elements for an empty field, null for a wrong type."""
+    none = F.array().cast("array<variant>")
+    return F.when(_empty(value), none).otherwise(F.try_variant_get(value, "$", "array<variant>"))
 
 
 def _index(value: Column, position: Column) -> Column:
@@ -99,69 +101,67 @@ def _fragment(channel: Column, text: Column) -> Column:
     return F.struct(channel.alias("channel"), text.alias("text"))
 
 
-def _choice_ok(choice: Column) -> Column:
-    delta, tools = _at(choice, "$.delta"), _at(choice, "$.delta.tool_calls")
-    call = _at(choice, "$.delta.function_call")
-    return (
-        _is(choice, "OBJECT") & _is(_at(choice, "$.index"), "BIGINT") & _is(_at(choice, "$.text"), "STRING")
-        & _is(delta, "OBJECT") & _is(_at(choice, "$.delta.content"), "STRING")
-        & _is(call, "OBJECT") & _is(_at(choice, "$.delta.function_call.arguments"), "STRING")
-        & _is(tools, "ARRAY")
-        & F.forall(
-            _items(tools),
-            lambda t: _is(t, "OBJECT") & _is(_at(t, "$.index"), "BIGINT")
-            & _is(_at(t, "$.function"), "OBJECT") & _is(_at(t, "$.function.arguments"), "STRING"),
-        )
+def _tool_call(tool: Column) -> Column:
+    ok = _is_object(tool) & _is_object(_at(tool, "$.function"))
+    return F.struct(
+        ok.alias("ok"), _at(tool, "$.index").alias("index"), _at(tool, "$.function.arguments").alias("text")
+    )
+
+
+def _choice(choice: Column) -> Column:
+    ok = (
+        _is_object(choice) & _is_object(_at(choice, "$.delta")) & _is_object(_at(choice, "$.delta.function_call"))
+    )
+    return F.struct(
+        ok.alias("ok"), _at(choice, "$.index").alias("index"), _at(choice, "$.text").alias("text"),
+        _at(choice, "$.delta.content").alias("content"),
+        _at(choice, "$.delta.function_call.arguments").alias("call"),
+        F.transform(_array(_at(choice, "$.delta.tool_calls")), _tool_call).alias("tools"),
     )
 
 
-def _chat_fragments(doc: Column) -> Column:
-    choices = _at(doc, "$.choices")
+def _choice_ok(c: Column) -> Column:
+    leaves = _is_leaf(c["index"], "BIGINT")
+    for name in ("text", "content", "call"):
+        leaves = leaves & _is_leaf(c[name], "STRING")
+    tools = F.forall(
+        c["tools"], lambda t: t["ok"] & _is_leaf(t["index"], "BIGINT") & _is_leaf(t["text"], "STRING")
+    )
+    return c["ok"] & leaves & F.coalesce(tools, F.lit(False))
 
-    def of_choice(choice: Column, position: Column) -> Column:
-        n = _index(_at(choice, "$.index"), position)
-        chat = F.concat(F.lit("chat:choice:"), n)
-        tools = F.transform(
-            _items(_at(choice, "$.delta.tool_calls")),
-            lambda t, i: _fragment(
-                F.concat(chat, F.lit(":tool:"), _index(_at(t, "$.index"), i), F.lit(":arguments")),
-                _text(_at(t, "$.function.arguments")),
-            ),
-        )
-        return F.concat(
-            F.array(
-                _fragment(F.concat(chat, F.lit(":content")), _text(_at(choice, "$.delta.content"))),
-                _fragment(
-                    F.concat(chat, F.lit(":function_call:arguments")),
-                    _text(_at(choice, "$.delta.function_call.arguments")),
-                ),
-            ),
-            tools,
-            F.array(_fragment(F.concat(F.lit("completion:choice:"), n, F.lit(":text")),
-                              _text(_at(choice, "$.text")))),
-        )
 
-    items = _items(choices)
-    # One field of the wrong type voids the whole event.
-    ok = _is(choices, "ARRAY") & F.forall(items, _choice_ok)
-    found = F.filter(F.flatten(F.transform(items, of_choice)), lambda f: f["text"] != "")
-    return F.when(ok, found)
+def _choice_fragments(c: Column, position: Column) -> Column:
+    n = _index(c["index"], position)
+    chat = F.concat(F.lit("chat:choice:"), n)
+    tools = F.transform(
+        c["tools"],
+        lambda t, i: _fragment(
+            F.concat(chat, F.lit(":tool:"), _index(t["index"], i), F.lit(":arguments")), _text(t["text"])
+        ),
+    )
+    return F.concat(
+        F.array(
+            _fragment(F.concat(chat, F.lit(":content")), _text(c["content"])),
+            _fragment(F.concat(chat, F.lit(":function_call:arguments")), _text(c["call"])),
+        ),
+        tools,
+        F.array(_fragment(F.concat(F.lit("completion:choice:"), n, F.lit(":text")), _text(c["text"]))),
+    )
 
 
-def _response_fragments(doc: Column) -> Column:
-    kind, delta = _text(_at(doc, "$.type")), _text(_at(doc, "$.delta"))
+_TOP = ["type", "item_id", "delta", "output_index", "content_index", "summary_index", "choices"]
 
-    def index(name: str) -> Column:
-        return _index(_at(doc, f"$.{name}"), F.lit("unknown"))
 
-    item = _text(_at(doc, "$.item_id"))
+def _response_fragments(top: Column) -> Column:
+    kind, delta, item = _text(top["type"]), _text(top["delta"]), _text(top["item_id"])
+    unknown = F.lit("unknown")
     head = F.concat(
         F.lit("responses:"), kind, F.lit(":item:"), F.when(item == "", "unknown").otherwise(item),
-        F.lit(":output:"), index("output_index"),
+        F.lit(":output:"), _index(top["output_index"], unknown),
     )
     channel = F
     for name, suffix in RESPONSE_TYPES.items():
-        tail = F.concat(F.lit(f":{suffix}:"), index(f"{suffix}_index")) if suffix else F.lit("")
+        tail = F.concat(F.lit(f":{suffix}:"), _index(top[f"{suffix}_index"], unknown)) if suffix else F.lit("")
         channel = channel.when(kind == name, F.concat(head, tail))
     known = kind.isin(list(RESPONSE_TYPES)) & (delta != "")
     return F.when(known, F.array(_fragment(channel.otherwise(""), delta)))
@@ -171,24 +171,31 @@ def extract_fragments(events: DataFrame) -> DataFrame:
     """Adds ``fragments``: array<struct<channel,text>> of one event, in reading order.
 
     A non-empty ``type`` switches to the responses format; otherwise chat and legacy
-    completion choices are read.
+    completion choices are read. One field of the wrong type voids the whole event. Every
+    step is a projection of its own, so that each JSON path is read once.
     """
-    text = as_text(F.col("data"))
+    text, top, choices = F.col("__text"), F.col("__top"), F.col("__choices")
     json = F.when(~F.col("done") & text.rlike(r"^[ \t\r\n]*\{") & json_valid(text), F.try_parse_json(text))
-    doc = F.col("__doc")
-    top_ok = _is(doc, "OBJECT")
+    ok = top["type"].isNotNull() | top["choices"].isNotNull()
     for name in ("type", "item_id", "delta"):
-        top_ok = top_ok & _is(_at(doc, f"$.{name}"), "STRING")
+        ok = ok & _is_leaf(top[name], "STRING")
     for name in ("output_index", "content_index", "summary_index"):
-        top_ok = top_ok & _is(_at(doc, f"$.{name}"), "BIGINT")
-    is_response = _text(_at(doc, "$.type")) != ""
-    found = F.when(
-        doc.isNotNull() & top_ok, F.when(is_response, _response_fragments(doc)).otherwise(_chat_fragments(doc))
+        ok = ok & _is_leaf(top[name], "BIGINT")
+    is_response = _text(top["type"]) != ""
+    chat = F.when(
+        F.forall(choices, _choice_ok),
+        F.filter(F.flatten(F.transform(choices, _choice_fragments)), lambda f: f["text"] != ""),
     )
+    found = F.when(ok, F.when(is_response, _response_fragments(top)).otherwise(chat))
     empty = F.array().cast("array<struct<channel:string,text:string>>")
-    return events.withColumn("__doc", json).withColumn(
-        "fragments", F.coalesce(found, empty)
-    ).drop("__doc")
+    return (
+        events.withColumn("__text", as_text(F.col("data")))
+        .withColumn("__doc", json)
+        .withColumn("__top", F.struct(*[_at(F.col("__doc"), f"$.{n}").alias(n) for n in _TOP]))
+        .withColumn("__choices", F.transform(_array(top["choices"]), _choice))
+        .withColumn("fragments", F.coalesce(found, empty))
+        .drop("__text", "__doc", "__top", "__choices")
+    )
 
 
 def sse_fragments(events: DataFrame) -> DataFrame:

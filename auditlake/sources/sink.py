@@ -19,6 +19,17 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/auditlake/{name}-{uuid.uuid4().hex}"
 
 
+def materialize(rows: DataFrame, name: str) -> DataFrame:
+    """Rows written once to the shared folder and read back.
+
+    For results with several readers whose computation costs more than the write. The files
+    outlive any executor; the folder is the cluster's to clean up.
+    """
+    path = shared_dir(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
@@ -41,8 +52,8 @@ def audit_sink(batch: DataFrame, path: str) -> None:
         rows = new_events(rows, ids)
     else:
         rows = rows.dropDuplicates(["event_id"])
-    # Hash by day and id, so that a busy day is written by many tasks.
-    spread = rows.repartition("event_date", F.pmod(F.xxhash64("event_id"), F.lit(8)))
+    # Partitions of even size, so that a busy day is written by many tasks and a quiet one by few.
+    spread = rows.hint("rebalance", "event_date")
     spread.sortWithinPartitions("event_date", "tenant_id").write.mode("append").partitionBy("event_date").parquet(path)
 
 

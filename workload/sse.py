@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from auditlake.operators import sse
 from auditlake.operators.rules import Rule
+from auditlake.sources.sink import materialize
 from workload import data, sql
 
 QUERIES, ORACLE = {}, {}
@@ -137,12 +138,14 @@ windows AS (SELECT c.request_id, c.channel, c.seq, c.delta,
 
 @query("channel_window", f"WITH {BASE}, {WINDOWS_SQL} SELECT request_id, channel, seq, hex FROM windows")
 def channel_window(spark, sf):
-    found = sse.channel_window(fragments(spark, sf), ["request_id"], SMALL_WINDOW)
+    found = sse.channel_window(materialize(fragments(spark, sf), "fragments"), ["request_id"], SMALL_WINDOW)
     return found.select("request_id", "channel", "seq", F.hex("window").alias("hex"))
 
 
 def audited(spark, sf):
-    return sse.fragment_audit(fragments(spark, sf), SSE_RULES, data.policies(spark), rule_version="sse-1")
+    # Offsets and windows both read the fragments, a fraction of the transcripts' size.
+    parsed = materialize(fragments(spark, sf), "fragments")
+    return sse.fragment_audit(parsed, SSE_RULES, data.policies(spark), rule_version="sse-1")
 
 
 # No channel of these tables is longer than the default window, so a window is the whole
@@ -173,7 +176,7 @@ def stream_audit(spark, sf):
 SELECT d.request_id, d.seq, d.decision, d.seq = c.cut_seq AS ended FROM decided d LEFT JOIN cuts c USING (request_id)
 WHERE c.cut_seq IS NULL OR d.seq <= c.cut_seq""")
 def stream_cut(spark, sf):
-    rows = audited(spark, sf)
+    rows = materialize(audited(spark, sf).select("request_id", "seq", "frag", "decision"), "decisions")
     kept = sse.before_cut(rows, sse.stream_cut(rows), True)
     return kept.select("request_id", "seq", "decision", (F.col("seq") == F.col("cut_seq")).alias("ended"))
 
