@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -11,29 +13,94 @@ from pyspark.sql import functions as F
 
 from auditlake.functions.text import endpoint_bucket
 from auditlake.plans.segmented import running
+from auditlake.sources.sink import materialize
 
 RATE, BURST, PERIOD_MS = 60, 120, 1000
-BUCKET_MS = 3_600_000
+CHUNK_MS = 3_600_000
+# Most distinct token levels for which a chunk is summarised for every level it may start at.
+MAX_LEVELS = 50_000
 
 
-def scan_buckets(frames: Iterator[pd.DataFrame], rate: int, burst: int, period_ms: int) -> Iterator[pd.DataFrame]:
-    """Token level before each instant of each session, over rows sorted by session and time.
+def scan_chunks(frames: Iterator[pd.DataFrame], rate: int, burst: int, period_ms: int) -> Iterator[pd.DataFrame]:
+    """Token level before each instant, over rows sorted by key, session, chunk and time.
 
-    Levels are integers in units of 1/period_ms token, so refill is exact. Only the current
-    session's level is kept, so memory does not grow with the length of a session.
+    Levels are integers in units of 1/period_ms token, so refill is exact. A chunk starts
+    from its ``start`` level at time ``prev``, or with a full bucket. One level is kept, so
+    memory does not grow with the length of a chunk.
     """
-    full, key, level, at = burst * period_ms, None, 0, 0
+    full, group, level, at = burst * period_ms, None, 0, 0
     for frame in frames:
         levels = []
-        for k, s, ms, n in zip(frame["key"], frame["session"], frame["ms"], frame["n"]):
-            if (k, s) != key:
-                key, level = (k, s), full
+        columns = (frame[c] for c in ("key", "session", "chunk", "ms", "n", "prev", "start"))
+        for key, session, chunk, ms, n, prev, start in zip(*columns):
+            if (key, session, chunk) != group:
+                group = (key, session, chunk)
+                level = full if start < 0 else min(full, start + (ms - prev) * rate)
             else:
                 level = min(full, level + (ms - at) * rate)
             at = ms
             levels.append(level)
             level -= min(n, level // period_ms) * period_ms
-        yield frame[["key", "ms"]].assign(level=levels)
+        yield frame[["key", "session", "ms", "n"]].assign(level=levels)
+
+
+def chunk_tables(frames: Iterator[pd.DataFrame], rate: int, burst: int, period_ms: int) -> Iterator[pd.DataFrame]:
+    """One row per chunk: its end level for every level it may start from.
+
+    All start levels advance together; those that meet stay together, so only a few are left
+    after the first instants (one once the bucket fills, period/unit under constant overload).
+    """
+    unit, full = math.gcd(rate, period_ms), burst * period_ms
+    group, levels, where, at = None, None, None, 0
+
+    def row():
+        return {"key": group[0], "session": group[1], "chunk": group[2], "ends": levels[where] // unit}
+
+    for frame in frames:
+        done = []
+        columns = (frame[c] for c in ("key", "session", "chunk", "ms", "n", "prev"))
+        for key, session, chunk, ms, n, prev in zip(*columns):
+            if (key, session, chunk) != group:
+                if group is not None:
+                    done.append(row())
+                group, at = (key, session, chunk), prev
+                levels = np.arange(0, full + 1, unit, dtype="int64")
+                where = np.arange(len(levels))
+            levels = np.minimum(full, levels + (ms - at) * rate)
+            levels -= np.minimum(n, levels // period_ms) * period_ms
+            at = ms
+            if len(levels) > 1:
+                levels, inverse = np.unique(levels, return_inverse=True)
+                where = inverse[where]
+        if done:
+            yield pd.DataFrame(done)
+    if group is not None:
+        yield pd.DataFrame([row()])
+
+
+def chunk_starts(frames: Iterator[pd.DataFrame], unit: int) -> Iterator[pd.DataFrame]:
+    """Start level of each chunk, over tables sorted by key, session and chunk.
+
+    The first row of a session holds the single end level of its first chunk.
+    """
+    level = 0
+    for frame in frames:
+        starts = []
+        for ends in frame["ends"]:
+            starts.append(level * unit)
+            level = ends[0] if len(ends) == 1 else ends[level]
+        yield frame[["key", "session", "chunk"]].assign(start=starts)
+
+
+_CHUNK = ["key", "session", "chunk"]
+
+
+def _scan(rows: DataFrame, rate: int, burst: int, period_ms: int) -> DataFrame:
+    ordered = rows.repartition(*_CHUNK).sortWithinPartitions(*_CHUNK, "ms")
+    return ordered.mapInPandas(
+        lambda frames: scan_chunks(frames, rate, burst, period_ms),
+        "key string, session bigint, ms bigint, n bigint, level bigint",
+    )
 
 
 def bucket_levels(calls: DataFrame, rate: int, burst: int, period_ms: int) -> DataFrame:
@@ -41,20 +108,43 @@ def bucket_levels(calls: DataFrame, rate: int, burst: int, period_ms: int) -> Da
 
     Calls of one key and millisecond collapse into one row before anything is shuffled by
     key. A pause long enough to refill the bucket makes what follows independent of what came
-    before, so keys are split into sessions there and sessions spread over tasks.
+    before, so keys are split into sessions there. A session that goes on over several
+    chunks of time is split too: each later chunk is summarised for every level it could
+    start from, the summaries are chained, and all chunks are then scanned side by side.
     """
     instants = calls.groupBy("key", "ms").agg(F.count("*").alias("n"))
-    bucketed = instants.withColumn("__bucket", F.floor(F.col("ms") / BUCKET_MS))
+    chunked = instants.withColumn("chunk", F.floor(F.col("ms") / CHUNK_MS))
     refill_ms = -(-burst * period_ms // rate)
-    gaps = running(bucketed, ["key"], "__bucket", ["ms"], befores={"__prev": F.col("ms")})
-    fresh = F.col("__prev").isNull() | (F.col("ms") - F.col("__prev") >= refill_ms)
-    sessions = running(gaps, ["key"], "__bucket", ["ms"], lasts={"session": F.when(fresh, F.col("ms"))})
-    ordered = sessions.select("key", "session", "ms", "n").repartition("key", "session").sortWithinPartitions(
-        "key", "session", "ms"
-    )
-    return ordered.mapInPandas(
-        lambda frames: scan_buckets(frames, rate, burst, period_ms), "key string, ms bigint, level bigint"
-    )
+    gaps = running(chunked, ["key"], "chunk", ["ms"], befores={"prev": F.col("ms")})
+    fresh = F.col("prev").isNull() | (F.col("ms") - F.col("prev") >= refill_ms)
+    sessions = running(gaps, ["key"], "chunk", ["ms"], lasts={"session": F.when(fresh, F.col("ms"))})
+    rows = sessions.withColumns({"prev": F.coalesce("prev", "ms"), "start": F.lit(-1).cast("bigint")})
+    unit = math.gcd(rate, period_ms)
+    if burst * period_ms // unit >= MAX_LEVELS:
+        # Too many levels to try them all: one task follows each session, row by row.
+        whole = _scan(rows.withColumn("chunk", F.lit(0).cast("bigint")), rate, burst, period_ms)
+        return whole.select("key", "ms", "level")
+    stored = materialize(rows, "instants")
+    later = F.col("chunk") > F.floor(F.col("session") / CHUNK_MS)
+    first, rest = stored.filter(~later), stored.filter(later)
+    levels = _scan(first, rate, burst, period_ms)
+    if not rest.isEmpty():
+        long = rest.select("key", "session").distinct()
+        opening = _scan(first.join(long, ["key", "session"], "left_semi"), rate, burst, period_ms)
+        last = F.max_by(F.struct("level", "n"), "ms")
+        left = F.col("e.level") - F.least(F.col("e.n"), F.floor(F.col("e.level") / period_ms)) * period_ms
+        ends = opening.groupBy("key", "session").agg(last.alias("e")).select(
+            "key", "session", F.lit(-(2**62)).alias("chunk"), F.array((left / unit).cast("bigint")).alias("ends")
+        )
+        tables = rest.repartition(*_CHUNK).sortWithinPartitions(*_CHUNK, "ms").mapInPandas(
+            lambda frames: chunk_tables(frames, rate, burst, period_ms),
+            "key string, session bigint, chunk bigint, ends array<bigint>",
+        )
+        starts = ends.unionByName(tables).repartition("key", "session").sortWithinPartitions(*_CHUNK).mapInPandas(
+            lambda frames: chunk_starts(frames, unit), "key string, session bigint, chunk bigint, start bigint"
+        )
+        levels = levels.unionByName(_scan(rest.drop("start").join(starts, _CHUNK), rate, burst, period_ms))
+    return levels.select("key", "ms", "level")
 
 
 def retry_ms(level: Column, rate: int, period_ms: int) -> Column:
