@@ -264,7 +264,12 @@ def fragment_audit(
 
     ``fragments`` carries request_id, tenant_id and path.
     """
-    windows = channel_window(fragments, ["request_id"], window)
+    return audit_windows(channel_window(fragments, ["request_id"], window), rules, policies, rule_version)
+
+
+def audit_windows(windows: DataFrame, rules: Sequence[rul.Rule], policies: DataFrame,
+                  rule_version: str = "") -> DataFrame:
+    """The projections of ``fragment_audit``, for batch or streaming windows."""
     matched = with_normal_text(windows, "window", "text").drop("window")
     matched = matched.withColumn("matches", rul.match_list(F.col("text"), rules)).drop("text")
     scored = matched.withColumns(

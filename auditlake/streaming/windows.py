@@ -6,13 +6,20 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from auditlake.operators.sse import WINDOW_BYTES
 
 IDLE_MS = 600_000
-OUTPUT = "request_id string, tenant_id string, path string, seq int, frag int, channel string, fragment binary, window binary"
+OUTPUT = "request_id string, tenant_id string, path string, seq int, frag int, channel string, fragment binary, window binary, event_time timestamp"
+
+
+def renew(handle: StatefulProcessorHandle, deadline, at: int) -> None:
+    """Move the one timer of a request, which drops its state when it fires."""
+    if deadline.exists():
+        handle.deleteTimer(deadline.get()[0])
+    deadline.update((at,))
+    handle.registerTimer(at)
 
 
 class ChannelWindows(StatefulProcessor):
@@ -39,16 +46,10 @@ class ChannelWindows(StatefulProcessor):
             tails[channel] = data[-self.window:]
         for channel, tail in tails.items():
             self.tails.updateValue((channel,), (tail,))
-        self._renew(int(frame["event_time"].max().timestamp() * 1000) + IDLE_MS)
-        yield frame[["tenant_id", "path", "seq", "frag", "channel", "fragment"]].assign(
-            request_id=key[0], window=windows
-        )[["request_id", "tenant_id", "path", "seq", "frag", "channel", "fragment", "window"]]
-
-    def _renew(self, at: int) -> None:
-        if self.deadline.exists():
-            self.handle.deleteTimer(self.deadline.get()[0])
-        self.deadline.update((at,))
-        self.handle.registerTimer(at)
+        renew(self.handle, self.deadline, int(frame["event_time"].max().timestamp() * 1000) + IDLE_MS)
+        yield frame.assign(request_id=key[0], window=windows)[
+            ["request_id", "tenant_id", "path", "seq", "frag", "channel", "fragment", "window", "event_time"]
+        ]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.tails.clear()
@@ -74,13 +75,48 @@ def stream_windows(fragments: DataFrame, window: int = WINDOW_BYTES, delay: str
     )
 
 
+CUT_COLUMNS = ["request_id", "seq", "frag", "channel", "risk_score", "decision"]
+CUT = "request_id string, seq int, frag int, channel string, risk_score int, decision string"
+
+
+class FirstBlock(StatefulProcessor):
+    """Per request: passes audited fragments up to and including the first blocked one."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.ended = handle.getValueState("ended", "seq int")
+        self.deadline = handle.getValueState("deadline", "at bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows), ignore_index=True).sort_values(["seq", "frag"], kind="stable")
+        if self.ended.exists():
+            return
+        blocked = (frame["decision"] == "block").to_numpy().nonzero()[0]
+        if len(blocked):
+            renew(self.handle, self.deadline, int(frame["event_time"].max().timestamp() * 1000) + IDLE_MS)
+            frame = frame.iloc[: blocked[0] + 1]
+            self.ended.update((int(frame["seq"].iloc[-1]),))
+        yield frame[CUT_COLUMNS]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.ended.clear()
+        self.deadline.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_until_block(audited: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Audited fragments -> those that were still read before their stream ended."""
+    return audited.select(*CUT_COLUMNS, "event_time").withWatermark("event_time", delay).groupBy(
+        "request_id"
+    ).transformWithStateInPandas(FirstBlock(), outputStructType=CUT, outputMode="Append", timeMode="EventTime")
+
+
 def configure(spark) -> None:
+    """State with timers and maps needs the RocksDB store."""
     spark.conf.set(
         "spark.sql.streaming.stateStore.providerClass",
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     )
-
-
-def last_seen(fragments: DataFrame) -> DataFrame:
-    """Latest event time per request, for spotting abandoned streams."""
-    return fragments.groupBy("request_id").agg(F.max("event_time").alias("last_event_time"))

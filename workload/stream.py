@@ -52,6 +52,25 @@ def stream_windows(spark, sf):
     return drain(found, "windows").select("request_id", "channel", "seq", F.hex("window").alias("hex"))
 
 
+@query("stream_until_block", batch_sse.AUDIT_SQL + f""", {batch_sse.CUTS_SQL}
+SELECT d.request_id, d.seq, d.decision FROM decided d LEFT JOIN cuts c USING (request_id) WHERE c.cut_seq IS NULL OR d.seq <= c.cut_seq""")
+def stream_until_block(spark, sf):
+    source = batch_sse.transcripts_of(data.stream(spark, sf, "conversations"))
+    fragments = sse.sse_fragments(sse.sse_split(source))
+
+    # Windows are kept by one query; the audit and the cut follow in the next one.
+    windowed = windows.stream_windows(fragments)
+    path = shared_dir(spark, "until-block")
+    done = (
+        windowed.writeStream.format("parquet").option("path", f"{path}/windows")
+        .option("checkpointLocation", f"{path}/windows-checkpoint").trigger(availableNow=True).start()
+    )
+    done.awaitTermination()
+    stored = spark.readStream.schema(windowed.schema).parquet(f"{path}/windows")
+    audited = sse.audit_windows(stored, batch_sse.SSE_RULES, data.policies(spark))
+    return drain(windows.stream_until_block(audited), "cut").select("request_id", "seq", "decision")
+
+
 @query("stream_dedup", "SELECT event_id, epoch_us(ts) AS us FROM events")
 def stream_dedup(spark, sf):
     rows = data.stream(spark, sf, "events").select("event_id", F.col("ts").alias("event_time"))
