@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditlake.plans.segmented import running
+
 
 def windowed_decisions(events: DataFrame, width: str, slide: str | None = None,
                        watermark: str | None = None) -> DataFrame:
@@ -17,16 +19,29 @@ def windowed_decisions(events: DataFrame, width: str, slide: str | None = None,
     )
 
 
-def tenant_sessions(events: DataFrame, gap: str, watermark: str | None = None) -> DataFrame:
+def tenant_sessions(events: DataFrame, gap: str, bucket: str = "day") -> DataFrame:
     """Per-tenant sessions: bursts of events separated by at least ``gap``.
 
-    Events of a tenant and second collapse first where the frame is a batch, which keeps a
-    busy tenant's rows few.
+    Events of a tenant and instant collapse first, and the gaps are found per tenant and
+    ``bucket`` of time, so a busy tenant is not one task's work.
     """
-    if watermark:
-        rows = events.withWatermark("event_time", watermark).withColumn("c", F.lit(1))
-    else:
-        rows = events.groupBy("tenant_id", "event_time").agg(F.count("*").alias("c"))
-    return rows.groupBy("tenant_id", F.session_window("event_time", gap).alias("w")).agg(
-        F.sum("c").alias("n")
-    ).select("tenant_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
+    rows = events.groupBy("tenant_id", "event_time").agg(F.count("*").alias("c"))
+    rows = rows.withColumn("__bucket", F.date_trunc(bucket, "event_time"))
+    dated = running(rows, ["tenant_id"], "__bucket", ["event_time"], befores={"prev": F.col("event_time")})
+    length = F.expr(f"INTERVAL {gap}")
+    fresh = F.col("prev").isNull() | (F.col("event_time") >= F.col("prev") + length)
+    started = running(
+        dated, ["tenant_id"], "__bucket", ["event_time"], lasts={"session_start": F.when(fresh, F.col("event_time"))}
+    )
+    return started.groupBy("tenant_id", "session_start").agg(
+        (F.max("event_time") + length).alias("session_end"), F.sum("c").alias("n")
+    )
+
+
+def tenant_session_stream(events: DataFrame, gap: str, watermark: str) -> DataFrame:
+    """The same over a stream; a session is emitted once the watermark has passed it."""
+    window = F.session_window("event_time", gap)
+    counted = events.withWatermark("event_time", watermark).groupBy("tenant_id", window.alias("w")).agg(
+        F.count("*").alias("n")
+    )
+    return counted.select("tenant_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
