@@ -51,7 +51,7 @@ def chunk_tables(frames: Iterator[pd.DataFrame], rate: int, burst: int, period_m
     after the first instants (one once the bucket fills, period/unit under constant overload).
     """
     unit, full = math.gcd(rate, period_ms), burst * period_ms
-    group, levels, where, at = None, None, None, 0
+    group, levels, where, at, steps = None, None, None, 0, 0
 
     def row():
         return {"key": group[0], "session": group[1], "chunk": group[2], "ends": levels[where] // unit}
@@ -63,13 +63,14 @@ def chunk_tables(frames: Iterator[pd.DataFrame], rate: int, burst: int, period_m
             if (key, session, chunk) != group:
                 if group is not None:
                     done.append(row())
-                group, at = (key, session, chunk), prev
+                group, at, steps = (key, session, chunk), prev, 0
                 levels = np.arange(0, full + 1, unit, dtype="int64")
                 where = np.arange(len(levels))
             levels = np.minimum(full, levels + (ms - at) * rate)
             levels -= np.minimum(n, levels // period_ms) * period_ms
-            at = ms
-            if len(levels) > 1:
+            at, steps = ms, steps + 1
+            # Levels that have met are merged, every time while few and now and then while many.
+            if len(levels) > 1 and (len(levels) <= 64 or steps % 32 == 1):
                 levels, inverse = np.unique(levels, return_inverse=True)
                 where = inverse[where]
         if done:

@@ -31,7 +31,8 @@ RESPONSE_TYPES = {
     "response.reasoning_summary_text.delta": "summary",
     "response.function_call_arguments.delta": "",
 }
-# Text of the terminal event.
+# Name and text of the terminal event.
+TERMINAL = "gateway.security_terminated"
 BLOCKED, TOO_LARGE = "stream_policy_blocked", "sse_event_too_large"
 MESSAGES = {
     BLOCKED: "stream response blocked by audit policy",
@@ -359,7 +360,7 @@ def _json_quoted(value: Column) -> Column:
 def terminal_event(code: Column, request_id: Column) -> Column:
     message = F.when(code == TOO_LARGE, MESSAGES[TOO_LARGE]).otherwise(MESSAGES[BLOCKED])
     return F.concat(
-        F.lit('event: gateway.security_terminated\ndata: {"error":{"type":"security_termination","code":'),
+        F.lit(f'event: {TERMINAL}\ndata: {{"error":{{"type":"security_termination","code":'),
         _json_quoted(code), F.lit(',"message":'), _json_quoted(message),
         F.lit(',"request_id":'), _json_quoted(request_id), F.lit("}}\n\n"),
     )

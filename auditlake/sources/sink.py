@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -11,9 +13,17 @@ from pyspark.sql import functions as F
 from auditlake.operators.events import new_events, redact_evidence
 
 
+@functools.cache
+def _local_dir() -> str:
+    """One machine only: any folder is shared."""
+    return tempfile.mkdtemp(prefix="auditlake-")
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the checkpoint folder the cluster names."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and spark.sparkContext.master.startswith("local"):
+        base = _local_dir()
     if not base:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     return f"{base.rstrip('/')}/auditlake/{name}-{uuid.uuid4().hex}"
