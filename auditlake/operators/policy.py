@@ -172,17 +172,16 @@ def is_shadow(events: DataFrame) -> Column:
 
 def policy_coverage(rule_sets: DataFrame, policies: DataFrame) -> DataFrame:
     """One row: are a managed global rule set and both global policies in place?"""
-    rules = rule_sets.agg(
-        F.count_if(
-            (F.col("scope") == "global") & (F.col("status") == "published") & (F.col("source") == "managed")
-        ).alias("managed_rule_sets")
-    ).withColumn("k", F.lit(1))
-    scoped = policies.filter(F.col("scope") == "global").groupBy().agg(
-        F.count_if(F.col("direction") == "request").alias("request_policies"),
-        F.count_if(F.col("direction") == "response").alias("response_policies"),
-    ).withColumn("k", F.lit(1))
+    managed = (F.col("scope") == "global") & (F.col("status") == "published") & (F.col("source") == "managed")
+    scoped = policies.filter(F.col("scope") == "global").agg(
+        F.struct(
+            F.count_if(F.col("direction") == "request").alias("request_policies"),
+            F.count_if(F.col("direction") == "response").alias("response_policies"),
+        )
+    )
+    counted = rule_sets.agg(F.count_if(managed).alias("managed_rule_sets")).withColumn("__p", scoped.scalar())
     ok = (F.col("managed_rule_sets") > 0) & (F.col("request_policies") > 0) & (F.col("response_policies") > 0)
-    return rules.join(scoped, "k").drop("k").withColumn("covered", ok)
+    return counted.select("managed_rule_sets", "__p.*").withColumn("covered", ok)
 
 
 def policy_timeline(changes: DataFrame, keys: list[str], order: list[str], bucket: Column) -> DataFrame:
