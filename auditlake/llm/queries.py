@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from auditlake.llm import oracle
 from auditlake.llm.minhash import near_duplicates
+from auditlake.llm.repetition import repetition_rules
 
 QUERIES, ORACLE = {}, {}
 
@@ -30,3 +31,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose shingle sets are 85 % alike."""
     return near_duplicates(table(spark, sf_dir, "documents"), Fraction(85, 100))
+
+
+@query("op8_repetition_rules")
+def op8_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document's inner repetition."""
+    return repetition_rules(table(spark, sf_dir, "documents"))
