@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from auditlake.llm import oracle
 from auditlake.llm.minhash import near_duplicates
 from auditlake.llm.repetition import repetition_rules
+from auditlake.llm.secrets import secret_spans, span_digest
 
 QUERIES, ORACLE = {}, {}
 
@@ -33,6 +34,12 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), Fraction(85, 100))
 
 
+@query("op3_secret_spans")
+def op3_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of secrets in every document."""
+    return span_digest(secret_spans(table(spark, sf_dir, "documents")))
+
+
 @query("op8_repetition_rules")
 def op8_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document's inner repetition."""
