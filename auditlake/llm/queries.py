@@ -5,9 +5,11 @@ from __future__ import annotations
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from auditlake.llm import oracle
 from auditlake.llm.minhash import near_duplicates
+from auditlake.llm.mixing import mix
 from auditlake.llm.repetition import repetition_rules
 from auditlake.llm.secrets import secret_spans, span_digest
 
@@ -40,6 +42,13 @@ def op3_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digest(secret_spans(table(spark, sf_dir, "documents")))
 
 
+@query("op5_source_mix")
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often a mix of one and a half times all words takes each document."""
+    mixed = mix(table(spark, sf_dir, "documents"), [3, 1, 2], share=1.5, most=2)
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 @query("op8_repetition_rules")
 def op8_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document's inner repetition."""
