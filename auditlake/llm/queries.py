@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm import oracle
+from auditlake.llm.langid import held_out, identify, train
 from auditlake.llm.minhash import near_duplicates
 from auditlake.llm.mixing import mix
 from auditlake.llm.repetition import repetition_rules
@@ -49,6 +50,14 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+@query("op6_language")
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs.where(~held_out(F.col("doc_id"))))
+    return identify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 @query("op8_repetition_rules")
 def op8_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document's inner repetition."""
