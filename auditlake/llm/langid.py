@@ -141,14 +141,16 @@ def fit(texts: list[str], languages: list[str], training: Training = Training())
             back = error @ layer.T
             layer -= rate * hidden.T @ error
             bias -= rate * error.mean(0)
-            # A feature's step is scaled up as each is a small share of its text's average.
+            # A feature is a small share of a text's average: its step is scaled up, less so in
+            # short texts, where the steps of few features would add up beyond the minimum.
             for k, g in zip(part, back):
                 index, weight = bags[k]
-                embedding[index] -= rate * 20 * weight[:, None] * g[None]
+                scale = min(20.0, 1 / float(weight @ weight))
+                embedding[index] -= rate * scale * weight[:, None] * g[None]
     table = embedding @ layer
     check = check if len(check) else rows
     logits = np.stack([bags[k][1] @ table[bags[k][0]] for k in check]) + bias
-    temperature = min(np.geomspace(0.05, 20, 60), key=lambda t: _loss(logits / t, wanted[check]))
+    temperature = min(np.geomspace(0.05, 5000, 120), key=lambda t: _loss(logits / t, wanted[check]))
     chance = _softmax(logits / temperature)
     right = chance.argmax(1) == wanted[check]
     sure = np.sort(chance.max(1)[right])
