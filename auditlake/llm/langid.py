@@ -141,11 +141,11 @@ def fit(texts: list[str], languages: list[str], training: Training = Training())
             back = error @ layer.T
             layer -= rate * hidden.T @ error
             bias -= rate * error.mean(0)
-            # A feature is a small share of a text's average: its step is scaled up, less so in
-            # short texts, where the steps of few features would add up beyond the minimum.
+            # A feature is a small share of a text's average: its step is scaled up by the share,
+            # so that one text's average moves by the mean of the batch's steps at most.
             for k, g in zip(part, back):
                 index, weight = bags[k]
-                scale = min(20.0, 1 / float(weight @ weight))
+                scale = min(300.0, 1 / float(weight @ weight)) / len(part)
                 embedding[index] -= rate * scale * weight[:, None] * g[None]
     table = embedding @ layer
     check = check if len(check) else rows
