@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm import oracle
+from auditlake.llm.fingerprint import compare_neighbours
 from auditlake.llm.langid import held_out, identify, train
 from auditlake.llm.minhash import near_duplicates
 from auditlake.llm.mixing import mix
@@ -62,3 +63,9 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document's inner repetition."""
     return repetition_rules(table(spark, sf_dir, "documents"))
+
+
+@query("op10_fingerprints")
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document, its edited text and its neighbour."""
+    return compare_neighbours(table(spark, sf_dir, "documents"))
