@@ -12,6 +12,7 @@ from auditlake.llm.fingerprint import compare_neighbours
 from auditlake.llm.langid import held_out, identify, train
 from auditlake.llm.minhash import near_duplicates
 from auditlake.llm.mixing import mix
+from auditlake.llm.passages import repeated_passages
 from auditlake.llm.repetition import repetition_rules
 from auditlake.llm.secrets import secret_spans, span_digest
 
@@ -59,6 +60,12 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+@query("op7_repeated_passages")
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses to 50-byte strings of documents before it."""
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 @query("op8_repetition_rules")
 def op8_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document's inner repetition."""
