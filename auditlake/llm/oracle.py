@@ -31,3 +31,54 @@ lowest AS (SELECT doc_id, min(other) AS component FROM reach GROUP BY doc_id)
 SELECT doc_id, n AS n_shingles, coalesce(component, doc_id) AS component_id, coalesce(component, doc_id) = doc_id AS kept
 FROM sizes LEFT JOIN lowest USING (doc_id)
 """
+
+
+def url_graph(rules: list[tuple[str, str, str]], damping: float, rounds: int, bound: float) -> str:
+    """SQL of the URL filter with its rounds written out."""
+    listed = ", ".join(f"('{v}', '{h}', '{p}', '{h}{p}')" for v, h, p in rules)
+    low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    host = low.format("coalesce(regexp_extract(url, '://([^/?#]*)', 1), '')")
+    link = r"""(?i)(?:href|src)\s*=\s*["'']?\s*(?:https?:)?//([^/?#"''\s>]+)"""
+    parts = [f"""
+WITH rules(verdict, host, path, rule) AS (VALUES {listed}),
+urls AS (
+  SELECT row_number() OVER () AS row, page_id, {host} AS host,
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path, html
+  FROM pages
+),
+fits AS (
+  SELECT row, arg_max(r.rule, (length(r.rule), r.rule)) AS rule, arg_max(r.verdict, (length(r.rule), r.rule)) AS verdict
+  FROM urls u JOIN rules r ON (u.host = r.host OR u.host LIKE '%.' || r.host) AND starts_with(u.path, r.path)
+  GROUP BY row
+),
+judged AS (SELECT urls.row, page_id, host, path, rule, verdict, html FROM urls LEFT JOIN fits USING (row)),
+start AS (
+  SELECT host, {1 - damping!r} * avg((verdict IS NOT DISTINCT FROM 'allow')::int) AS trust,
+    {1 - damping!r} * avg((verdict IS NOT DISTINCT FROM 'block')::int) AS distrust
+  FROM judged WHERE host <> '' GROUP BY host
+),
+targets AS (
+  SELECT host AS src, unnest(list_distinct(list_transform(regexp_extract_all(html, '{link}', 1), lambda h: {low.format("h")}))) AS dst
+  FROM judged WHERE html IS NOT NULL
+),
+counted AS (
+  SELECT src, dst, count(*) AS n FROM targets WHERE src <> '' AND src <> dst GROUP BY ALL
+),
+links AS (
+  SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS forth, n / sum(n) OVER (PARTITION BY dst) AS back FROM counted
+),
+ranks0 AS (SELECT * FROM start)"""]
+    for k in range(rounds):
+        parts.append(f"""
+ranks{k + 1} AS (
+  SELECT host, sum(trust) AS trust, sum(distrust) AS distrust FROM (
+    SELECT * FROM start
+    UNION ALL SELECT dst, {damping} * trust * forth, 0.0 FROM links JOIN ranks{k} ON host = src
+    UNION ALL SELECT src, 0.0, {damping} * distrust * back FROM links JOIN ranks{k} ON host = dst
+  ) GROUP BY host
+)""")
+    return ",".join(parts) + f"""
+SELECT page_id, j.host, path, rule,
+  coalesce(verdict, CASE WHEN r.distrust > r.trust AND r.distrust >= {bound * (1 - damping) - 1e-12!r} THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged j LEFT JOIN ranks{rounds} r USING (host)
+"""

@@ -15,6 +15,7 @@ from auditlake.llm.mixing import mix
 from auditlake.llm.passages import repeated_passages
 from auditlake.llm.repetition import repetition_rules
 from auditlake.llm.secrets import secret_spans, span_digest
+from auditlake.llm.urlgraph import Propagation, Rule, judged_urls
 
 QUERIES, ORACLE = {}, {}
 
@@ -33,6 +34,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+URL_RULES = [
+    Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/"),
+]
+_LINKS = Propagation()
+
+
+@query("op1_url_graph", oracle.url_graph([(r.verdict, r.host, r.path) for r in URL_RULES], _LINKS.damping, _LINKS.rounds, _LINKS.bound))
+def op1_url_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's URL."""
+    return judged_urls(table(spark, sf_dir, "pages"), URL_RULES, _LINKS)
+
+
 @query("op2_near_duplicates", oracle.NEAR_DUPLICATES)
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose shingle sets are 85 % alike."""
