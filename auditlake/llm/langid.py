@@ -222,5 +222,16 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def known_language(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of `docs` that the model does not reject, with all their columns."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text", CHUNK_BYTES // 2):
+            yield batch.filter(pa.array(~predictions(model, batch.column("text"))[2]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -12,13 +12,20 @@ from auditlake.llm.fingerprint import compare_neighbours
 from auditlake.llm.langid import held_out, identify, train
 from auditlake.llm.minhash import near_duplicates
 from auditlake.llm.mixing import mix
+from auditlake.llm.packing import packed_ids, row_digest
 from auditlake.llm.passages import repeated_passages
+from auditlake.llm.pieces import encoded, id_digest
 from auditlake.llm.repetition import repetition_rules
 from auditlake.llm.secrets import secret_spans, span_digest
 from auditlake.llm.urlgraph import Propagation, Rule, judged_urls
 
 QUERIES, ORACLE = {}, {}
 
+#: Folder of public vocabulary files on every executor.
+TOKENIZERS = "/opt/tokenizers"
+#: How byte_bpe_50k cuts a text before merging (a fixed value of that vocabulary).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 
 def query(name: str, sql: str | None = None):
     def add(run):
@@ -58,6 +65,12 @@ def op3_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digest(secret_spans(table(spark, sf_dir, "documents")))
 
 
+@query("op4_merge_dropout")
+def op4_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document under merge-dropout of a tenth, and whether they decode to it."""
+    return id_digest(encoded(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model", seed=1, dropout=0.1))
+
+
 @query("op5_source_mix")
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often a mix of one and a half times all words takes each document."""
@@ -85,6 +98,12 @@ def op8_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_rules(table(spark, sf_dir, "documents"))
 
 
+@query("op9_packed_ids")
+def op9_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of 2048 ids that hold all documents."""
+    return row_digest(packed_ids(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", PATTERN))
+
+
 @query("op10_fingerprints")
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document, its edited text and its neighbour."""

@@ -74,40 +74,43 @@ def _pairs(kind: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.bincount(before * _SIZE + kind, minlength=_SIZE**2) + np.bincount(last, minlength=_SIZE**2)
 
 
+def piece_spans(column: pa.Array) -> tuple[list, list, list[str], np.ndarray]:
+    """For the texts of a piece: pattern matches, long runs, the matched secrets, ordinary pairs."""
+    data, at = text_bytes(column)
+    kind = _CLASS[data]
+    low = LOWER[data].tobytes()
+    # Code points before each byte; runs never cross a text as the edges break them.
+    points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+    token = np.zeros(len(data) + 2, bool)
+    token[1:-1] = kind > 0
+    first = token[1:-1] & ~token[:-2]
+    last = token[1:-1] & ~token[2:]
+    edge = at[(at > 0) & (at < len(data))]
+    first[edge] = token[1:-1][edge]
+    last[edge - 1] = token[1:-1][edge - 1]
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    long_ = end - start >= LEAST_RUN
+    start, end = start[long_], end[long_]
+    of = np.searchsorted(at, start, "right") - 1
+    inside = np.bincount(start, minlength=len(data) + 1) - np.bincount(end, minlength=len(data) + 1)
+    ordinary = _pairs(np.where(np.cumsum(inside)[:-1] > 0, 0, kind), at)
+    runs, bases, secrets = [[] for _ in range(len(at) - 1)], [], []
+    for s, e, k in zip(start.tolist(), end.tolist(), of.tolist()):
+        shift = points[at[k]]
+        runs[k].append((int(points[s] - shift), int(points[e] - shift), data[s:e].tobytes().decode()))
+    for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+        # A long match of "access" or "hex" lies in a run; "assign" needs one of its words.
+        found = base_spans(column[k].as_py()) if runs[k] or any(low.find(w, a, b) >= 0 for w in _WORDS) else []
+        secrets += [x[3] for x in found]
+        bases.append([x[:3] for x in found])
+    return bases, runs, secrets, ordinary
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ordinary, labelled = np.zeros(_SIZE**2, np.int64), np.zeros(_SIZE**2, np.int64)
     for batch in pieces(batches, "text"):
-        data, at = text_bytes(batch.column("text"))
-        kind = _CLASS[data]
-        low = LOWER[data].tobytes()
-        # Code points before each byte; runs never cross a text as the edges break them.
-        points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-        token = np.zeros(len(data) + 2, bool)
-        token[1:-1] = kind > 0
-        first = token[1:-1] & ~token[:-2]
-        last = token[1:-1] & ~token[2:]
-        edge = at[(at > 0) & (at < len(data))]
-        first[edge] = token[1:-1][edge]
-        last[edge - 1] = token[1:-1][edge - 1]
-        start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-        long_ = end - start >= LEAST_RUN
-        start, end = start[long_], end[long_]
-        of = np.searchsorted(at, start, "right") - 1
-        inside = np.bincount(start, minlength=len(data) + 1) - np.bincount(end, minlength=len(data) + 1)
-        ordinary += _pairs(np.where(np.cumsum(inside)[:-1] > 0, 0, kind), at)
-        runs, bases, secrets = [[] for _ in range(len(at) - 1)], [], []
-        for s, e, k in zip(start.tolist(), end.tolist(), of.tolist()):
-            shift = points[at[k]]
-            runs[k].append((int(points[s] - shift), int(points[e] - shift), data[s:e].tobytes().decode()))
-        texts = batch.column("text")
-        for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
-            # A long match of "access" or "hex" lies in a run; "assign" needs one of its words.
-            if runs[k] or any(low.find(w, a, b) >= 0 for w in _WORDS):
-                found = base_spans(texts[k].as_py())
-            else:
-                found = []
-            secrets += [x[3] for x in found]
-            bases.append([x[:3] for x in found])
+        bases, runs, secrets, pairs = piece_spans(batch.column("text"))
+        ordinary += pairs
         labelled += pair_counts(secrets)
         yield _rows(batch.column("doc_id"), bases, runs, [None] * len(bases))
     pairs = [(k, int(labelled[k]), int(ordinary[k])) for k in np.flatnonzero(labelled + ordinary).tolist()]
@@ -115,6 +118,13 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(pa.array([None], pa.int64()), [None], [None], [pairs])
 
 
+def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts of a scan alone."""
+    for batch in _scan(batches):
+        if batch.column("pairs").null_count < batch.num_rows:
+            yield batch.select(["pairs"])
+
+
 def _rows(ids: pa.Array, bases: list, runs: list, pairs: list) -> pa.RecordBatch:
     def spans(rows: list, kind: pa.DataType) -> pa.Array:
         names = [kind.value_type.field(i).name for i in range(kind.value_type.num_fields)]
@@ -160,6 +170,15 @@ def is_random(run: str, ratio: np.ndarray) -> bool:
     return score >= LEAST_TOTAL and score >= LEAST_MEAN * len(run) and not run.isdigit()
 
 
+def _all_spans(base: list[tuple], runs: list[tuple], ratio: np.ndarray) -> list[tuple[int, int, int]]:
+    """(kind, start, end) of pattern matches and of the random runs that overlap none of them."""
+    added = [
+        (3, start, end) for start, end, run in runs
+        if all(end <= b[1] or b[2] <= start for b in base) and is_random(run, ratio)
+    ]
+    return sorted(base + added, key=lambda x: (x[1], x[0]))
+
+
 def secret_spans(docs: DataFrame) -> DataFrame:
     """doc_id and `spans` (kind, start, end; by start, then kind) for every row of (doc_id, text).
 
@@ -174,13 +193,11 @@ def secret_spans(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for base, runs in zip(batch.column("base").to_pylist(), batch.column("runs").to_pylist()):
-                added = [
-                    {"kind": 3, "start": r["start"], "end": r["end"]} for r in runs
-                    if all(r["end"] <= b["start"] or b["end"] <= r["start"] for b in base) and is_random(r["run"], ratio)
-                ]
-                out.append(sorted(base + added, key=lambda x: (x["start"], x["kind"])))
+            found = [
+                _all_spans([tuple(b.values()) for b in base], [tuple(r.values()) for r in runs], ratio)
+                for base, runs in zip(batch.column("base").to_pylist(), batch.column("runs").to_pylist())
+            ]
+            out = [[dict(zip(("kind", "start", "end"), x)) for x in spans] for spans in found]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, _SPAN)], ["doc_id", "spans"])
 
     rows = scan.where("pairs is null").select("doc_id", "base", "runs")
@@ -203,6 +220,25 @@ def span_digest(spans: DataFrame) -> DataFrame:
     )
 
 
+def without_secrets(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
+    """`docs` with every secret in `text` masked and n_chars, where there is one, counted anew."""
+    small_batches(docs.sparkSession)
+    pairs = docs.select("doc_id", "text").mapInArrow(_pair_rows, "pairs array<struct<pair:int,labelled:long,ordinary:long>>")
+    ratio = train(pairs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            bases, runs, _, _ = piece_spans(batch.column("text"))
+            texts = batch.column("text").to_pylist()
+            for k, (base, found) in enumerate(zip(bases, runs)):
+                if base or found:
+                    texts[k] = masked(texts[k], [x[1:] for x in _all_spans(base, found, ratio)], mask)
+            yield batch.set_column(batch.schema.get_field_index("text"), batch.schema.field("text"), pa.array(texts, batch.schema.field("text").type))
+
+    out = docs.mapInArrow(run, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
 def masked(text: str | None, spans: list[tuple[int, int]], mask: str = "[secret]") -> str | None:
     """The text with every span, overlapping ones together, replaced by `mask`."""
     if not spans:
