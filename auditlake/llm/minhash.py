@@ -2,14 +2,15 @@
 
 1. Every text gets a MinHash signature and the digest of its shingle set. Texts with equal sets
    form one class, so thousands of copies are one row from here on.
-2. Classes that agree in a band of the signature meet in a bucket. A bucket never emits all its
-   pairs: in each round its members are compared with a few pivots only, pivots then leave, and
-   buckets whose members are all connected already are finished. What remains is compared with
-   twice as many pivots in the next round, so no link between unconnected texts is skipped.
-3. A candidate pair is compared block by block of its signatures. After each block the posterior
+2. Classes that agree in a band of the signature meet in a bucket. Two rounds of minima over the
+   buckets give classes that share many buckets one root; the classes of a root are dealt to blocks
+   of bounded size, and blocks that share a bucket are compared with each other as blocks. Pairs
+   are never rows of a table.
+3. Inside a pair of blocks, signatures are compared step by step. After each step the posterior
    probability that the similarity reaches the threshold, given the agreements so far and a
    uniform prior, is bounded; a pair whose probability is below `MISS` is dropped.
-4. Pairs that survive are decided on their full shingle sets.
+4. Pairs that survive are decided on their full shingle sets. A pair of blocks returns one link for
+   each class, to the smallest class that its links lead to.
 """
 
 from __future__ import annotations
@@ -32,8 +33,12 @@ WORDS = 5
 #: A pair at 0.85 meets in one of 20 bands of 5 with probability 0.99999.
 BANDS, ROWS = 20, 5
 #: Chosen probability of dropping a pair that reaches the threshold, after each block.
-MISS = 1e-9
+MISS = 1e-6
 BLOCK = 10
+#: Bytes of shingle sets in a block of classes.
+BLOCK_BYTES = 1 << 20
+#: Columns of the tables that count intersections, and pairs of signatures compared at once.
+COLUMNS, PAIRS = 8192, 1 << 17
 
 _RANDOM = np.random.default_rng(7)
 _MULTIPLY = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -142,41 +147,98 @@ def survivors(left: np.ndarray, right: np.ndarray, threshold: Fraction) -> np.nd
     return alive
 
 
-def _sequential(threshold: Fraction):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                left, right = (
-                    np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(batch.num_rows, -1)
-                    for c in ("left", "right")
-                )
-                kept = pa.array(survivors(left, right, threshold))
-                yield batch.select(["a", "b"]).take(kept)
+def _shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets on the left with all on the right."""
+    def flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
 
-    return run
+    (a, row_a), (b, row_b) = flat(left), flat(right)
+    both = np.intersect1d(a, b)
+    out = np.zeros((len(left), len(right)), np.float32)
+    if not len(both):
+        return out
+    for low in range(0, len(both), COLUMNS):
+        part = both[low : low + COLUMNS]
+        tables = []
+        for values, rows, n in ((a, row_a, len(left)), (b, row_b, len(right))):
+            at = np.searchsorted(part, values)
+            hit = part[np.minimum(at, len(part) - 1)] == values
+            table = np.zeros((n, len(part)), np.float32)
+            table[rows[hit], at[hit]] = 1
+            tables.append(table)
+        out += tables[0] @ tables[1].T
+    return out
 
 
-def _exact(threshold: Fraction):
-    def sets(column: pa.Array) -> list[np.ndarray]:
-        """Equal neighbours (a pivot's text) are split into words once."""
-        out, seen, last = [], None, None
-        for text in column:
-            if last is None or text != seen:
-                last, seen = shingles(*text_bytes(pa.array([text.as_py()], pa.string())))[0], text
-            out.append(last)
-        return out
+def linked(left: tuple, right: tuple, threshold: Fraction) -> np.ndarray:
+    """Which pairs of two blocks (signatures, sets) reach the threshold: likely ones, then exactly."""
+    (sign_a, sets_a), (sign_b, sets_b) = left, right
+    n, least = next(iter(least_agreements(threshold).items()))
+    i, j = np.nonzero((sign_a[:, None, :n] == sign_b[None, :, :n]).sum(2) >= least)
+    out = np.zeros((len(sign_a), len(sign_b)), bool)
+    for low in range(0, len(i), PAIRS):
+        a, b = i[low : low + PAIRS], j[low : low + PAIRS]
+        alive = survivors(sign_a[a], sign_b[b], threshold)
+        out[a[alive], b[alive]] = True
+    rows, columns = np.flatnonzero(out.any(1)), np.flatnonzero(out.any(0))
+    if len(rows):
+        both = _shared_counts([sets_a[k] for k in rows], [sets_b[k] for k in columns]).astype(np.int64)
+        size_a, size_b = (np.array([len(s) for s in x]) for x in ([sets_a[k] for k in rows], [sets_b[k] for k in columns]))
+        union = size_a[:, None] + size_b - both
+        out[np.ix_(rows, columns)] &= both * threshold.denominator >= threshold.numerator * union
+    return out
+
+
+def smallest_reached(ids_a: np.ndarray, ids_b: np.ndarray, link: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every id on either side the smallest id its links lead to."""
+    far = np.iinfo(np.int64).max
+    near_a, near_b = ids_a.copy(), ids_b.copy()
+    while True:
+        new_b = np.minimum(near_b, np.where(link, near_a[:, None], far).min(0))
+        new_a = np.minimum(near_a, np.where(link, new_b[None], far).min(1))
+        if (new_a == near_a).all() and (new_b == near_b).all():
+            return near_a, near_b
+        near_a, near_b = new_a, new_b
+
+
+def _block(members: list[dict]) -> tuple[np.ndarray, tuple]:
+    sign = np.frombuffer(b"".join(m["signature"] for m in members), np.uint32).reshape(len(members), -1)
+    return np.array([m["class_id"] for m in members]), (sign, [np.frombuffer(m["shingles"], np.uint64) for m in members])
+
+
+def _links(threshold: Fraction):
+    """Blocks `left` and, for a pair of different ones, `right` -> links (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = []
-            for a, b in zip(sets(batch.column("left")), sets(batch.column("right"))):
-                both = alike(a, b)
-                linked.append(both * threshold.denominator >= threshold.numerator * (len(a) + len(b) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+            for k in range(batch.num_rows):
+                ids_a, left = _block(batch.column("left")[k].as_py())
+                other = batch.column("right")[k].as_py() if "right" in batch.schema.names else None
+                ids_b, right = (ids_a, left) if other is None else _block(other)
+                near_a, near_b = smallest_reached(ids_a, ids_b, linked(left, right, threshold))
+                ids, near = np.concatenate((ids_a, ids_b)), np.concatenate((near_a, near_b))
+                moved = near < ids
+                yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(near[moved])], ["a", "b"])
 
     return run
 
 
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts -> signature and full shingle set."""
+    for batch in pieces(batches, "text"):
+        values, of = shingles(*text_bytes(batch.column("text")))
+        signed = signatures(values, of)
+        full = np.flatnonzero(of[1:] > of[:-1])
+        kept = batch.select(["root", "part", "class_id"]).take(pa.array(full))
+        yield pa.RecordBatch.from_arrays(
+            [
+                *kept.columns, pa.array([s.tobytes() for s in signed], pa.binary()),
+                pa.array([values[of[k] : of[k + 1]].tobytes() for k in full], pa.binary()),
+            ],
+            ["root", "part", "class_id", "signature", "shingles"],
+        )
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
@@ -189,52 +251,52 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(of)], ["key", "class_id"])
 
 
+def _rooted(members: DataFrame) -> DataFrame:
+    """(class_id, root): the smallest class two steps away over shared buckets.
+
+    Two rounds suffice where classes share many buckets; where only a chain of buckets holds
+    classes together, they stay apart and pairs of blocks bridge them.
+    """
+    root = members.select("class_id", F.col("class_id").alias("root"))
+    for _ in range(2):
+        least = members.join(root, "class_id").groupBy("key").agg(F.min("root").alias("root"))
+        root = members.join(least, "key").groupBy("class_id").agg(F.min("root").alias("root"))
+        root = written(root, "roots")
+    return root
+
+
 def class_components(classes: DataFrame, docs: DataFrame, threshold: Fraction) -> DataFrame:
-    """(node, component) of the linked classes, as all their similar pairs would connect them."""
+    """(node, component) of the linked classes."""
+    small_batches(docs.sparkSession)
     keys = classes.select("class_id", "signature").mapInArrow(_keys, "key long, class_id long")
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = written(keys.join(shared, "key").select("key", "class_id"), "members")
-    signed = classes.select("class_id", "signature")
-    found, component, pivots = None, None, 1
-    while not members.isEmpty():
-        part = F.pmod(F.xxhash64("class_id"), F.lit(pivots))
-        pivot = members.groupBy("key", part.alias("part")).agg(F.min("class_id").alias("pivot")).drop("part")
-        if found is None:
-            pairs = members.join(pivot, "key").where("class_id <> pivot")
-        else:
-            of_pivot = component.select(F.col("node").alias("pivot"), F.col("component").alias("near"))
-            near = pivot.join(of_pivot, "pivot", "left")
-            pairs = members.join(near, "key").where("class_id <> pivot and component <> coalesce(near, pivot)")
-        pairs = pairs.select(F.least("class_id", "pivot").alias("a"), F.greatest("class_id", "pivot").alias("b")).distinct()
-        new = written(_confirmed(pairs, signed, docs, threshold), "links")
-        found = new if found is None else found.union(new)
-        component = written(components(found), "components")
-        members = _unfinished(members.select("key", "class_id"), pivot, component)
-        pivots *= 2
-    return component if component is not None else docs.sparkSession.createDataFrame([], "node long, component long")
-
-
-def _unfinished(members: DataFrame, pivot: DataFrame, component: DataFrame) -> DataFrame:
-    """Members of buckets with several components, without the pivots that have met everybody."""
-    labelled = members.join(component.withColumnRenamed("node", "class_id"), "class_id", "left")
-    labelled = labelled.withColumn("component", F.coalesce("component", "class_id"))
-    open_ = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    rest = labelled.join(open_.where("low <> high").select("key"), "key", "left_semi")
-    rest = rest.join(pivot.withColumnRenamed("pivot", "class_id"), ["key", "class_id"], "left_anti")
-    return written(rest, "members")
-
-
-def _confirmed(pairs: DataFrame, signed: DataFrame, docs: DataFrame, threshold: Fraction) -> DataFrame:
-    small_batches(docs.sparkSession)
-    both = pairs.join(signed.select(F.col("class_id").alias("a"), F.col("signature").alias("left")), "a")
-    both = both.join(signed.select(F.col("class_id").alias("b"), F.col("signature").alias("right")), "b")
-    likely = written(both.select("a", "b", "left", "right").mapInArrow(_sequential(threshold), "a long, b long"), "likely")
-    # Only texts that a likely pair names go on to the two joins that bring the texts together.
-    named = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
-    texts = written(docs.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    near = likely.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right")), "b")
-    near = near.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), "a")
-    return near.select("a", "b", "left", "right").mapInArrow(_exact(threshold), "a long, b long")
+
+    # Blocks of about BLOCK_BYTES of shingle sets.
+    rooted = _rooted(members).join(classes.select("class_id", "n_shingles"), "class_id")
+    size = rooted.groupBy("root").agg(F.sum(8 * F.col("n_shingles") + 4 * BANDS * ROWS).alias("bytes"))
+    parts = size.select("root", F.ceil(F.col("bytes") / BLOCK_BYTES).alias("parts"))
+    part = F.pmod(F.xxhash64("class_id"), "parts").alias("part")
+    dealt = written(rooted.join(parts, "root").select("class_id", "root", part), "dealt")
+    texts = docs.join(dealt.withColumnRenamed("class_id", "doc_id"), "doc_id").dropDuplicates(["doc_id"])
+    full = texts.select("root", "part", F.col("doc_id").alias("class_id"), "text").mapInArrow(
+        _members, "root long, part long, class_id long, signature binary, shingles binary"
+    )
+    member = F.struct("class_id", "signature", "shingles")
+    blocks = written(full.groupBy("root", "part").agg(F.collect_list(member).alias("members")), "blocks")
+
+    # Blocks of two members or more with themselves, and with blocks that share a bucket.
+    block = F.struct("root", "part")
+    own = blocks.where(F.size("members") > 1).select(F.col("members").alias("left"))
+    found = written(own.mapInArrow(_links(threshold), "a long, b long"), "links")
+    at = members.join(dealt, "class_id").select("key", block.alias("block")).distinct()
+    pairs = at.withColumnRenamed("block", "x").join(at.withColumnRenamed("block", "y"), "key").where("x < y")
+    sides = blocks.select(block.alias("block"), "members")
+    both = pairs.select("x", "y").distinct()
+    both = both.join(sides.select(F.col("block").alias("x"), F.col("members").alias("left")), "x")
+    both = both.join(sides.select(F.col("block").alias("y"), F.col("members").alias("right")), "y")
+    across = written(both.select("left", "right").mapInArrow(_links(threshold), "a long, b long"), "links")
+    return components(found.union(across))
 
 
 def near_duplicates(docs: DataFrame, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
@@ -252,7 +314,8 @@ def near_duplicates(docs: DataFrame, threshold: Fraction = Fraction(4, 5)) -> Da
     sketch = written(sketches(docs), "sketches")
     classes = written(
         sketch.where("digest is not null and doc_id is not null").groupBy("digest")
-        .agg(F.min("doc_id").alias("class_id"), F.min("signature").alias("signature")), "classes",
+        .agg(F.min("doc_id").alias("class_id"), F.min("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")),
+        "classes",
     )
     component = class_components(classes, docs, threshold).withColumnRenamed("node", "class_id")
     class_of = classes.select("digest", "class_id").join(component, "class_id", "left")

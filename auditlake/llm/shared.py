@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-ROWS_PER_BATCH = "512"
+ROWS_PER_BATCH, BYTES_PER_BATCH = "512", "8m"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,3 +32,4 @@ def written(rows: DataFrame, name: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of a few hundred texts, so that a Python worker holds a few MB at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BYTES_PER_BATCH)
