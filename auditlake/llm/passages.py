@@ -31,9 +31,9 @@ LENGTH = 50
 GRAM = 20
 STARTS = LENGTH - GRAM + 1
 #: Suffixes are ordered by so many bytes; at least LENGTH.
-ORDER = 64
+ORDER = 72
 #: Segments are sorted in blocks of whole anchors with about this many bytes.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 _NONE = np.iinfo(np.int64).max
 
 
@@ -104,7 +104,9 @@ def suffix_order(data: np.ndarray) -> np.ndarray:
         if not len(place):
             break
         tied = order[place]
-        key = rank[tied] * (n + 1) + np.where(tied + size < n, rank[np.minimum(tied + size, n - 1)] + 1, 0)
+        # Three ranks of `size` bytes each; blocks are far below the 2 ** 21 positions that fit.
+        second, third = (np.where(tied + k < n, rank[np.minimum(tied + k, n - 1)] + 1, 0) for k in (size, 2 * size))
+        key = (((rank[tied] << 21) + second) << 21) + third if n < 1 << 21 else _packed(rank[tied], second, third)
         by = np.argsort(key)
         order[place], key = tied[by], key[by]
         new = np.ones(len(place), bool)
@@ -113,10 +115,21 @@ def suffix_order(data: np.ndarray) -> np.ndarray:
         start = np.maximum.accumulate(np.where(head, np.arange(n), 0))
         rank = np.empty(n, np.int64)
         rank[order] = start
-        size *= 2
+        size *= 3
     return order
 
 
+def _packed(*ranks: np.ndarray) -> np.ndarray:
+    """One number for each row of ranks, in their order."""
+    order = np.lexsort(ranks[::-1])
+    new = np.zeros(len(order), bool)
+    for r in ranks:
+        new[1:] |= r[order[1:]] != r[order[:-1]]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
 def separated(data: np.ndarray, order: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Which neighbours in the suffix order have a common prefix shorter than `length`.
 
@@ -129,14 +142,14 @@ def separated(data: np.ndarray, order: np.ndarray, length: int = LENGTH) -> np.n
     to[np.argsort(before, kind="stable")] = np.arange(n)
     apart = np.zeros(n + 1, bool)
     apart[0] = apart[n] = True
-    owner = np.full(n + 2, -1, np.int64)
+    owner = np.full(n + 2, -1, np.int32)
     left, right = np.array([0]), np.array([n - 1])
     for _ in range(length):
         if not len(left):
             break
         width = right - left + 1
-        interval = np.repeat(np.arange(len(left)), width)
-        inside = np.arange(len(interval)) - np.repeat(np.cumsum(width) - width, width) + left[interval]
+        interval = np.repeat(np.arange(len(left), dtype=np.int32), width)
+        inside = np.arange(len(interval)) - np.repeat(np.cumsum(width) - width - left, width)
         target = to[inside]
         owner[target + 1] = interval
         ends = (owner[target + 2] != interval) | (first[np.minimum(target + 1, n - 1)] != first[target])
@@ -195,13 +208,17 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = np.isin(first, flat)
         low, first, last, text = low[kept], first[kept], last[kept], text[kept]
         end = last + LENGTH
-        whole = data.tobytes()
+        size = end - first
+        offsets = np.concatenate(([0], np.cumsum(size)))
+        inside = np.arange(offsets[-1]) + np.repeat(first - offsets[:-1], size)
+        segment = pa.BinaryArray.from_buffers(
+            pa.binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data[inside])]
+        )
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(low.view(np.int64)), pa.array(span_hashes(data, first, end).view(np.int64)),
-                pa.array([whole[a:b] for a, b in zip(first.tolist(), end.tolist())], pa.binary()),
+                pa.array(low.view(np.int64)), pa.array(span_hashes(data, first, end).view(np.int64)), segment,
                 pa.array(batch.column("doc_id").to_numpy()[text]), pa.array((first - at[text]).astype(np.int32)),
-                pa.array((end - first).astype(np.int32)),
+                pa.array(size.astype(np.int32)),
             ],
             ["anchor", "segment_id", "segment", "doc_id", "place", "size"],
         )
@@ -211,12 +228,22 @@ def _earlier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows ordered by anchor -> windows of each segment that a smaller document has."""
 
     def solved(rows: pa.Table) -> pa.RecordBatch:
-        docs = rows.column("doc_id").to_numpy()
-        windows = earlier_windows(rows.column("segment").to_pylist(), docs)
+        # An anchor's only segment shares its windows with no other one.
+        key, docs = rows.column("anchor").to_numpy(), rows.column("doc_id").to_numpy()
+        same = key[1:] == key[:-1]
+        several = np.append(same, False) | np.append(False, same)
+        windows = [np.zeros(0, np.int64)] * len(key)
+        if several.any():
+            found = earlier_windows(rows.column("segment").filter(pa.array(several)).to_pylist(), docs[several])
+            for k, w in zip(np.flatnonzero(several).tolist(), found):
+                windows[k] = w
+        count = np.array([len(w) for w in windows])
+        offsets = pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32))
+        flat = pa.array(np.concatenate(windows).astype(np.int32))
         return pa.RecordBatch.from_arrays(
             [
                 rows.column("anchor").combine_chunks(), rows.column("segment_id").combine_chunks(),
-                rows.column("doc_id").combine_chunks(), pa.array([w.astype(np.int32) for w in windows], pa.list_(pa.int32())),
+                rows.column("doc_id").combine_chunks(), pa.ListArray.from_arrays(offsets, flat),
             ],
             ["anchor", "segment_id", "least", "windows"],
         )
@@ -241,17 +268,22 @@ def _earlier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _lost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with the starts and ends of repeated bytes -> what is left of them."""
-    for batch in batches:
-        out = []
-        texts, spans = batch.column("text").to_pylist(), batch.column("spans").to_pylist()
-        for doc_id, text, found in zip(batch.column("doc_id").to_pylist(), texts, spans):
-            data = np.frombuffer((text or "").encode(), np.uint8)
-            gone = covered(len(data), np.array([s["begin"] for s in found]), np.array([s["end"] for s in found]))
-            runs = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0) == 1)
-            out.append((doc_id, int(gone.sum()), len(runs), hashlib.sha256(data[~gone].tobytes()).hexdigest()))
+    for batch in pieces(batches, "text"):
+        data, at = text_bytes(batch.column("text"))
+        spans = batch.column("spans")
+        flat = spans.flatten()
+        shift = np.repeat(at[:-1], spans.value_lengths().to_numpy())
+        begin, end = (flat.field(k).to_numpy() + shift for k in (0, 1))
+        gone = covered(len(data), begin, end)
+        starts = gone.copy()
+        starts[1:] &= ~gone[:-1]
+        first = at[:-1][at[:-1] < len(data)]
+        starts[first] = gone[first]
+        sums, runs = (np.concatenate(([0], np.cumsum(x))) for x in (gone, starts))
+        left, kept_at = data[~gone].tobytes(), at - sums[at]
+        digest = [hashlib.sha256(left[a:b]).hexdigest() for a, b in zip(kept_at[:-1].tolist(), kept_at[1:].tolist())]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string()))] if out
-            else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.string())],
+            [batch.column("doc_id"), pa.array(np.diff(sums[at])), pa.array(np.diff(runs[at])), pa.array(digest, pa.string())],
             ["doc_id", "n_removed", "n_spans", "kept_sha256"],
         )
 
@@ -286,7 +318,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "anchor")
     several = rows.groupBy("anchor").agg(F.min("digest").alias("low"), F.max("digest").alias("high"))
     several = several.where("low <> high").select("anchor")
-    places = rows.join(several, "anchor").groupBy("digest").agg(F.collect_set("place").alias("places"))
+    # Both sides are dealt by anchor already; the smaller one is hashed, so that nothing is sorted.
+    places = rows.join(several.hint("shuffle_hash"), "anchor").groupBy("digest").agg(F.collect_set("place").alias("places"))
     places = written(places.join(first, "digest").select(F.col("first").alias("doc_id"), "places"), "places")
     texts = docs.join(places, "doc_id").dropDuplicates(["doc_id"])
     texts = written(texts, "texts")
