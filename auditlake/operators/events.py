@@ -10,22 +10,40 @@ from auditlake.functions.text import body_bytes, content_sha256
 from auditlake.operators.rules import NO_MATCHES
 from auditlake.schemas import EVENT_COLUMNS, VERDICT
 
-MAX_BODY_BYTES = 4 << 20
 MAX_RESPONSE_BYTES = 16 << 20
 
 
-def event_id(*parts) -> Column:
-    """Deterministic id, so that a rerun writes the same events again."""
-    return F.sha2(F.concat_ws("|", *parts), 256)
+#: What tells captured rows apart besides their content.
+CAPTURED = ["tenant_id", "api_key_id", "direction", "path", "request_id", "ts", "seq", "frag", "channel", "metadata"]
+
+
+def with_capture_id(rows: DataFrame) -> DataFrame:
+    """Adds ``capture_id``, the identity of a captured row, where the capture gave none.
+
+    Callers choose request_id, so two of them may send the same one. The id is a digest of tenant,
+    key, path, time and content; rows equal in all of these are one capture.
+    """
+    if "capture_id" in rows.columns:
+        return rows
+    content = "content_sha256" if "content_sha256" in rows.columns else "body"
+    parts = [F.col(c) for c in CAPTURED if c in rows.columns]
+    parts += [content_sha256(F.col("body")).alias("content_sha256") if content == "body" else F.col(content)] if content in rows.columns else []
+    return rows.withColumn("capture_id", F.sha2(F.to_json(F.struct(*parts)), 256))
+
+
+def event_id(capture: Column, direction: Column, sequence: Column) -> Column:
+    """Deterministic id, so that a rerun writes the same events again; the first part has a fixed length."""
+    return F.sha2(F.concat_ws("|", F.sha2(capture, 256), F.coalesce(direction, F.lit("")), sequence), 256)
 
 
 def to_events(audited: DataFrame, sequence: Column | None = None) -> DataFrame:
     """Audited rows -> event rows (schema version 2), before redaction.
 
-    Needs request_id, tenant_id, direction, path, body, decision, risk_score, matches,
+    The event id is made from capture_id, see ``with_capture_id``. Needs request_id, tenant_id, direction, path, body, decision, risk_score, matches,
     policy; other event columns are taken where present.
     """
     sequence = F.lit(0) if sequence is None else sequence
+    audited = with_capture_id(audited)
     have = set(audited.columns)
 
     def given(name: str, otherwise) -> Column:
@@ -33,7 +51,7 @@ def to_events(audited: DataFrame, sequence: Column | None = None) -> DataFrame:
 
     values = {
         "schema_version": F.lit("2"),
-        "event_id": event_id("request_id", "direction", sequence.cast("string")),
+        "event_id": event_id(F.col("capture_id"), F.col("direction"), sequence.cast("string")),
         "event_time": given("ts", F.lit(None).cast("timestamp")),
         "model": given("model", F.lit("")),
         "rule_version": given("rule_version", F.lit("")),
@@ -129,9 +147,10 @@ def admin_events(operations: DataFrame) -> DataFrame:
         F.lit("actor_hash"), actor, F.lit("outcome"), F.col("outcome"),
     )
     empty_policy = F.struct(F.lit("").alias("id"), F.lit(0).cast("bigint").alias("revision"))
+    capture = ["capture_id"] if "capture_id" in operations.columns else []
     return to_events(
         operations.select(
-            "request_id", "ts", "path", F.lit("admin").alias("tenant_id"),
+            *capture, "request_id", "ts", "path", F.lit("admin").alias("tenant_id"),
             F.lit("admin").alias("direction"), F.col("outcome").alias("decision"),
             F.lit(0).alias("risk_score"), F.col("version").alias("rule_version"),
             F.lit(None).cast(NO_MATCHES).alias("matches"), empty_policy.alias("policy"),

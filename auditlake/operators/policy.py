@@ -115,16 +115,23 @@ VERDICT_COLUMNS = ["verdict", "risk_score", "confidence", "categories", "evidenc
 
 
 def join_verdicts(audited: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Attach second opinions (struct ``verdict``) and their error by request_id.
+    """Attach second opinions (struct ``verdict``) and their error.
 
-    A request without a row counts as a failed call, like an unreachable second opinion.
+    Opinions are found by capture_id where they carry one, else by tenant_id and request_id or by
+    request_id alone, as far as they have these columns. Of several opinions on one request the
+    first counts, by ``at`` where there is such a column. A request without a row counts as a failed call, like an unreachable second opinion.
     """
-    known = verdicts.select(
-        "request_id",
+    given = [k for k in ("capture_id", "tenant_id", "request_id") if k in verdicts.columns]
+    keys = ["capture_id"] if "capture_id" in given and "capture_id" in audited.columns else [k for k in given if k != "capture_id"]
+    columns = [*VERDICT_COLUMNS, "error"]
+    first = F.min_by(F.struct(*columns), F.struct(*(["at"] if "at" in verdicts.columns else []), F.to_json(F.struct(*columns))))
+    one = verdicts.groupBy(*keys).agg(first.alias("v")).select(*keys, "v.*")
+    known = one.select(
+        *keys,
         F.when(F.coalesce("error", F.lit("")) == "", F.struct(*VERDICT_COLUMNS)).alias("__opinion"),
         F.coalesce("error", F.lit("")).alias("__error"),
     )
-    joined = audited.join(known, "request_id", "left")
+    joined = audited.join(known, keys, "left")
     missing = F.when(F.col("__opinion").isNull(), F.lit("auditor unavailable")).otherwise("")
     error = F.when(F.col("__error") != "", F.col("__error")).otherwise(missing)
     return joined.withColumn("__error", error)

@@ -40,6 +40,11 @@ MESSAGES = {
 }
 
 
+def stream_keys(rows: DataFrame) -> list[str]:
+    """What names a stream: its capture, as request_id is the caller's choice; request_id where there is none."""
+    return ["capture_id"] if "capture_id" in rows.columns else ["request_id"]
+
+
 def _pieces(body: Column) -> Column:
     """Raw events, terminators kept; the piece after the last terminator may be empty."""
     return F.split(F.decode(body, LATIN1), r"(?<=(?:\n|\A)\r?\n)")
@@ -168,6 +173,22 @@ def _response_fragments(top: Column) -> Column:
     return F.when(known, F.array(_fragment(channel.otherwise(""), delta)))
 
 
+# Names of the fields that are read.
+FIELDS = [*_TOP, "index", "text", "content", "function_call", "arguments", "tool_calls", "function"]
+_ANY_CASE = r'(?<!\\)"(?=[A-Za-z_]*[A-Z])(?i:%s)"[ \t\r\n]*:'
+
+
+def _lower_names(text: Column) -> Column:
+    """Field names in any case become lower case, as readers that ignore case see them.
+
+    A quote that is not escaped and a colon behind the name tell a name from a value.
+    """
+    lowered = text
+    for name in FIELDS:
+        lowered = F.regexp_replace(lowered, _ANY_CASE % name, f'"{name}":')
+    return F.when(text.rlike(_ANY_CASE % "|".join(FIELDS)), lowered).otherwise(text)
+
+
 def extract_fragments(events: DataFrame) -> DataFrame:
     """Adds ``fragments``: array<struct<channel,text>> of one event, in reading order.
 
@@ -190,7 +211,7 @@ def extract_fragments(events: DataFrame) -> DataFrame:
     found = F.when(ok, F.when(is_response, _response_fragments(top)).otherwise(chat))
     empty = F.array().cast("array<struct<channel:string,text:string>>")
     return (
-        events.withColumn("__text", as_text(F.col("data")))
+        events.withColumn("__text", _lower_names(as_text(F.col("data"))))
         .withColumn("__doc", json)
         .withColumn("__top", F.struct(*[_at(F.col("__doc"), f"$.{n}").alias(n) for n in _TOP]))
         .withColumn("__choices", F.transform(_array(top["choices"]), _choice))
@@ -209,7 +230,7 @@ def sse_fragments(events: DataFrame) -> DataFrame:
 
 
 def channel_window(
-    fragments: DataFrame, keys: Sequence[str] = ("request_id",), window: int = WINDOW_BYTES
+    fragments: DataFrame, keys: Sequence[str] | None = None, window: int = WINDOW_BYTES
 ) -> DataFrame:
     """Adds ``window``: the last W bytes of the channel before a fragment, plus the fragment.
 
@@ -218,6 +239,7 @@ def channel_window(
     block is assembled on its own and holds a bounded number of bytes, however long the
     channel is.
     """
+    keys = list(keys or stream_keys(fragments))
     block = 2 * window
     keep = [c for c in fragments.columns if c not in (*keys, "channel", "seq", "frag", "fragment")]
     group = [*keys, "channel"]
@@ -265,7 +287,7 @@ def fragment_audit(
 
     ``fragments`` carries request_id, tenant_id and path.
     """
-    return audit_windows(channel_window(fragments, ["request_id"], window), rules, policies, rule_version)
+    return audit_windows(channel_window(fragments, window=window), rules, policies, rule_version)
 
 
 def audit_windows(windows: DataFrame, rules: Sequence[rul.Rule], policies: DataFrame,
@@ -283,28 +305,29 @@ def audit_windows(windows: DataFrame, rules: Sequence[rul.Rule], policies: DataF
 
 
 def oversize_cut(events: DataFrame, max_bytes: int = MAX_EVENT_BYTES) -> DataFrame:
-    """First event over the size cap per request."""
-    return events.filter(F.octet_length("raw") > max_bytes).groupBy("request_id").agg(
+    """First event over the size cap per stream."""
+    return events.filter(F.octet_length("raw") > max_bytes).groupBy(*stream_keys(events)).agg(
         F.min("seq").alias("cut_seq")
     )
 
 
 def stream_cut(audited: DataFrame, oversize: DataFrame | None = None) -> DataFrame:
-    """request_id, cut_seq, cut_frag, code of the first event that ends each stream.
+    """Stream key, cut_seq, cut_frag, code of the first event that ends each stream.
 
     An oversize event ends the stream before its fragments are read, so it wins a tie.
     """
+    keys = stream_keys(audited)
     blocked = audited.filter(F.col("decision") == "block").select(
-        "request_id", "seq", "frag", F.lit(BLOCKED).alias("code")
+        *keys, "seq", "frag", F.lit(BLOCKED).alias("code")
     )
     if oversize is not None:
         blocked = blocked.unionByName(
-            oversize.select("request_id", F.col("cut_seq").alias("seq"), F.lit(-1).alias("frag"),
+            oversize.select(*keys, F.col("cut_seq").alias("seq"), F.lit(-1).alias("frag"),
                             F.lit(TOO_LARGE).alias("code"))
         )
     first = F.min(F.struct("seq", "frag", "code"))
-    return blocked.groupBy("request_id").agg(first.alias("f")).select(
-        "request_id", F.col("f.seq").alias("cut_seq"), F.col("f.frag").alias("cut_frag"), F.col("f.code").alias("code")
+    return blocked.groupBy(*keys).agg(first.alias("f")).select(
+        *keys, F.col("f.seq").alias("cut_seq"), F.col("f.frag").alias("cut_frag"), F.col("f.code").alias("code")
     )
 
 
@@ -313,7 +336,7 @@ def before_cut(rows: DataFrame, cuts: DataFrame, include_trigger: bool) -> DataF
 
     The cut side has one row per ended stream; one long stream's rows spread over tasks.
     """
-    joined = salted_lookup(rows, cuts, ["request_id"], F.col("seq"))
+    joined = salted_lookup(rows, cuts, stream_keys(rows), F.col("seq"))
     inside = F.col("seq") < F.col("cut_seq")
     if include_trigger:
         inside = inside | ((F.col("seq") == F.col("cut_seq")) & (F.col("frag") <= F.col("cut_frag")))
@@ -338,7 +361,7 @@ def oversize_events(
 ) -> DataFrame:
     """The event of a stream ended by its size: blocked, score 0, empty body."""
     ended = transcripts.drop("body").join(
-        cuts.filter(F.col("code") == TOO_LARGE).select("request_id", "cut_seq", "code"), "request_id"
+        cuts.filter(F.col("code") == TOO_LARGE).select(*stream_keys(transcripts), "cut_seq", "code"), stream_keys(transcripts)
     )
     blank = ended.withColumns(
         {
@@ -367,12 +390,13 @@ def terminal_event(code: Column, request_id: Column) -> Column:
 
 
 def delivered_transcript(transcripts: DataFrame, cuts: DataFrame) -> DataFrame:
-    """request_id, code, delivered bytes: the forwarded prefix plus the terminal event.
+    """Stream key, request_id, code, delivered bytes: the forwarded prefix plus the terminal event.
 
     What is forwarded is a byte prefix of the body, so nothing is collected: the length of
     the first ``cut_seq`` events is summed inside the row.
     """
-    joined = transcripts.select("request_id", "body").join(cuts, "request_id", "left")
+    keys = stream_keys(transcripts)
+    joined = transcripts.select(*dict.fromkeys([*keys, "request_id"]), "body").join(cuts, keys, "left")
     length = F.aggregate(
         F.slice(_pieces(F.col("body")), F.lit(1), F.col("cut_seq")), F.lit(0),
         lambda total, piece: total + F.length(piece),
@@ -381,5 +405,5 @@ def delivered_transcript(transcripts: DataFrame, cuts: DataFrame) -> DataFrame:
         F.substring("body", F.lit(1), length), terminal_event(F.col("code"), F.col("request_id")).cast("binary")
     )
     return joined.select(
-        "request_id", "code", F.when(F.col("cut_seq").isNull(), F.col("body")).otherwise(ended).alias("delivered")
+        *dict.fromkeys([*keys, "request_id"]), "code", F.when(F.col("cut_seq").isNull(), F.col("body")).otherwise(ended).alias("delivered")
     )

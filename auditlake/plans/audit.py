@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditlake import require_configured
 from auditlake.functions.text import body_bytes, content_sha256, request_model, with_normal_text
 from auditlake.operators import events as ev
 from auditlake.operators import policy as pol
@@ -18,6 +19,7 @@ def audit_text(traffic: DataFrame, rules: Sequence[rul.Rule], rule_version: str
 
     The normalised text is used inside this projection only and is never shuffled.
     """
+    require_configured(traffic.sparkSession)
     normal = with_normal_text(traffic)
     matched = normal.withColumn("matches", rul.match_list(F.col("text"), rules)).drop("text")
     return matched.withColumns(
@@ -27,6 +29,7 @@ def audit_text(traffic: DataFrame, rules: Sequence[rul.Rule], rule_version: str
 
 def audit_text_by_tenant(traffic: DataFrame, rule_sets: DataFrame) -> DataFrame:
     """The same with the rule set in force for each row's tenant."""
+    require_configured(traffic.sparkSession)
     normal = with_normal_text(traffic)
     matched = rul.match_effective(normal, rul.active_rule_sets(rule_sets)).drop("text")
     return matched.withColumn("risk_score", rul.risk_score(F.col("matches")))
@@ -55,6 +58,7 @@ def audit_events(traffic: DataFrame, rules: Sequence[rul.Rule], policies: DataFr
             "content_sha256": content_sha256(F.col("body")),
         }
     )
+    stamped = ev.with_capture_id(stamped)
     # The body ends here: joins below move a row of a few hundred bytes.
     decided = decide(audit_text(stamped, rules, rule_version).drop("body"), policies)
     if verdicts is None:
@@ -87,10 +91,19 @@ def _with_shadow(joined: DataFrame) -> DataFrame:
 
 def audit_responses(traffic: DataFrame, rules: Sequence[rul.Rule], policies: DataFrame,
                     max_bytes: int = ev.MAX_RESPONSE_BYTES, rule_version: str = "") -> DataFrame:
-    """Whole response bodies; bodies over the cap are reported as errors and not audited."""
-    sized = traffic.withColumn("too_large", F.octet_length("body") > max_bytes)
-    kept = sized.withColumn("body", F.when(~F.col("too_large"), F.col("body")))
-    decided = audit(kept, rules, policies, rule_version)
-    return decided.withColumn(
-        "decision", F.when(F.col("too_large"), "error").otherwise(F.col("decision"))
-    )
+    """Whole response bodies, each audited; ``too_large`` tells which are over ``max_bytes``."""
+    sized = ev.with_capture_id(traffic).withColumn("too_large", F.octet_length("body") > max_bytes)
+    return audit(sized, rules, policies, rule_version)
+
+
+def response_events(traffic: DataFrame, rules: Sequence[rul.Rule], policies: DataFrame, verdicts: DataFrame | None = None,
+                    max_bytes: int = ev.MAX_RESPONSE_BYTES, rule_version: str = "") -> DataFrame:
+    """Redacted events of response bodies; with ``verdicts``, shadow events of allowed ones too."""
+    stamped = traffic.withColumns({"body_bytes": body_bytes(F.col("body")), "content_sha256": content_sha256(F.col("body"))})
+    decided = audit_responses(stamped, rules, policies, max_bytes, rule_version).drop("body")
+    size = F.create_map(F.lit("too_large"), F.lit("true"))
+    decided = decided.withColumn("metadata", F.when(F.col("too_large"), size)).drop("too_large")
+    if verdicts is None:
+        return ev.redact_evidence(ev.to_events(decided))
+    doubled = _with_shadow(pol.join_verdicts(decided, verdicts))
+    return ev.redact_evidence(ev.to_events(doubled, F.col("sequence")))

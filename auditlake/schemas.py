@@ -19,7 +19,7 @@ CONFIG = (
     "auditor_failure_mode:string>>>"
 )
 TRAFFIC = (
-    "request_id string, tenant_id string, api_key_id string, direction string, "
+    "capture_id string, request_id string, tenant_id string, api_key_id string, direction string, "
     "model string, path string, body binary, ts timestamp"
 )
 MATCH = (

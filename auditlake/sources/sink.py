@@ -1,4 +1,4 @@
-"""Append-only event table, partitioned by day, one row per event_id however often a batch runs."""
+"""Append-only event table, one row per event_id however often a batch runs, whatever its time."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.operators.events import new_events, redact_evidence
+from auditlake.schemas import EVENT
 
 
 @functools.cache
@@ -41,30 +42,38 @@ def materialize(rows: DataFrame, name: str) -> DataFrame:
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame | None:
+    """The stored events with their partition columns; None if nothing was stored yet."""
     try:
-        return spark.read.parquet(path)
-    except AnalysisException:
+        return spark.read.schema(f"{EVENT}, event_bucket string, event_date date").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
 def audit_sink(batch: DataFrame, path: str) -> None:
     """Append the events of a batch that are not stored yet.
 
-    Only the days the batch touches are read back, and of them only the id column. Meant for
-    one writer at a time, like a micro-batch stream.
+    An event is known by its id alone: a replay with another time, or none, is not stored again.
+    The table is partitioned by the first digit of the id, so that ids are looked up in the buckets
+    the batch touches, and by day for readers. Only the id column is read back. Meant for one writer
+    at a time, like a micro-batch stream.
     """
     spark = batch.sparkSession
-    rows = redact_evidence(batch).withColumn("event_date", F.to_date("event_time"))
+    rows = redact_evidence(batch).withColumns(
+        {"event_bucket": F.substring("event_id", 1, 1), "event_date": F.to_date("event_time")}
+    )
     stored = read_events(spark, path)
     if stored is not None:
-        days = rows.select("event_date").distinct()
-        ids = stored.select("event_id", "event_date").join(days, "event_date", "left_semi")
+        buckets = rows.select("event_bucket").distinct()
+        ids = stored.select("event_id", "event_bucket").join(F.broadcast(buckets), "event_bucket", "left_semi")
         rows = new_events(rows, ids)
     else:
         rows = rows.dropDuplicates(["event_id"])
     # Partitions of even size, so that a busy day is written by many tasks and a quiet one by few.
-    spread = rows.hint("rebalance", "event_date")
-    spread.sortWithinPartitions("event_date", "tenant_id").write.mode("append").partitionBy("event_date").parquet(path)
+    layout = ["event_bucket", "event_date"]
+    spread = rows.hint("rebalance", *layout).sortWithinPartitions(*layout, "tenant_id")
+    spread.write.mode("append").partitionBy(*layout).parquet(path)
 
 
 def stream_to_sink(events: DataFrame, path: str, checkpoint: str):

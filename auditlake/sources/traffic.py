@@ -21,7 +21,7 @@ def sse_source(spark: SparkSession, path: str, glob: str = "*.sse") -> DataFrame
     """One transcript per file, as bytes: a text source would lose line endings."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
     name = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
-    return files.select(name.alias("request_id"), F.col("content").alias("body"))
+    return files.select(F.col("path").alias("capture_id"), name.alias("request_id"), F.col("content").alias("body"))
 
 
 def spread(rows: DataFrame, *keys: str) -> DataFrame:

@@ -6,16 +6,18 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from auditlake.operators.sse import WINDOW_BYTES
+from auditlake.operators.sse import WINDOW_BYTES, stream_keys
 
+#: Event time after which a silent stream's window tails are dropped, unless a caller says otherwise.
 IDLE_MS = 600_000
-OUTPUT = "request_id string, tenant_id string, path string, seq int, frag int, channel string, fragment binary, window binary, event_time timestamp"
+OUTPUT = "stream string, request_id string, tenant_id string, path string, seq int, frag int, channel string, fragment binary, window binary, event_time timestamp"
 
 
 def renew(handle: StatefulProcessorHandle, deadline, at: int) -> None:
-    """Move the one timer of a request, which drops its state when it fires."""
+    """Move the one timer of a stream, which drops its state when it fires."""
     if deadline.exists():
         handle.deleteTimer(deadline.get()[0])
     deadline.update((at,))
@@ -23,10 +25,10 @@ def renew(handle: StatefulProcessorHandle, deadline, at: int) -> None:
 
 
 class ChannelWindows(StatefulProcessor):
-    """Per request: the last W bytes of every channel; silent after ``IDLE_MS`` of event time."""
+    """Per stream: the last W bytes of every channel; dropped after ``idle_ms`` of silence in event time."""
 
-    def __init__(self, window: int = WINDOW_BYTES):
-        self.window = window
+    def __init__(self, window: int = WINDOW_BYTES, idle_ms: int = IDLE_MS):
+        self.window, self.idle_ms = window, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -46,9 +48,9 @@ class ChannelWindows(StatefulProcessor):
             tails[channel] = data[-self.window:]
         for channel, tail in tails.items():
             self.tails.updateValue((channel,), (tail,))
-        renew(self.handle, self.deadline, int(frame["event_time"].max().timestamp() * 1000) + IDLE_MS)
-        yield frame.assign(request_id=key[0], window=windows)[
-            ["request_id", "tenant_id", "path", "seq", "frag", "channel", "fragment", "window", "event_time"]
+        renew(self.handle, self.deadline, int(frame["event_time"].max().timestamp() * 1000) + self.idle_ms)
+        yield frame.assign(stream=key[0], window=windows)[
+            ["stream", "request_id", "tenant_id", "path", "seq", "frag", "channel", "fragment", "window", "event_time"]
         ]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -60,32 +62,42 @@ class ChannelWindows(StatefulProcessor):
         pass
 
 
-def stream_windows(fragments: DataFrame, window: int = WINDOW_BYTES, delay: str = "10 minutes") -> DataFrame:
+def _by_stream(rows: DataFrame) -> DataFrame:
+    """Adds ``stream``, the capture a row belongs to (its request where the capture has no id)."""
+    return rows.withColumn("stream", F.col(stream_keys(rows)[0]))
+
+
+def stream_windows(fragments: DataFrame, window: int = WINDOW_BYTES, delay: str = "10 minutes",
+                   idle_ms: int = IDLE_MS) -> DataFrame:
     """Fragments (request_id, ..., event_time) -> fragments with their window.
 
+    After ``idle_ms`` without a fragment a stream's tails are dropped: a term split over a longer
+    pause is found by the batch form only. A late fragment gets the window of its arrival.
     Needs the RocksDB state store. Auditing and the cut follow as ordinary projections, so
     the rules stay in the JVM.
     """
     return (
-        fragments.withWatermark("event_time", delay)
-        .groupBy("request_id")
+        _by_stream(fragments).withWatermark("event_time", delay)
+        .groupBy("stream")
         .transformWithStateInPandas(
-            ChannelWindows(window), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime"
+            ChannelWindows(window, idle_ms), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime"
         )
     )
 
 
-CUT_COLUMNS = ["request_id", "seq", "frag", "channel", "risk_score", "decision"]
-CUT = "request_id string, seq int, frag int, channel string, risk_score int, decision string"
+CUT_COLUMNS = ["stream", "request_id", "seq", "frag", "channel", "risk_score", "decision"]
+CUT = "stream string, request_id string, seq int, frag int, channel string, risk_score int, decision string"
 
 
 class FirstBlock(StatefulProcessor):
-    """Per request: passes audited fragments up to and including the first blocked one."""
+    """Per stream: passes audited fragments up to and including the first blocked one.
+
+    That a stream has ended is kept for good, one number for each blocked stream: nothing of it
+    passes later, however long the pause.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
         self.ended = handle.getValueState("ended", "seq int")
-        self.deadline = handle.getValueState("deadline", "at bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows), ignore_index=True).sort_values(["seq", "frag"], kind="stable")
@@ -93,15 +105,9 @@ class FirstBlock(StatefulProcessor):
             return
         blocked = (frame["decision"] == "block").to_numpy().nonzero()[0]
         if len(blocked):
-            renew(self.handle, self.deadline, int(frame["event_time"].max().timestamp() * 1000) + IDLE_MS)
             frame = frame.iloc[: blocked[0] + 1]
             self.ended.update((int(frame["seq"].iloc[-1]),))
-        yield frame[CUT_COLUMNS]
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.ended.clear()
-        self.deadline.clear()
-        return iter([])
+        yield frame.assign(stream=key[0])[CUT_COLUMNS]
 
     def close(self) -> None:
         pass
@@ -109,9 +115,8 @@ class FirstBlock(StatefulProcessor):
 
 def stream_until_block(audited: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Audited fragments -> those that were still read before their stream ended."""
-    return audited.select(*CUT_COLUMNS, "event_time").withWatermark("event_time", delay).groupBy(
-        "request_id"
-    ).transformWithStateInPandas(FirstBlock(), outputStructType=CUT, outputMode="Append", timeMode="EventTime")
+    rows = audited if "stream" in audited.columns else _by_stream(audited)
+    return rows.select(*CUT_COLUMNS, "event_time").withWatermark("event_time", delay).groupBy("stream").transformWithStateInPandas(FirstBlock(), outputStructType=CUT, outputMode="Append", timeMode="EventTime")
 
 
 def configure(spark) -> None:

@@ -1,3 +1,6 @@
+import itertools
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,23 +18,25 @@ def policies(spark, rows):
     return spark.createDataFrame([(i, s, p, d, 30, 80, a, m, 1) for i, s, p, d, a, m in rows], POLICY_FIELDS)
 
 
-PRECEDENCE = [
-    ("global-default", "global", "*", "request", "block", ""), ("global-route", "global", CHAT, "request", "block", ""),
-    ("tenant-default", "tenant:tenant-a", "*", "request", "block", ""), ("tenant-route", "tenant:tenant-a", CHAT, "request", "block", ""),
-    ("responses-route", "tenant:tenant-a", RESPONSES, "response", "block", ""),
-]
+def best_policy(table, tenant, path, direction):
+    """Of the policies for a direction: the tenant's before everybody's, then the route's before any route's."""
+    fits = [p for p in table if p[1] in ("global", f"tenant:{tenant}") and p[2] in ("*", path) and p[3] == direction]
+    return min(fits, key=lambda p: (p[1] == "global", p[2] == "*"), default=[""])[0]
 
 
 @pytest.mark.parametrize("limit", [lookup.MAX_BROADCAST_BYTES, 0])
 def test_precedence(spark, limit, monkeypatch):
     monkeypatch.setattr(lookup.lookup, "__defaults__", ("left", limit))
-    asked = spark.createDataFrame([
-        ("1", "tenant-a", CHAT, "request"), ("2", "tenant-a", "/v1/completions", "request"), ("3", "tenant-b", CHAT, "request"),
-        ("4", "tenant-b", "/v1/embeddings", "request"), ("5", "tenant-a", RESPONSES, "response"), ("6", "tenant-b", CHAT, "response"),
-    ], "request_id string, tenant_id string, path string, direction string")
-    found = pol.policy_resolve(asked, policies(spark, PRECEDENCE)).orderBy("request_id").collect()
-    assert [r.policy.id for r in found] == ["tenant-route", "tenant-default", "global-route", "global-default", "responses-route", ""]
-    assert found[-1].policy.revision == 1
+    scopes, routes, directions = ["global", "tenant:x", "tenant:y"], ["*", "/v1/completions", RESPONSES], ["request", "response"]
+    every = [(f"p{i}", s, r, d, "block", "") for i, (s, r, d) in enumerate(itertools.product(scopes, routes, directions))]
+    rng = random.Random(3)
+    calls = [(str(i), t, p, d) for i, (t, p, d) in enumerate(itertools.product("xyz", ["/v1/completions", RESPONSES, "/v1/embeddings"], directions))]
+    asked = spark.createDataFrame(calls, "request_id string, tenant_id string, path string, direction string")
+    for size in (0, 5, 9, len(every)):
+        table = rng.sample(every, size)
+        found = {r.request_id: r.policy for r in pol.policy_resolve(asked, policies(spark, table)).collect()}
+        assert {k: p.id for k, p in found.items()} == {i: best_policy(table, t, p, d) for i, t, p, d in calls}
+        assert {p.revision for p in found.values()} == {1}
 
 
 def test_thresholds(spark):
@@ -74,14 +79,14 @@ def test_verdicts(spark):
 
 
 def test_redaction_leaks_nothing(spark):
-    rows = traffic(spark, [("1", "t", "request", CHAT, "needle"), ("2", "t", "request", CHAT, "clean")])
-    rules = [Rule("n", "secret name", "needle", action="redact", weight=40)]
+    rows = traffic(spark, [("1", "t", "request", CHAT, "blueprint"), ("2", "t", "request", CHAT, "clean")])
+    rules = [Rule("n", "secret name", "blueprint", action="redact", weight=40)]
     events = audit.audit_events(rows, rules, policies(spark, [])).orderBy("request_id")
     first, second = events.collect()
     assert first.decision == "redact" and first.matches is None and first.metadata == {"evidence_redacted": "true"}
-    assert first.risk_score == 40 and first.body_bytes == 6 and len(first.content_sha256) == 64
+    assert first.risk_score == 40 and first.body_bytes == 9 and len(first.content_sha256) == 64
     assert second.decision == "allow" and second.metadata is None
-    assert b"needle" not in bytes(topic.kafka_rows(events).collect()[0].value)
+    assert b"blueprint" not in bytes(topic.kafka_rows(events).collect()[0].value)
 
 
 def test_events_are_reproducible(spark):
@@ -90,12 +95,38 @@ def test_events_are_reproducible(spark):
     assert len(ids) == 1
 
 
+def test_one_request_id_of_several_callers(spark):
+    """Two tenants, and one of them twice, send the same request id: three captures, judged and stored apart."""
+    rows = traffic(spark, [("1", "a", "request", CHAT, "fine"), ("1", "b", "request", CHAT, "blueprint"), ("1", "a", "request", CHAT, "other")])
+    rules = [Rule("n", "", "blueprint", action="monitor", weight=40)]
+    opinion = (0, 0.9, [], "", "m", "1", "")
+    opinions = spark.createDataFrame([("a", "1", "allow", *opinion), ("b", "1", "block", *opinion), ("b", "1", "block", *opinion)], "tenant_id string, " + VERDICT)
+    found = audit.audit_events(rows, rules, policies(spark, []), opinions).collect()
+    assert sorted((e.tenant_id, e.decision, e.auditor.verdict) for e in found if e.decision != "allow" or e.auditor) == [
+        ("a", "allow", "allow"), ("a", "allow", "allow"), ("b", "block", "block")]
+    assert len(found) == len({e.event_id for e in found}) == 5
+
+
 def test_sink_is_idempotent(spark, tmp_path):
     rows = traffic(spark, [("1", "t", "request", CHAT, "a"), ("1", "t", "request", CHAT, "a"), ("2", "t", "request", CHAT, "b")])
     events = audit.audit_events(rows.withColumn("ts", F.lit("2024-01-01").cast("timestamp")), [], policies(spark, []))
-    for _ in range(2):
-        sink.audit_sink(events, str(tmp_path / "events"))
-    assert spark.read.parquet(str(tmp_path / "events")).count() == 2
+    path = str(tmp_path / "events")
+    assert sink.read_events(spark, path) is None
+    sink.audit_sink(events, path)
+    for time in ("2024-01-01", "2024-03-01", None):
+        sink.audit_sink(events.withColumn("event_time", F.lit(time).cast("timestamp")), path)
+    sink.audit_sink(events.limit(1).withColumns({"event_id": F.lit("new"), "event_time": F.lit(None).cast("timestamp")}), path)
+    sink.audit_sink(events.limit(1).withColumns({"event_id": F.lit("new"), "event_time": F.lit(None).cast("timestamp")}), path)
+    assert sink.read_events(spark, path).count() == 3
+
+
+def test_stream_to_sink(spark, tmp_path):
+    rows = traffic(spark, [(str(i), "t", "request", CHAT, "a") for i in range(5)]).withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+    for part in ("one", "two"):
+        audit.audit_events(rows, [], policies(spark, [])).write.parquet(str(tmp_path / "in" / part))
+    stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in" / "one")).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    sink.stream_to_sink(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
+    assert sink.read_events(spark, str(tmp_path / "out")).count() == 5
 
 
 def test_outcome_precedence(spark):
@@ -108,10 +139,22 @@ def test_outcome_precedence(spark):
 
 
 def test_whole_response(spark):
-    rows = traffic(spark, [("1", "t", "response", CHAT, "response-secret"), ("2", "t", "response", CHAT, "x" * 50)])
-    rules = [Rule("r", "", "response-secret", action="block", weight=85)]
+    rows = traffic(spark, [("1", "t", "response", CHAT, "the blueprint"), ("2", "t", "response", CHAT, "x" * 50 + " blueprint"), ("3", "t", "response", CHAT, "ok")])
+    rules = [Rule("r", "", "blueprint", action="block", weight=85)]
     found = audit.audit_responses(rows, rules, policies(spark, []), 20).orderBy("request_id").collect()
-    assert [r.decision for r in found] == ["block", "error"]
+    assert [(r.decision, r.too_large) for r in found] == [("block", False), ("block", True), ("allow", False)]
+    events = audit.response_events(rows, rules, policies(spark, []), max_bytes=20).orderBy("request_id").collect()
+    assert [(e.decision, e.metadata) for e in events] == [("block", None), ("block", {"too_large": "true"}), ("allow", None)]
+    opinions = spark.createDataFrame([("3", "allow", 0, 0.9, [], "", "m", "1", "")], VERDICT)
+    shadowed = audit.response_events(rows, rules, policies(spark, []), opinions).collect()
+    assert sorted((e.request_id, e.auditor is not None) for e in shadowed) == [("1", False), ("2", False), ("3", False), ("3", True)]
+
+
+def test_plain_sessions_are_refused(spark):
+    plain = spark.newSession()
+    plain.conf.unset("spark.sql.variant.allowDuplicateKeys")
+    with pytest.raises(ValueError, match="configure"):
+        audit.audit_events(traffic(plain, [("1", "t", "request", CHAT, "a")]), [], policies(plain, []))
 
 
 def test_config_file(spark, tmp_path):

@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import auditlake
 from auditlake.operators.rules import Rule
 from auditlake.schemas import POLICY_FIELDS
 from auditlake.sources.traffic import spread
@@ -33,9 +34,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def configure(spark: SparkSession) -> SparkSession:
     """Runtime settings the results depend on."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    # A repeated JSON key keeps its last value, as other JSON readers do.
-    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    auditlake.configure(spark)
     # Work per shuffled byte is high (a 16-byte fragment is audited with its 16 KB window), so
     # small shuffles are still worth many tasks.
     spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
@@ -116,6 +115,7 @@ def traffic_of(docs: DataFrame, wrap: bool = False) -> DataFrame:
     if wrap:
         body = wrapped_body(F.concat(F.lit("m-"), F.col("lang")), body, F.col("doc_id") % 4)
     return docs.select(
+        F.concat(F.lit("doc-"), "doc_id").alias("capture_id"),
         F.col("doc_id").cast("string").alias("request_id"),
         F.col("source").alias("tenant_id"),
         F.concat(F.lit("key-"), "source").alias("api_key_id"),

@@ -314,9 +314,9 @@ def key_inventory(spark, sf):
     )
 
 
-@query("key_revocations", "SELECT o_custkey::varchar AS id, epoch_ms(min(o_orderdate)) AS revoked_ms, count(*) AS attempts FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
+@query("key_revocations", "SELECT o_custkey::varchar AS id, epoch_ms(min(o_orderdate)) AS revoked_ms, count(*) AS attempts FROM orders GROUP BY 1")
 def key_revocations(spark, sf):
-    log = table(spark, sf, "orders").filter("o_orderstatus = 'F'").select(
+    log = table(spark, sf, "orders").select(
         F.col("o_custkey").cast("string").alias("id"), F.col("o_orderdate").alias("revoked_at")
     )
     return identity.key_revocations(log).select("id", F.unix_millis("revoked_at").alias("revoked_ms"), "attempts")

@@ -173,7 +173,7 @@ twice AS (
   UNION ALL SELECT * REPLACE (verdict AS auditor_verdict,
     CASE WHEN verdict IS NULL THEN 'auditor unavailable' ELSE '' END AS auditor_error), 1 FROM promoted WHERE first_decision = 'allow'),
 event_rows AS (
-  SELECT sha256(request_id || '|request|' || seq) AS event_id, request_id, tenant_id, path, decision, risk_score, policy_id,
+  SELECT sha256(sha256('doc-' || request_id) || '|request|' || seq) AS event_id, request_id, tenant_id, path, decision, risk_score, policy_id,
     p_revision AS policy_revision, strlen(body) AS body_bytes, sha256(body) AS content_sha256, epoch_ms(ts) AS ms,
     CASE WHEN decision = 'redact' THEN NULL ELSE match_ids END AS match_ids, auditor_verdict,
     CASE WHEN auditor_verdict IS NULL THEN NULL WHEN decision = 'redact' OR auditor_verdict <> 'block' THEN '' ELSE 'label' END AS auditor_evidence,
@@ -194,6 +194,17 @@ def audit_events(spark, sf):
     return flat(events(spark, sf))
 
 
+@query("shared_request_ids", EVENTS_SQL + """ SELECT event_id, (request_id::int // 100)::varchar AS request_id, tenant_id, decision,
+  auditor_verdict FROM event_rows""")
+def shared_request_ids(spark, sf):
+    """Callers that send the request ids of others, and their own again: no event goes, none is judged for another."""
+    shared = (F.col("request_id").cast("long") / 100).cast("long").cast("string")
+    opinions = data.verdicts(spark, sf).withColumn("capture_id", F.concat(F.lit("doc-"), "request_id")).withColumn("request_id", shared)
+    traffic = data.traffic(spark, sf).withColumn("request_id", shared)
+    rows = audit.audit_events(traffic, data.RULES, data.policies(spark), opinions, data.RULE_VERSION)
+    return rows.select("event_id", "request_id", "tenant_id", "decision", F.col("auditor.verdict").alias("auditor_verdict"))
+
+
 @query("redact_evidence", EVENTS_SQL + """ SELECT decision, redacted, match_ids IS NULL AS no_matches, count(*) AS n,
   count(*) FILTER (auditor_evidence <> '') AS with_evidence FROM event_rows GROUP BY ALL""")
 def redact_evidence(spark, sf):
@@ -215,7 +226,7 @@ def day_events(spark, sf):
     policy = F.struct(F.lit("p1").alias("id"), F.lit(1).cast("bigint").alias("revision"))
     return ev.to_events(
         calls.select(
-            F.col("event_id").cast("string").alias("request_id"), F.col("event_time").alias("ts"), "tenant_id", "direction",
+            F.col("event_id").cast("string").alias("capture_id"), F.lit("same").alias("request_id"), F.col("event_time").alias("ts"), "tenant_id", "direction",
             "path", "decision", F.col("k").alias("risk_score"), F.lit(None).cast(rul.NO_MATCHES).alias("matches"),
             policy.alias("policy"), F.lit(0).alias("body_bytes"), F.lit("").alias("content_sha256"),
             (F.col("seconds") * 1000).cast("bigint").alias("latency_ms"),
@@ -226,10 +237,14 @@ def day_events(spark, sf):
 @query("audit_sink", """SELECT epoch_ms(date_trunc('day', ts)) AS day_ms, count(*) AS n, count(*) AS ids,
   count(*) FILTER (json_extract(props, '$.k')::int BETWEEN 85 AND 94) AS redacted FROM events GROUP BY ALL""")
 def audit_sink(spark, sf):
+    """A first batch, then all events together with replays of the first ones, a day late or without time."""
     path = sink.shared_dir(spark, "events")
     rows = day_events(spark, sf)
-    sink.audit_sink(rows, path)
-    sink.audit_sink(rows, path)
+    first = rows.filter(F.col("event_time") < "2024-01-20")
+    late = first.withColumn("event_time", F.col("event_time") + F.expr("INTERVAL 1 DAY"))
+    timeless = first.withColumn("event_time", F.lit(None).cast("timestamp"))
+    sink.audit_sink(first, path)
+    sink.audit_sink(rows.unionByName(late).unionByName(timeless), path)
     stored = spark.read.parquet(path)
     marked = F.try_element_at("metadata", F.lit("evidence_redacted")) == "true"
     return stored.groupBy(F.unix_millis(F.date_trunc("day", "event_time")).alias("day_ms")).agg(
@@ -290,10 +305,11 @@ def request_outcome(spark, sf):
 
 @query("admin_events", """WITH ops AS (SELECT o_orderkey::varchar AS request_id, CASE o_orderstatus WHEN 'P' THEN 'rule_set_publish' WHEN 'F' THEN 'policy_delete' ELSE 'api_key_revoke' END AS operation,
   CASE WHEN o_orderstatus = 'F' THEN '' ELSE 'tenant:' || o_orderpriority END AS scope, sha256('token-' || (o_custkey % 50)) AS actor_hash FROM orders)
-SELECT sha256(request_id || '|admin|0') AS event_id, operation, scope, actor_hash, 'success' AS decision, 'admin' AS tenant_id FROM ops""")
+SELECT sha256(sha256(request_id) || '|admin|0') AS event_id, operation, scope, actor_hash, 'success' AS decision, 'admin' AS tenant_id FROM ops""")
 def admin_events(spark, sf):
     status = F.col("o_orderstatus")
     ops = table(spark, sf, "orders").select(
+        F.col("o_orderkey").cast("string").alias("capture_id"),
         F.col("o_orderkey").cast("string").alias("request_id"), F.col("o_orderdate").alias("ts"), F.lit("/admin/v1").alias("path"),
         F.when(status == "P", "rule_set_publish").when(status == "F", "policy_delete").otherwise("api_key_revoke").alias("operation"),
         F.when(status == "F", "").otherwise(F.concat(F.lit("tenant:"), "o_orderpriority")).alias("scope"),
@@ -321,9 +337,8 @@ PAGES = """traffic AS (SELECT page_id::varchar AS request_id, 'src' || (page_id
 PAGE_CAP = 4096
 
 
-@query("response_audit", "WITH " + sql.audited(PAGES, text=f"CASE WHEN strlen(body) > {PAGE_CAP} THEN '' ELSE {sql.normal('body')} END")
-       + f""" SELECT request_id, CASE WHEN strlen(body) > {PAGE_CAP} THEN 'error' ELSE decision END AS decision,
-  strlen(body) > {PAGE_CAP} AS too_large, risk_score, policy_id FROM decided""")
+@query("response_audit", "WITH " + sql.audited(PAGES, text=sql.normal("body"))
+       + f""" SELECT request_id, decision, strlen(body) > {PAGE_CAP} AS too_large, risk_score, policy_id FROM decided""")
 def response_audit(spark, sf):
     rows = audit.audit_responses(data.page_traffic(spark, sf), data.RULES, data.policies(spark), PAGE_CAP)
     return rows.select("request_id", "decision", "too_large", "risk_score", F.col("policy.id").alias("policy_id"))

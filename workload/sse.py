@@ -42,7 +42,6 @@ def transcripts(spark, sf):
 
 def transcripts_of(turns):
     """Transcripts of a batch or streaming frame of conversation turns."""
-    turns = turns.filter("role = 'assistant'")
     shape = F.col("conv_id") % 3
     count = F.ceil(F.length("text") / STEP).cast("int")
 
@@ -57,8 +56,9 @@ def transcripts_of(turns):
             .otherwise(F.concat(F.lit(': note\ndata:{"choices":[{"text":'), delta, F.lit("}]}\n\n")))
         )
 
-    events = F.array_join(F.transform(F.sequence(F.lit(0), count - 1), event), "")
+    events = F.array_join(F.transform(F.filter(F.sequence(F.lit(0), count), lambda i: i < count), event), "")
     return turns.select(
+        F.concat_ws("/", F.lit("turn"), "conv_id", "turn").alias("capture_id"),
         F.concat_ws("-", "conv_id", "turn").alias("request_id"),
         F.concat(F.lit("c"), F.col("conv_id") % 20).alias("tenant_id"),
         F.lit("/v1/chat/completions").alias("path"),
@@ -69,7 +69,7 @@ def transcripts_of(turns):
 
 _Q = sql.quoted("delta")
 BASE = f"""turns AS (SELECT conv_id || '-' || turn AS request_id, 'c' || (conv_id % 20) AS tenant_id, conv_id % 3 AS shape, text
-  FROM conversations WHERE role = 'assistant'),
+  FROM conversations),
 deltas AS (SELECT request_id, tenant_id, shape, i AS seq, substr(text, i * {STEP} + 1, {STEP}) AS delta
   FROM (SELECT *, unnest(range((length(text) + {STEP - 1}) // {STEP})) AS i FROM turns)),
 sse AS (SELECT request_id, tenant_id, shape, seq, delta, CASE shape
@@ -138,7 +138,7 @@ windows AS (SELECT c.request_id, c.channel, c.seq, c.delta,
 
 @query("channel_window", f"WITH {BASE}, {WINDOWS_SQL} SELECT request_id, channel, seq, hex FROM windows")
 def channel_window(spark, sf):
-    found = sse.channel_window(materialize(fragments(spark, sf), "fragments"), ["request_id"], SMALL_WINDOW)
+    found = sse.channel_window(materialize(fragments(spark, sf), "fragments"), window=SMALL_WINDOW)
     return found.select("request_id", "channel", "seq", F.hex("window").alias("hex"))
 
 
@@ -176,12 +176,12 @@ def stream_audit(spark, sf):
 SELECT d.request_id, d.seq, d.decision, d.seq = c.cut_seq AS ended FROM decided d LEFT JOIN cuts c USING (request_id)
 WHERE c.cut_seq IS NULL OR d.seq <= c.cut_seq""")
 def stream_cut(spark, sf):
-    rows = materialize(audited(spark, sf).select("request_id", "seq", "frag", "decision"), "decisions")
+    rows = materialize(audited(spark, sf).select("capture_id", "request_id", "seq", "frag", "decision"), "decisions")
     kept = sse.before_cut(rows, sse.stream_cut(rows), True)
     return kept.select("request_id", "seq", "decision", (F.col("seq") == F.col("cut_seq")).alias("ended"))
 
 
-@query("oversize_cut", f"""WITH {BASE} SELECT request_id, min(seq) AS cut_seq FROM sse WHERE strlen(raw) > {SMALL_EVENT} GROUP BY 1""")
+@query("oversize_cut", f"""WITH {BASE} SELECT 'turn/' || replace(request_id, '-', '/') AS capture_id, min(seq) AS cut_seq FROM sse WHERE strlen(raw) > {SMALL_EVENT} GROUP BY 1""")
 def oversize_cut(spark, sf):
     return sse.oversize_cut(sse.sse_split(transcripts(spark, sf)), SMALL_EVENT)
 
