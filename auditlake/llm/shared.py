@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 ROWS_PER_BATCH, BYTES_PER_BATCH = "512", "8m"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,10 +23,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(rows: DataFrame, name: str) -> DataFrame:
-    """Rows written once and read back: later jobs neither recompute them nor lose them with an executor."""
+    """Rows written once and read back: later jobs neither recompute them nor lose them with an executor.
+
+    Nothing reads the shuffles of the write again, so their files go when it ends.
+    """
     spark = rows.sparkSession
     path = f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        rows.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(rows.schema).parquet(path)
 
 
