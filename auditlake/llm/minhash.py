@@ -4,9 +4,11 @@
    form one class, so thousands of copies are one row from here on.
 2. Classes that agree in a band of the signature meet in a bucket. Two rounds of minima over the
    buckets give classes that share many buckets one root; the classes of a root are dealt to blocks
-   of bounded size, and blocks that share a bucket are compared with each other as blocks. Pairs
-   are never rows of a table.
-3. Inside a pair of blocks, signatures are compared step by step. After each step the posterior
+   of bounded size and compared within them. Linked classes become one component, and a few members
+   of each go on in its place until that joins few more. Classes that share a bucket but are still
+   in different components are then compared, pairs of blocks at a time; classes of one component
+   are not. Pairs of classes are never rows of a table.
+3. Inside a block or a pair of blocks, signatures are compared step by step. After each step the posterior
    probability that the similarity reaches the threshold, given the agreements so far and a
    uniform prior, is bounded; a pair whose probability is below `MISS` is dropped.
 4. Pairs that survive are decided on their full shingle sets. A pair of blocks returns one link for
@@ -19,6 +21,7 @@ import hashlib
 from collections.abc import Iterator
 from fractions import Fraction
 from functools import cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +40,8 @@ MISS = 1e-6
 BLOCK = 10
 #: Bytes of shingle sets in a block of classes.
 BLOCK_BYTES = 1 << 20
+#: Members of a component that are compared on its behalf before whole blocks are.
+REPRESENTATIVES = 4
 #: Columns of the tables that count intersections, and pairs of signatures compared at once.
 COLUMNS, PAIRS = 8192, 1 << 17
 
@@ -45,6 +50,7 @@ _MULTIPLY = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uin
 _FLIP = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 _PLACE = _RANDOM.integers(0, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
+_BYTES = f"8 * n_shingles + {4 * BANDS * ROWS}"
 SKETCH = "doc_id long, n_shingles long, digest string, signature binary"
 
 
@@ -229,13 +235,13 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, of = shingles(*text_bytes(batch.column("text")))
         signed = signatures(values, of)
         full = np.flatnonzero(of[1:] > of[:-1])
-        kept = batch.select(["root", "part", "class_id"]).take(pa.array(full))
+        kept = batch.select(["class_id"]).take(pa.array(full))
         yield pa.RecordBatch.from_arrays(
             [
                 *kept.columns, pa.array([s.tobytes() for s in signed], pa.binary()),
                 pa.array([values[of[k] : of[k + 1]].tobytes() for k in full], pa.binary()),
             ],
-            ["root", "part", "class_id", "signature", "shingles"],
+            ["class_id", "signature", "shingles"],
         )
 
 
@@ -252,51 +258,102 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rooted(members: DataFrame) -> DataFrame:
-    """(class_id, root): the smallest class two steps away over shared buckets.
+    """(comp, root): the smallest component two steps away over shared buckets (key, comp).
 
-    Two rounds suffice where classes share many buckets; where only a chain of buckets holds
-    classes together, they stay apart and pairs of blocks bridge them.
+    Two rounds suffice where components share many buckets; where only a chain of buckets holds
+    them together, they stay apart until links have contracted them or pairs of blocks bridge them.
     """
-    root = members.select("class_id", F.col("class_id").alias("root"))
+    root = members.select("comp", F.col("comp").alias("root")).distinct()
     for _ in range(2):
-        least = members.join(root, "class_id").groupBy("key").agg(F.min("root").alias("root"))
-        root = members.join(least, "key").groupBy("class_id").agg(F.min("root").alias("root"))
+        least = members.join(root, "comp").groupBy("key").agg(F.min("root").alias("root"))
+        root = members.join(least, "key").groupBy("comp").agg(F.min("root").alias("root"))
         root = written(root, "roots")
     return root
 
 
+def _dealt(rows: DataFrame, turn: int) -> DataFrame:
+    """(class_id, block) of rows (class_id, n_shingles, root): blocks of about BLOCK_BYTES of shingle sets."""
+    size = rows.groupBy("root").agg(F.sum(F.expr(_BYTES)).alias("bytes"))
+    parts = size.select("root", F.ceil(F.col("bytes") / BLOCK_BYTES).alias("parts"))
+    part = F.pmod(F.xxhash64("class_id", F.lit(turn)), "parts")
+    return rows.join(parts, "root").select("class_id", F.xxhash64("root", part).alias("block"))
+
+
+def _blocks(sets: DataFrame, dealt: DataFrame) -> DataFrame:
+    member = F.struct("class_id", "signature", "shingles")
+    return sets.join(dealt, "class_id").groupBy("block").agg(F.collect_list(member).alias("members"))
+
+
+def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """label (class_id, comp) after links (a, b) between classes."""
+    of_a, of_b = (label.select(F.col("class_id").alias(k), F.col("comp").alias(f"comp_{k}")) for k in "ab")
+    over = links.join(of_a, "a").join(of_b, "b").where("comp_a <> comp_b")
+    moved = components(over.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))).withColumnRenamed("node", "comp")
+    return written(label.join(moved, "comp", "left").select("class_id", F.coalesce("component", "comp").alias("comp")), "labels")
+
+
+def _open(members: DataFrame, label: DataFrame) -> DataFrame:
+    """Members (key, class_id, comp) of the buckets that still hold several components."""
+    at = members.select("key", "class_id").join(label, "class_id").select("key", "class_id", "comp")
+    several = at.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+    return written(at.join(several, "key"), "members")
+
+
+def block_pairs(at: DataFrame) -> DataFrame:
+    """(x, y), x <= y: blocks of `at` (key, block, comp) that share a bucket with different components in it.
+
+    In a bucket the most frequent component is never joined with itself.
+    """
+    often = at.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    major = often.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"))
+    minor = at.join(major, "key").where("comp <> major").select("key", F.col("block").alias("x"), "comp")
+    pairs = minor.join(at.select("key", F.col("block").alias("y"), F.col("comp").alias("other")), "key").where("comp <> other")
+    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
 def class_components(classes: DataFrame, docs: DataFrame, threshold: Fraction) -> DataFrame:
-    """(node, component) of the linked classes."""
+    """(node, component) of the classes that share a bucket with others."""
     small_batches(docs.sparkSession)
     keys = classes.select("class_id", "signature").mapInArrow(_keys, "key long, class_id long")
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = written(keys.join(shared, "key").select("key", "class_id"), "members")
-
-    # Blocks of about BLOCK_BYTES of shingle sets.
-    rooted = _rooted(members).join(classes.select("class_id", "n_shingles"), "class_id")
-    size = rooted.groupBy("root").agg(F.sum(8 * F.col("n_shingles") + 4 * BANDS * ROWS).alias("bytes"))
-    parts = size.select("root", F.ceil(F.col("bytes") / BLOCK_BYTES).alias("parts"))
-    part = F.pmod(F.xxhash64("class_id"), "parts").alias("part")
-    dealt = written(rooted.join(parts, "root").select("class_id", "root", part), "dealt")
-    texts = docs.join(dealt.withColumnRenamed("class_id", "doc_id"), "doc_id").dropDuplicates(["doc_id"])
-    full = texts.select("root", "part", F.col("doc_id").alias("class_id"), "text").mapInArrow(
-        _members, "root long, part long, class_id long, signature binary, shingles binary"
-    )
-    member = F.struct("class_id", "signature", "shingles")
-    blocks = written(full.groupBy("root", "part").agg(F.collect_list(member).alias("members")), "blocks")
-
-    # Blocks of two members or more with themselves, and with blocks that share a bucket.
-    block = F.struct("root", "part")
-    own = blocks.where(F.size("members") > 1).select(F.col("members").alias("left"))
-    found = written(own.mapInArrow(_links(threshold), "a long, b long"), "links")
-    at = members.join(dealt, "class_id").select("key", block.alias("block")).distinct()
-    pairs = at.withColumnRenamed("block", "x").join(at.withColumnRenamed("block", "y"), "key").where("x < y")
-    sides = blocks.select(block.alias("block"), "members")
-    both = pairs.select("x", "y").distinct()
-    both = both.join(sides.select(F.col("block").alias("x"), F.col("members").alias("left")), "x")
-    both = both.join(sides.select(F.col("block").alias("y"), F.col("members").alias("right")), "y")
-    across = written(both.select("left", "right").mapInArrow(_links(threshold), "a long, b long"), "links")
-    return components(found.union(across))
+    members = written(keys.join(shared, "key").select("key", "class_id", F.col("class_id").alias("comp")), "members")
+    label = written(members.select("class_id", "comp").distinct(), "labels")
+    size = classes.select("class_id", "n_shingles")
+    texts = docs.join(label.select(F.col("class_id").alias("doc_id")), "doc_id").dropDuplicates(["doc_id"])
+    full = texts.select(F.col("doc_id").alias("class_id"), "text")
+    sets = written(full.mapInArrow(_members, "class_id long, signature binary, shingles binary"), "sets")
+
+    # A few members of each component, at first every class, are compared within one block.
+    before = None
+    for turn in count():
+        n = members.agg(F.countDistinct("comp")).first()[0]
+        if not n or before is not None and 2 * n > before:
+            break
+        before = n
+        some = [F.min_by("class_id", F.xxhash64("class_id", F.lit(REPRESENTATIVES * turn + k))) for k in range(REPRESENTATIVES)]
+        chosen = members.groupBy("comp").agg(F.array_distinct(F.array(*some)).alias("ids"))
+        chosen = chosen.join(_rooted(members), "comp").select("root", F.explode("ids").alias("class_id"))
+        blocks = _blocks(sets, _dealt(chosen.join(size, "class_id"), turn)).where(F.size("members") > 1)
+        links = blocks.select(F.col("members").alias("left")).mapInArrow(_links(threshold), "a long, b long")
+        label = _merged(label, written(links, "links"))
+        members = _open(members, label)
+
+    # What is still apart: all classes that share a bucket with another component, pairs of blocks
+    # at a time. Large components have blocks of their own, which are not paired with each other.
+    if n:
+        rows = members.select("class_id", "comp").distinct().join(size, "class_id")
+        large = rows.groupBy("comp").agg((F.sum(F.expr(_BYTES)) > BLOCK_BYTES // 2).alias("large")).join(_rooted(members), "comp")
+        group = F.when(F.col("large"), F.xxhash64("root", "comp")).otherwise(F.xxhash64("root"))
+        rows = rows.join(large.select("comp", group.alias("root")), "comp").select("class_id", "n_shingles", "root")
+        dealt = written(_dealt(rows, 0), "dealt")
+        at = members.join(dealt, "class_id").select("key", "block", "comp").distinct()
+        blocks = written(_blocks(sets, dealt), "blocks")
+        both = block_pairs(at)
+        both = both.join(blocks.select(F.col("block").alias("x"), F.col("members").alias("left")), "x")
+        both = both.join(blocks.select(F.col("block").alias("y"), F.col("members").alias("right")), "y")
+        links = both.select("left", "right").mapInArrow(_links(threshold), "a long, b long")
+        label = _merged(label, written(links, "links"))
+    return label.select(F.col("class_id").alias("node"), F.col("comp").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, threshold: Fraction = Fraction(4, 5)) -> DataFrame:

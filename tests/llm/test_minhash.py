@@ -92,6 +92,28 @@ def test_groups_equal_brute_force(spark, monkeypatch, block):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_linked_copies_are_not_compared_in_pairs_of_blocks(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    rows = list(enumerate(edited(base, rng, 1) for _ in range(400)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 40_000)
+
+    def unwanted(at):
+        raise AssertionError("pairs of blocks of one component")
+
+    monkeypatch.setattr(minhash, "block_pairs", unwanted)
+    assert {r.component_id for r in near_duplicates(docs, Fraction(85, 100)).collect()} == {0}
+
+
+def test_pairs_of_blocks_leave_out_one_component(spark):
+    # In bucket 1 component 7 fills blocks 10 to 19, two others are in block 20; bucket 2 has one component.
+    rows = [(1, b, 7) for b in range(10, 20)] + [(1, 20, 8), (1, 20, 9)] + [(2, b, 7) for b in range(10, 20)]
+    at = spark.createDataFrame(rows, "key long, block long, comp long")
+    got = sorted((r.x, r.y) for r in minhash.block_pairs(at).collect())
+    assert got == [(b, 20) for b in range(10, 21)]
+
+
 def test_rows_without_id(spark):
     docs = spark.createDataFrame([(None, "a b c"), (1, "a b c"), (None, "d")], "doc_id long, text string")
     got = sorted((r.component_id is None, r.kept) for r in near_duplicates(docs).collect())
