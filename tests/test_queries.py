@@ -25,10 +25,12 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    """Queries on training data may have none; their tests compare them with brute force."""
+    assert set(entry.registry.QUERIES) == set(entry.registry.ORACLE)
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query(spark, con, name):
     frame = entry.queries()[name](spark, SF)
     got = frame.collect()

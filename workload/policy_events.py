@@ -85,7 +85,7 @@ BOTH_WAYS = f"""traffic AS (
 @query("policy_resolve", f"""WITH {BOTH_WAYS}, {sql.policies()}, {sql.resolved("traffic", "request_id")}
 SELECT request_id, direction, policy_id, p_revision AS revision, monitor_at, intervention_at, p_action AS action FROM resolved""")
 def policy_resolve(spark, sf):
-    rows = data.traffic(spark, sf).unionByName(data.conversation_traffic(spark, sf)).drop("body")
+    rows = data.traffic(spark, sf).drop("capture_id").unionByName(data.conversation_traffic(spark, sf)).drop("body")
     found = pol.policy_resolve(rows, data.policies(spark))
     return found.select(
         "request_id", "direction", F.col("policy.id").alias("policy_id"), "policy.revision", "policy.monitor_at",
