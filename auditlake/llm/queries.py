@@ -18,6 +18,7 @@ from auditlake.llm.pieces import encoded, id_digest
 from auditlake.llm.repetition import repetition_rules
 from auditlake.llm.secrets import secret_spans, span_digest
 from auditlake.llm.urlgraph import Propagation, Rule, judged_urls
+from auditlake.llm.wordbpe import word_ids, word_texts
 
 QUERIES, ORACLE = {}, {}
 
@@ -108,3 +109,11 @@ def op9_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document, its edited text and its neighbour."""
     return compare_neighbours(table(spark, sf_dir, "documents"))
+
+
+@query("op13_word_bpe")
+def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document by word BPE and what they decode to."""
+    path = f"{TOKENIZERS}/word_bpe_49k.json"
+    rows = word_texts(word_ids(table(spark, sf_dir, "documents"), path), path)
+    return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
