@@ -82,3 +82,48 @@ SELECT page_id, j.host, path, rule,
   coalesce(verdict, CASE WHEN r.distrust > r.trust AND r.distrust >= {bound * (1 - damping) - 1e-12!r} THEN 'block' ELSE 'allow' END) AS verdict
 FROM judged j LEFT JOIN ranks{rounds} r USING (host)
 """
+
+SOURCE_DIVERGENCE = f"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all({_LOWER.replace("text", "coalesce(text, '')", 1)}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS t
+  FROM documents
+),
+kept AS (
+  SELECT lang, term FROM (SELECT lang, unnest(list_distinct(t)) AS term FROM d) GROUP BY ALL HAVING count(*) >= 10
+),
+vocab AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM d),
+flat AS (SELECT lang, source, unnest(t) AS term FROM d),
+seen AS (SELECT lang, source, term, count(*) AS n FROM flat SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+cells AS (
+  SELECT lang, source, term, coalesce(n, 0)::hugeint AS n FROM groups JOIN kept USING (lang) LEFT JOIN seen USING (lang, source, term)
+),
+totals AS (
+  SELECT *, sum(n) OVER (PARTITION BY lang, source) AS total, sum(n) OVER (PARTITION BY lang, term) AS of_lang,
+    sum(n) OVER (PARTITION BY lang) AS lang_total
+  FROM cells
+),
+shares AS (
+  SELECT lang, source, term, n, (1 + (1000000000 * (n + 2)) // (total + 2 * v))::bigint AS p,
+    (1 + (1000000000 * (of_lang + 2)) // (lang_total + 2 * v))::bigint AS q
+  FROM totals JOIN vocab USING (lang)
+),
+gaps AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL
+),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::bigint AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN gaps ON gaps.lang = a.lang AND gaps.source = a.source AND gaps.item = b.source
+),
+terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value FROM shares WHERE n > 0 AND p > q
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::int AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
+"""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm import oracle
+from auditlake.llm.divergence import source_divergence
 from auditlake.llm.fingerprint import compare_neighbours
 from auditlake.llm.langid import held_out, identify, train
 from auditlake.llm.minhash import near_duplicates
@@ -111,6 +112,12 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_neighbours(table(spark, sf_dir, "documents"))
 
 
+@query("op11_source_divergence", oracle.SOURCE_DIVERGENCE)
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the words of each source differ from those of the other sources of its language."""
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 @query("op13_word_bpe")
 def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document by word BPE and what they decode to."""
