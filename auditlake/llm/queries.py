@@ -13,6 +13,7 @@ from auditlake.llm.fingerprint import compare_neighbours
 from auditlake.llm.langid import held_out, identify, train
 from auditlake.llm.minhash import near_duplicates
 from auditlake.llm.mixing import mix
+from auditlake.llm.negatives import hard_negatives
 from auditlake.llm.packing import packed_ids, row_digest
 from auditlake.llm.passages import repeated_passages
 from auditlake.llm.pieces import encoded, id_digest
@@ -118,6 +119,13 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents"))
 
 
+@query("op12_hard_negatives", oracle.HARD_NEGATIVES)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of other labels that score a little below each anchor's positives; every 7th label is noisy."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 @query("op13_word_bpe")
 def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document by word BPE and what they decode to."""
