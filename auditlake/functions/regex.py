@@ -1,12 +1,16 @@
 """Check that a rule's pattern means the same to Java, and spell it for Java.
 
-Rules are written in the linear-time dialect (no look-around, no back-references). Patterns
-outside the common subset are rejected by name rather than silently read differently.
+Rules are written in the linear-time dialect (no look-around, no back-references), but Java
+backtracks: a repeated choice of single characters is spelled as a class, which it repeats in a
+loop, and an unbounded repeat of a group with alternatives or repeats inside, which it follows by
+recursion, is refused. Patterns outside the common subset are rejected by name rather than silently read differently.
 """
 
 from __future__ import annotations
 
 import re
+import warnings
+from re import _parser
 
 # POSIX class names and what Java calls them.
 POSIX = {
@@ -97,9 +101,47 @@ def without_boundaries(pattern: str) -> str:
     return to_java(pattern).replace(ASCII_BOUNDARY, "(?:)").replace(ASCII_NOT_BOUNDARY, "(?:)")
 
 
+def _one_of(group: list[str]) -> list[str]:
+    """A group of single characters, spelled as one class; other groups stay as they are."""
+    if group[0] not in ("(", "(?:"):
+        return group
+    parts, inside = [""], False
+    for token in group[1:-1]:
+        inside = token in ("[", "[^", "[\\]", "[^\\]") or inside and token != "]"
+        if token == "|" and not inside:
+            parts.append("")
+        else:
+            parts[-1] += token
+    # One character, an escape of one, or a class without another inside.
+    single = re.compile(r"[^\\.^$()\[\]{}*+?]|\\[^0-9A-Za-z]|\\[dDwWtnrfa]|\\x(?:[0-9A-F]{2}|\{[0-9A-F]+\})|\\[pP]\{\w+\}|\[[^\[\]\\]+\]", re.I)
+    if not all(single.fullmatch(p) for p in parts):
+        return group
+    return ["[" + "".join("\\" + p if p in ("&", "-") else p for p in parts) + "]"]
+
+
+def _recurses(tree, repeated: bool = False) -> bool:
+    """Whether an unbounded repeat holds alternatives or repeats of its own."""
+    for kind, value in tree:
+        name = str(kind)
+        if name == "BRANCH":
+            if repeated or any(_recurses(t) for t in value[1]):
+                return True
+        elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+            low, high, inner = value
+            if repeated and low != high or _recurses(inner, repeated or high > MAX_REPEAT):
+                return True
+        elif name == "SUBPATTERN":
+            if _recurses(value[-1], repeated):
+                return True
+        elif name in ("ASSERT", "ASSERT_NOT"):
+            if _recurses(value[1]):
+                return True
+    return False
+
+
 def to_java(pattern: str) -> str:
     """Java spelling of ``pattern``; raises PatternError when there is none."""
-    out, depth, inside, repeatable, class_empty = [], 0, False, False, False
+    out, depth, inside, repeatable, opened = [], 0, False, False, []
     for piece in _PIECE.finditer(pattern):
         kind, token = piece.lastgroup, piece.group()
         if inside:
@@ -129,6 +171,8 @@ def to_java(pattern: str) -> str:
         if kind == "rep":
             if not repeatable:
                 raise PatternError(f"nothing to repeat before {token}")
+            if opened and opened[-1][1] == len(out):
+                out[opened[-1][0] :] = _one_of(out[opened[-1][0] :])
             out.append(_repeat(token))
             repeatable = False
             continue
@@ -152,14 +196,19 @@ def to_java(pattern: str) -> str:
                 repeatable = False
             else:
                 depth, repeatable = depth + 1, False
+                opened.append([len(out) - 1, -1])
         elif token == "(":
             out.append(token)
             depth, repeatable = depth + 1, False
+            opened.append([len(out) - 1, -1])
         elif token == ")":
             depth -= 1
             if depth < 0:
                 raise PatternError("unexpected )")
             out.append(token)
+            # The last entry is the group that ended last, and where.
+            ended = next(k for k in range(len(opened) - 1, -1, -1) if opened[k][1] < 0)
+            opened[ended:] = [[opened[ended][0], len(out)]]
         else:
             if token == "\\":
                 raise PatternError("trailing backslash")
@@ -175,10 +224,19 @@ def to_java(pattern: str) -> str:
 
 def problem(pattern: str) -> str | None:
     """Why the pattern is refused, or None."""
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", FutureWarning)  # a class inside a class, as Java reads it
+        return _problem(pattern)
+
+
+def _problem(pattern: str) -> str | None:
     try:
         probe = re.sub(r"\\[pPx]\{\w+\}", "x", to_java(pattern)).replace(r"\z", "$")
-        probe = re.sub(r"\(\?[imsu-]+\)", "", probe)
-        re.compile(re.sub(r"\(\?[imsu-]+:", "(?:", probe))
+        probe = re.sub(r"\(\?[imsu-]+:", "(?:", re.sub(r"\(\?[imsu-]+\)", "", probe))
+        re.compile(probe)
+        # Java would follow such a repeat by recursion, once for each turn, and may try every split.
+        if _recurses(_parser.parse(probe)):
+            return "alternatives or repeats inside an unbounded repeat"
     except PatternError as error:
         return str(error)
     except (re.error, OverflowError) as error:
