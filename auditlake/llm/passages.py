@@ -8,6 +8,8 @@
    Burrows-Wheeler transform, intervals of suffixes with a common prefix are expanded backwards,
    breadth first: round l finds the neighbouring suffixes whose common prefix has length l. The
    expansion stops at the minimum length; neighbours not separated by then share at least 50 bytes.
+   Where very many texts share an anchor in different surroundings, its segments are not sorted in
+   one task: their 50-byte strings are grouped by Spark, with equal results.
 3. The smallest document of each class of such suffixes decides which windows are repeats, and the
    union of a document's windows is what it loses.
 
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.shared import small_batches, written
+from auditlake.llm.shared import lean, release, small_batches, written
 from auditlake.llm.texts import pieces, span_hashes, text_bytes
 
 LENGTH = 50
@@ -34,6 +36,8 @@ STARTS = LENGTH - GRAM + 1
 ORDER = 72
 #: Segments are sorted in blocks of whole anchors with about this many bytes.
 BLOCK_BYTES = 1 << 18
+#: Segments of an anchor with more bytes than this are compared string by string over many tasks.
+ANCHOR_BYTES = 1 << 21
 _NONE = np.iinfo(np.int64).max
 
 
@@ -293,6 +297,22 @@ def covered(n: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.cumsum(edge)[:n] > 0
 
 
+def spread_windows(segments: DataFrame) -> DataFrame:
+    """What _earlier() gives, for anchors with more segments than a task should hold.
+
+    Every 50-byte string of a segment is a row; the smallest document of equal strings is taken
+    before they are shuffled.
+    """
+    place = F.explode(F.sequence(F.lit(0), F.octet_length("segment") - LENGTH)).alias("place")
+    rows = segments.select("anchor", "segment_id", "doc_id", "segment", place)
+    rows = rows.select("anchor", "segment_id", "doc_id", "place", F.expr(f"substring(segment, place + 1, {LENGTH})").alias("string"))
+    least = rows.groupBy("anchor", "string").agg(F.min("doc_id").alias("least"))
+    found = rows.join(least, ["anchor", "string"]).where("least < doc_id").groupBy("anchor", "segment_id")
+    found = found.agg(F.array_sort(F.collect_list("place")).alias("windows"))
+    out = segments.select("anchor", "segment_id", F.col("doc_id").alias("least")).join(found, ["anchor", "segment_id"], "left")
+    return out.withColumn("windows", F.coalesce("windows", F.array().cast("array<int>")))
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for every row of documents (doc_id, text).
 
@@ -314,23 +334,29 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
     # Anchors that at least two different texts have, as places by text.
     found = docs.where(F.octet_length("text") >= LENGTH).select("doc_id", "text", F.xxhash64("text").alias("digest"))
-    rows = found.select("text", "digest").mapInArrow(_anchor_rows, "anchor long, digest long, place int")
+    rows = found.select("text", "digest").mapInArrow(lean(_anchor_rows), "anchor long, digest long, place int")
     rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "anchor")
-    several = rows.groupBy("anchor").agg(F.min("digest").alias("low"), F.max("digest").alias("high"))
-    several = several.where("low <> high").select("anchor")
+    # Both readers of the shuffle ask for all its columns, so that it is one and the same.
+    several = rows.groupBy("anchor").agg(F.min("digest").alias("low"), F.max("digest").alias("high"), F.count("place").alias("n"))
+    several = several.where("low <> high and n > 0").select("anchor")
     # Both sides are dealt by anchor already; the smaller one is hashed, so that nothing is sorted.
     places = rows.join(several.hint("shuffle_hash"), "anchor").groupBy("digest").agg(F.collect_set("place").alias("places"))
     places = written(places.join(first, "digest").select(F.col("first").alias("doc_id"), "places"), "places")
     texts = docs.join(places, "doc_id").dropDuplicates(["doc_id"])
-    texts = written(texts, "texts")
 
     # One row for each different segment, with the smallest document that has it.
     kinds = "anchor long, segment_id long, segment binary, doc_id long, place int, size int"
-    cut = texts.mapInArrow(_segments, kinds)
+    cut = written(texts.mapInArrow(lean(_segments), kinds), "cut")
+    release(places)
     distinct = cut.groupBy("anchor", "segment_id").agg(F.min("doc_id").alias("doc_id"), F.first("segment").alias("segment"))
-    blocks = distinct.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "anchor").sortWithinPartitions("anchor")
-    earlier = blocks.mapInArrow(_earlier, "anchor long, segment_id long, least long, windows array<int>")
-    earlier = written(earlier, "earlier")
+    distinct = written(distinct, "distinct")
+    size = distinct.groupBy("anchor").agg(F.sum(F.octet_length("segment")).alias("bytes"))
+    large = written(size.where(F.col("bytes") > ANCHOR_BYTES).select("anchor"), "large")
+    blocks = distinct.join(large, "anchor", "left_anti")
+    blocks = blocks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "anchor").sortWithinPartitions("anchor")
+    earlier = blocks.mapInArrow(lean(_earlier), "anchor long, segment_id long, least long, windows array<int>")
+    earlier = written(earlier.unionByName(spread_windows(distinct.join(large, "anchor"))), "earlier")
+    release(distinct)
 
     # A later document loses the whole segment, the first one what even earlier ones have.
     spans = cut.select("anchor", "segment_id", "doc_id", "place", "size").join(earlier, ["anchor", "segment_id"])
@@ -338,8 +364,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     own = F.transform("windows", lambda w: F.struct((F.col("place") + w).alias("begin"), (F.col("place") + w + LENGTH).alias("end")))
     spans = spans.withColumn("spans", F.when(F.col("doc_id") > F.col("least"), later).otherwise(own)).where(F.size("spans") > 0)
     by_doc = spans.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    lost = texts.select("doc_id", "text").join(by_doc, "doc_id").select("doc_id", "text", "spans")
-    lost = lost.mapInArrow(_lost, "doc_id long, n_removed long, n_spans long, kept_sha256 string")
+    lost = docs.join(by_doc, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "spans")
+    lost = lost.mapInArrow(lean(_lost), "doc_id long, n_removed long, n_spans long, kept_sha256 string")
 
     copies = known.join(first.select("sha256", "first"), "sha256").where(f"doc_id > first and n_bytes >= {LENGTH}")
     copies = copies.select(

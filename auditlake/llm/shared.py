@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 ROWS_PER_BATCH, BYTES_PER_BATCH = "512", "8m"
@@ -38,6 +43,31 @@ def written(rows: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
+def release(rows: DataFrame) -> None:
+    """Deletes a table of written() once all that was made of it is written too."""
+    files = rows.inputFiles()
+    if files:
+        jvm, spark = rows.sparkSession._jvm, rows.sparkSession
+        folder = jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def lean(run):
+    """`run` over Arrow batches, giving unused memory back to the machine when a task ends.
+
+    Python workers live on from stage to stage; without this each keeps the most that any stage took.
+    """
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return told
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of a few hundred texts, so that a Python worker holds a few MB at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH)

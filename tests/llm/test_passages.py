@@ -3,9 +3,11 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from auditlake.llm import passages as passages_module
 from auditlake.llm.passages import LENGTH, anchors, earlier_windows, repeated_passages, suffix_order
 from auditlake.llm.texts import text_bytes
 
@@ -69,7 +71,9 @@ def test_suffix_order():
     assert keys == sorted(keys)
 
 
-def test_repeats_equal_brute_force(spark):
+@pytest.mark.parametrize("most", [1 << 21, 300])
+def test_repeats_equal_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(passages_module, "ANCHOR_BYTES", most)  # 300: most anchors go string by string
     rng = random.Random(4)
     passages = [words(rng, 25) for _ in range(4)] + ["x" * 80]
     rows = []
