@@ -5,36 +5,39 @@
 2. Classes that agree in a band of the signature meet in a bucket. Two rounds of minima over the
    buckets give classes that share many buckets one root; the classes of a root are dealt to blocks
    of bounded size and compared within them. Linked classes become one component, and a few members
-   of each go on in its place until that joins few more. Classes that share a bucket but are still
-   in different components are then compared, pairs of blocks at a time; classes of one component
-   are not. Pairs of classes are never rows of a table.
-3. Inside a block or a pair of blocks, signatures are compared step by step. After each step the posterior
-   probability that the similarity reaches the threshold, given the agreements so far and a
-   uniform prior, is bounded; a pair whose probability is below `MISS` is dropped.
-4. Pairs that survive are decided on their full shingle sets. A pair of blocks returns one link for
-   each class, to the smallest class that its links lead to.
+   of each go on in its place until that joins few more.
+3. Classes that share a bucket but are still in different components become pairs only if their
+   rarest shingles meet: sets that reach the threshold must, however common their other shingles
+   are, and bounds on their sizes keep these prefixes short. While that joins many components each
+   class is paired with a few under its keys; in the end all are compared, pairs of blocks at a
+   time. Classes of one component are not, so the work follows the components that stay apart.
+4. Signatures of two classes are compared step by step. After each step the posterior probability
+   that the similarity reaches the threshold, given the agreements so far and a uniform prior, is
+   bounded; a pair whose probability is below `MISS` is dropped. Pairs that survive are decided on
+   their full shingle sets.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from fractions import Fraction
-from functools import cache
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from auditlake.llm.components import components
-from auditlake.llm.shared import small_batches, written
+from auditlake.llm.shared import lean, small_batches, written
 from auditlake.llm.texts import LOWER, Words, alike, mixed, pieces, text_bytes
 
 WORDS = 5
-#: A pair at 0.85 meets in one of 20 bands of 5 with probability 0.99999.
-BANDS, ROWS = 20, 5
+#: Rows in a band, and the chance that a pair at the threshold agrees in no band.
+ROWS, UNMET = 5, 1e-5
 #: Chosen probability of dropping a pair that reaches the threshold, after each block.
 MISS = 1e-6
 BLOCK = 10
@@ -42,15 +45,16 @@ BLOCK = 10
 BLOCK_BYTES = 1 << 20
 #: Members of a component that are compared on its behalf before whole blocks are.
 REPRESENTATIVES = 4
+#: Classes that all others under a key are compared with before all pairs are.
+SAMPLED = 3
+#: Sizes of sets in a band differ by this factor at most.
+RATIO = 1.03
 #: Columns of the tables that count intersections, and pairs of signatures compared at once.
 COLUMNS, PAIRS = 8192, 1 << 17
 
-_RANDOM = np.random.default_rng(7)
-_MULTIPLY = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_FLIP = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
-_PLACE = _RANDOM.integers(0, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLACE = np.random.default_rng(7).integers(0, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-_BYTES = f"8 * n_shingles + {4 * BANDS * ROWS}"
+_BYTES = "8 * n_shingles + 500"
 SKETCH = "doc_id long, n_shingles long, digest string, signature binary"
 
 
@@ -84,54 +88,62 @@ def shingles(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values, np.searchsorted(owner, np.arange(words.n_texts + 1))
 
 
-def signatures(values: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The MinHash signature of each non-empty set, one row of 32-bit values a set."""
+def signature_size(threshold: Fraction) -> int:
+    """Values of a signature whose bands a pair at the threshold misses with a chance of UNMET."""
+    return ROWS * math.ceil(math.log(UNMET) / math.log(1 - float(threshold) ** ROWS)) if threshold < 1 else ROWS
+
+
+def signatures(values: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """The MinHash signature of each non-empty set, one row of `size` 32-bit values a set."""
     full = np.flatnonzero(at[1:] > at[:-1])
-    out = np.empty((len(full), BANDS * ROWS), np.uint32)
+    out = np.empty((len(full), size), np.uint32)
+    flip, multiply = np.random.default_rng(11).integers(0, 1 << 63, (size, 2), dtype=np.uint64).T
+    multiply = multiply * np.uint64(2) + np.uint64(1)
     if len(full):
         starts = at[:-1][full]
-        for k in range(BANDS * ROWS):
-            least = np.minimum.reduceat((values ^ _FLIP[k]) * _MULTIPLY[k], starts)
+        for k in range(size):
+            least = np.minimum.reduceat((values ^ flip[k]) * multiply[k], starts)
             out[:, k] = (least >> np.uint64(32)).astype(np.uint32)
     return out
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, "text"):
-        data, at = text_bytes(batch.column("text"))
-        values, of = shingles(data, at)
-        rows = iter(signatures(values, of))
-        digest, signed = [], []
-        for low, high in zip(of[:-1], of[1:]):
-            if high > low:
-                digest.append(hashlib.blake2b(values[low:high].tobytes(), digest_size=16).hexdigest())
-                signed.append(next(rows).tobytes())
-            else:
-                digest.append(None)
-                signed.append(None)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(np.diff(of)), pa.array(digest), pa.array(signed, pa.binary())],
-            ["doc_id", "n_shingles", "digest", "signature"],
-        )
-
-
-def sketches(docs: DataFrame) -> DataFrame:
+def _digests(values: np.ndarray, of: np.ndarray) -> list[str | None]:
+    return [
+        hashlib.blake2b(values[a:b].tobytes(), digest_size=16).hexdigest() if b > a else None
+        for a, b in zip(of[:-1].tolist(), of[1:].tolist())
+    ]
+
+
+def _sketches(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            values, of = shingles(*text_bytes(batch.column("text")))
+            rows = iter(signatures(values, of, size))
+            signed = [next(rows).tobytes() if b > a else None for a, b in zip(of[:-1], of[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(np.diff(of)), pa.array(_digests(values, of), pa.string()), pa.array(signed, pa.binary())],
+                ["doc_id", "n_shingles", "digest", "signature"],
+            )
+
+    return run
+
+
+def sketches(docs: DataFrame, threshold: Fraction) -> DataFrame:
     """doc_id, n_shingles, digest of the shingle set and signature of every text."""
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(_sketches, SKETCH)
+    return docs.select("doc_id", "text").mapInArrow(lean(_sketches(signature_size(threshold))), SKETCH)
 
 
 # ---- posterior bounds
 
-@cache
-def least_agreements(threshold: Fraction, miss: float = MISS, size: int = BANDS * ROWS) -> dict[int, int]:
+def least_agreements(threshold: Fraction, miss: float = MISS) -> dict[int, int]:
     """For 10, 20, ... compared values: agreements below which P(similarity >= threshold) < miss.
 
     With a uniform prior the posterior after m agreements in n is Beta(m + 1, n - m + 1), whose
     tail above t is the chance of at most m successes in n + 1 trials of probability t.
     """
     t, out = float(threshold), {}
-    for n in range(BLOCK, size + 1, BLOCK):
+    for n in range(BLOCK, signature_size(threshold) + 1, BLOCK):
         term, tail, m = (1 - t) ** (n + 1), 0.0, 0
         while m <= n:
             tail += term
@@ -143,10 +155,10 @@ def least_agreements(threshold: Fraction, miss: float = MISS, size: int = BANDS
     return out
 
 
-def survivors(left: np.ndarray, right: np.ndarray, threshold: Fraction) -> np.ndarray:
-    """Which rows of two signature matrices stay after the sequential test."""
+def survivors(left: np.ndarray, right: np.ndarray, bounds: dict[int, int]) -> np.ndarray:
+    """Which rows of two signature matrices stay after the sequential test by least_agreements()."""
     alive, agreed, low = np.arange(len(left)), np.zeros(len(left), np.int64), 0
-    for n, least in least_agreements(threshold).items():
+    for n, least in bounds.items():
         agreed = agreed + (left[alive, low:n] == right[alive, low:n]).sum(1)
         stay = agreed >= least
         alive, agreed, low = alive[stay], agreed[stay], n
@@ -176,15 +188,15 @@ def _shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarra
     return out
 
 
-def linked(left: tuple, right: tuple, threshold: Fraction) -> np.ndarray:
+def linked(left: tuple, right: tuple, threshold: Fraction, bounds: dict[int, int]) -> np.ndarray:
     """Which pairs of two blocks (signatures, sets) reach the threshold: likely ones, then exactly."""
     (sign_a, sets_a), (sign_b, sets_b) = left, right
-    n, least = next(iter(least_agreements(threshold).items()))
+    n, least = next(iter(bounds.items()), (0, 0))
     i, j = np.nonzero((sign_a[:, None, :n] == sign_b[None, :, :n]).sum(2) >= least)
     out = np.zeros((len(sign_a), len(sign_b)), bool)
     for low in range(0, len(i), PAIRS):
         a, b = i[low : low + PAIRS], j[low : low + PAIRS]
-        alive = survivors(sign_a[a], sign_b[b], threshold)
+        alive = survivors(sign_a[a], sign_b[b], bounds)
         out[a[alive], b[alive]] = True
     rows, columns = np.flatnonzero(out.any(1)), np.flatnonzero(out.any(0))
     if len(rows):
@@ -213,7 +225,9 @@ def _block(members: list[dict]) -> tuple[np.ndarray, tuple]:
 
 
 def _links(threshold: Fraction):
-    """Blocks `left` and, for a pair of different ones, `right` -> links (a, b)."""
+    """Blocks `left` and, for a pair of different ones, `right` -> a link (a, b) for each class, to the smallest that its links lead to."""
+
+    bounds = least_agreements(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,7 +235,7 @@ def _links(threshold: Fraction):
                 ids_a, left = _block(batch.column("left")[k].as_py())
                 other = batch.column("right")[k].as_py() if "right" in batch.schema.names else None
                 ids_b, right = (ids_a, left) if other is None else _block(other)
-                near_a, near_b = smallest_reached(ids_a, ids_b, linked(left, right, threshold))
+                near_a, near_b = smallest_reached(ids_a, ids_b, linked(left, right, threshold, bounds))
                 ids, near = np.concatenate((ids_a, ids_b)), np.concatenate((near_a, near_b))
                 moved = near < ids
                 yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(near[moved])], ["a", "b"])
@@ -229,32 +243,40 @@ def _links(threshold: Fraction):
     return run
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts -> signature and full shingle set."""
-    for batch in pieces(batches, "text"):
-        values, of = shingles(*text_bytes(batch.column("text")))
-        signed = signatures(values, of)
-        full = np.flatnonzero(of[1:] > of[:-1])
-        kept = batch.select(["class_id"]).take(pa.array(full))
-        yield pa.RecordBatch.from_arrays(
-            [
-                *kept.columns, pa.array([s.tobytes() for s in signed], pa.binary()),
-                pa.array([values[of[k] : of[k + 1]].tobytes() for k in full], pa.binary()),
-            ],
-            ["class_id", "signature", "shingles"],
-        )
+def _members(size: int):
+    """Texts -> digest, signature and full shingle set."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            values, of = shingles(*text_bytes(batch.column("text")))
+            full = np.flatnonzero(of[1:] > of[:-1])
+            digests = _digests(values, of)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("class_id").take(pa.array(full)), pa.array([digests[k] for k in full], pa.string()),
+                    pa.array([x.tobytes() for x in signatures(values, of, size)], pa.binary()),
+                    pa.array([values[of[k] : of[k + 1]].tobytes() for k in full], pa.binary()),
+                ],
+                ["class_id", "digest", "signature", "shingles"],
+            )
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            signed = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32)
-            signed = signed.reshape(batch.num_rows, BANDS, ROWS).astype(np.uint64)
-            key = np.repeat(np.arange(BANDS, dtype=np.uint64)[None], batch.num_rows, 0)
-            for k in range(ROWS):
-                key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + signed[:, :, k])
-            of = np.repeat(batch.column("class_id").to_numpy(), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(of)], ["key", "class_id"])
+    return run
+
+
+def _keys(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = size // ROWS
+        for batch in batches:
+            if batch.num_rows:
+                signed = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32)
+                signed = signed.reshape(batch.num_rows, bands, ROWS).astype(np.uint64)
+                key = np.repeat(np.arange(bands, dtype=np.uint64)[None], batch.num_rows, 0)
+                for k in range(ROWS):
+                    key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + signed[:, :, k])
+                of = np.repeat(batch.column("class_id").to_numpy(), bands)
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(of)], ["key", "class_id"])
+
+    return run
 
 
 def _rooted(members: DataFrame) -> DataFrame:
@@ -293,35 +315,137 @@ def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _open(members: DataFrame, label: DataFrame) -> DataFrame:
-    """Members (key, class_id, comp) of the buckets that still hold several components."""
-    at = members.select("key", "class_id").join(label, "class_id").select("key", "class_id", "comp")
+    """Members (key, class_id, comp, ...) of the buckets or keys that still hold several components."""
+    at = members.drop("comp").join(label, "class_id").select(members.columns)
     several = at.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
     return written(at.join(several, "key"), "members")
 
 
+def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.frombuffer(x.as_py(), np.int64) for x in batch.column("shingles")]
+        if sets:
+            n = np.array([len(x) for x in sets])
+            names = [pa.array(np.repeat(batch.column(c).to_numpy(), n)) for c in ("class_id", "comp")]
+            yield pa.RecordBatch.from_arrays([*names, pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets))], ["class_id", "comp", "n", "value"])
+
+
+def prefix_keys(sets: DataFrame, threshold: Fraction) -> DataFrame:
+    """(key, class_id, comp, n) of sets (class_id, comp, shingles): sets that are alike share a key.
+
+    Sets of a and b shingles that reach the threshold t have at least t / (1 + t) * (a + b) in
+    common. With the rarest shingles first, the first a - common + 1 of the one then meet the first
+    b - common + 1 of the other. Sizes fall into bands of RATIO, and a set has a key for each band
+    that partners may be in, with the prefix that the smallest partner there needs; so sets that
+    only share what very many share have no key in common.
+    """
+    up, down = threshold.numerator, threshold.denominator
+    values = sets.mapInArrow(lean(_values), "class_id long, comp long, n long, value long")
+    often = values.groupBy("value").agg(F.count("*").alias("often")).where("often > 1")
+    place = F.row_number().over(Window.partitionBy("class_id").orderBy(F.coalesce("often", F.lit(1)), "value"))
+    ranked = values.join(often, "value", "left").withColumn("place", place)
+
+    def band(size: Column) -> Column:
+        return F.floor(F.log(size) / F.lit(math.log(RATIO)))
+
+    def prefix(partner: Column) -> Column:
+        return F.col("n") - F.ceil((F.col("n") + partner) * up / F.lit(up + down).cast("decimal(10,0)")) + 1
+
+    fewest, most = F.ceil(F.col("n") * up / F.lit(down).cast("decimal(10,0)")), F.floor(F.col("n") * down / F.lit(up).cast("decimal(10,0)"))
+    # A shingle of one set only is no key.
+    first = ranked.where((F.col("place") <= prefix(fewest)) & F.col("often").isNotNull())
+    each = first.withColumn("other", F.explode(F.sequence(band(fewest), band(most)))).withColumn("own", band(F.col("n")))
+    smallest = F.greatest(fewest.cast("long"), F.floor(F.pow(F.lit(RATIO), F.col("other")) * (1 - 1e-9)))
+    each = each.where(F.col("place") <= prefix(smallest))
+    key = F.xxhash64("value", F.least("own", "other"), F.greatest("own", "other"))
+    return each.select(key.alias("key"), "class_id", "comp", "n")
+
+
+def sampled_pairs(at: DataFrame, threshold: Fraction, turn: int) -> DataFrame:
+    """(a, b), a < b: classes of `at` (key, class_id, comp, n) in different components, one of them among SAMPLED under a key.
+
+    Others are sampled in each turn.
+    """
+    member = F.struct("class_id", "comp", "n")
+    some = [F.min_by(member, F.xxhash64("class_id", F.lit(SAMPLED * turn + k))) for k in range(SAMPLED)]
+    chosen = at.groupBy("key").agg(F.array_distinct(F.array(*some)).alias("some"))
+    some_at = chosen.select("key", F.explode("some").alias("one")).select("key", "one.*")
+    other = at.select("key", F.col("class_id").alias("other_id"), F.col("comp").alias("other"), F.col("n").alias("m"))
+    up, down = threshold.numerator, threshold.denominator
+    alike = (F.least("n", "m") * down >= F.greatest("n", "m") * up) & (F.col("comp") != F.col("other"))
+    both = [f("class_id", "other_id").alias(c) for f, c in ((F.least, "a"), (F.greatest, "b"))]
+    return some_at.join(other, "key").where(alike).select(*both).distinct()
+
+
 def block_pairs(at: DataFrame) -> DataFrame:
-    """(x, y), x <= y: blocks of `at` (key, block, comp) that share a bucket with different components in it.
+    """(x, y), x <= y: blocks of `at` (key, block, only) with a key in common.
 
-    In a bucket the most frequent component is never joined with itself.
+    `only` is the component of a block that holds one component, otherwise -1; blocks of one
+    component are not paired with each other or with themselves. Keys with the same blocks count
+    once.
     """
-    often = at.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    major = often.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"))
-    minor = at.join(major, "key").where("comp <> major").select("key", F.col("block").alias("x"), "comp")
-    pairs = minor.join(at.select("key", F.col("block").alias("y"), F.col("comp").alias("other")), "key").where("comp <> other")
-    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    blocks = at.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("block", "only"))).alias("blocks"))
+    blocks = blocks.select("blocks").distinct()
+    pairs = blocks.select(F.explode("blocks").alias("x"), "blocks").select("x", F.explode("blocks").alias("y"))
+    apart = (F.col("x.only") != F.col("y.only")) | (F.col("x.only") == -1)
+    return pairs.where((F.col("x.block") <= F.col("y.block")) & apart).select(F.col("x.block").alias("x"), F.col("y.block").alias("y")).distinct()
+
+
+def _likely(threshold: Fraction):
+    """Pairs with their signatures -> pairs that the sequential test leaves."""
+    size, bounds = signature_size(threshold), least_agreements(threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (
+                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(batch.num_rows, size)
+                for c in ("left", "right")
+            )
+            yield batch.select(["a", "b"]).take(pa.array(survivors(left, right, bounds)))
+
+    return run
+
+
+def _certain(threshold: Fraction):
+    """Pairs with their full sets -> pairs that reach the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked = []
+            for x, y in zip(batch.column("left"), batch.column("right")):
+                left, right = (np.frombuffer(s.as_py(), np.uint64) for s in (x, y))
+                both = alike(left, right)
+                linked.append(both * threshold.denominator >= threshold.numerator * (len(left) + len(right) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+
+    return run
+
+
+def _beside(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    for name, side in (("a", "left"), ("b", "right")):
+        pairs = pairs.join(sets.select(F.col("class_id").alias(name), F.col(column).alias(side)), name)
+    return pairs.select("a", "b", "left", "right")
+
+
+def linked_pairs(sets: DataFrame, pairs: DataFrame, threshold: Fraction) -> DataFrame:
+    """The links among `pairs` (a, b)."""
+    likely = written(_beside(written(pairs, "pairs"), sets, "signature").mapInArrow(lean(_likely(threshold)), "a long, b long"), "likely")
+    return written(_beside(likely, sets, "shingles").mapInArrow(lean(_certain(threshold)), "a long, b long"), "links")
 
 
 def class_components(classes: DataFrame, docs: DataFrame, threshold: Fraction) -> DataFrame:
     """(node, component) of the classes that share a bucket with others."""
     small_batches(docs.sparkSession)
-    keys = classes.select("class_id", "signature").mapInArrow(_keys, "key long, class_id long")
+    values = signature_size(threshold)
+    keys = classes.select("class_id", "signature").mapInArrow(lean(_keys(values)), "key long, class_id long")
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = written(keys.join(shared, "key").select("key", "class_id", F.col("class_id").alias("comp")), "members")
     label = written(members.select("class_id", "comp").distinct(), "labels")
     size = classes.select("class_id", "n_shingles")
-    texts = docs.join(label.select(F.col("class_id").alias("doc_id")), "doc_id").dropDuplicates(["doc_id"])
-    full = texts.select(F.col("doc_id").alias("class_id"), "text")
-    sets = written(full.mapInArrow(_members, "class_id long, signature binary, shingles binary"), "sets")
+    full = docs.join(label.select(F.col("class_id").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("class_id"), "text")
+    full = full.mapInArrow(lean(_members(values)), "class_id long, digest string, signature binary, shingles binary")
+    sets = full.join(classes.select("class_id", "digest"), ["class_id", "digest"]).dropDuplicates(["class_id", "digest"])
+    sets = written(sets.drop("digest"), "sets")
 
     # A few members of each component, at first every class, are compared within one block.
     before = None
@@ -334,24 +458,39 @@ def class_components(classes: DataFrame, docs: DataFrame, threshold: Fraction) -
         chosen = members.groupBy("comp").agg(F.array_distinct(F.array(*some)).alias("ids"))
         chosen = chosen.join(_rooted(members), "comp").select("root", F.explode("ids").alias("class_id"))
         blocks = _blocks(sets, _dealt(chosen.join(size, "class_id"), turn)).where(F.size("members") > 1)
-        links = blocks.select(F.col("members").alias("left")).mapInArrow(_links(threshold), "a long, b long")
+        links = blocks.select(F.col("members").alias("left")).mapInArrow(lean(_links(threshold)), "a long, b long")
         label = _merged(label, written(links, "links"))
         members = _open(members, label)
 
-    # What is still apart: all classes that share a bucket with another component, pairs of blocks
-    # at a time. Large components have blocks of their own, which are not paired with each other.
+    # What is still apart: classes of different components whose rarest shingles meet. While that
+    # joins many components, a class meets a few others.
+    if n:
+        left = members.select("class_id", "comp").distinct()
+        at = written(prefix_keys(sets.join(left, "class_id").select("class_id", "comp", "shingles"), threshold), "keys")
+        before = None
+        for turn in count():
+            at = _open(at, label)
+            n = at.agg(F.countDistinct("comp")).first()[0]
+            if not n or before is not None and 10 * n > 9 * before:
+                break
+            before = n
+            label = _merged(label, linked_pairs(sets, sampled_pairs(at, threshold, turn), threshold))
+
+    # In the end it meets all of them, pairs of blocks at a time. Large components have blocks of
+    # their own, which are not paired with each other.
     if n:
-        rows = members.select("class_id", "comp").distinct().join(size, "class_id")
-        large = rows.groupBy("comp").agg((F.sum(F.expr(_BYTES)) > BLOCK_BYTES // 2).alias("large")).join(_rooted(members), "comp")
+        rows = at.select("class_id", "comp", F.col("n").alias("n_shingles")).distinct()
+        large = rows.groupBy("comp").agg((F.sum(F.expr(_BYTES)) > BLOCK_BYTES // 2).alias("large")).join(_rooted(at), "comp")
         group = F.when(F.col("large"), F.xxhash64("root", "comp")).otherwise(F.xxhash64("root"))
-        rows = rows.join(large.select("comp", group.alias("root")), "comp").select("class_id", "n_shingles", "root")
-        dealt = written(_dealt(rows, 0), "dealt")
-        at = members.join(dealt, "class_id").select("key", "block", "comp").distinct()
+        rows = rows.join(large.select("comp", "large", group.alias("root")), "comp")
+        dealt = written(_dealt(rows.select("class_id", "n_shingles", "root"), 0), "dealt")
+        only = rows.select("class_id", F.when(F.col("large"), F.col("comp")).otherwise(F.lit(-1)).alias("only"))
+        of = at.select("key", "class_id").join(dealt, "class_id").join(only, "class_id").select("key", "block", "only")
         blocks = written(_blocks(sets, dealt), "blocks")
-        both = block_pairs(at)
+        both = written(block_pairs(of), "pairs")
         both = both.join(blocks.select(F.col("block").alias("x"), F.col("members").alias("left")), "x")
         both = both.join(blocks.select(F.col("block").alias("y"), F.col("members").alias("right")), "y")
-        links = both.select("left", "right").mapInArrow(_links(threshold), "a long, b long")
+        links = both.select("left", "right").mapInArrow(lean(_links(threshold)), "a long, b long")
         label = _merged(label, written(links, "links"))
     return label.select(F.col("class_id").alias("node"), F.col("comp").alias("component"))
 
@@ -363,12 +502,12 @@ def near_duplicates(docs: DataFrame, threshold: Fraction = Fraction(4, 5)) -> Da
     (A-Z lower-cased; a shorter text is one shingle of all its words) is at least `threshold`;
     component_id is the smallest doc_id that links lead to, and the row with that id is kept.
     A null text or one without words has an empty set, is linked with nothing and is its own
-    component. Rows that repeat a doc_id with one text get equal results; an id should not have
-    several texts. A row without a doc_id joins the group of equal sets, if any, and is kept
+    component. Rows that repeat a doc_id are judged by their own texts; a class of equal sets goes
+    by its smallest doc_id. A row without a doc_id joins the group of equal sets, if any, and is kept
     otherwise. Further columns of `docs` are ignored; an empty table gives an empty table.
     """
     docs = docs.select("doc_id", "text")
-    sketch = written(sketches(docs), "sketches")
+    sketch = written(sketches(docs, threshold), "sketches")
     classes = written(
         sketch.where("digest is not null and doc_id is not null").groupBy("digest")
         .agg(F.min("doc_id").alias("class_id"), F.min("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")),

@@ -58,7 +58,7 @@ def test_sets_do_not_depend_on_the_batch():
     for k, text in enumerate(texts):
         one, _ = shingles(*text_bytes(pa.array([text], pa.string())))
         assert values[of[k] : of[k + 1]].tolist() == one.tolist() and len(one) == len(brute_set(text))
-    assert len(signatures(values, of)) == 5
+    assert len(signatures(values, of, 100)) == 5
 
 
 def test_posterior_bound():
@@ -92,26 +92,73 @@ def test_groups_equal_brute_force(spark, monkeypatch, block):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_linked_copies_are_not_compared_in_pairs_of_blocks(spark, monkeypatch):
+def test_linked_copies_are_no_pairs(spark, monkeypatch):
     rng = random.Random(8)
     base = [f"w{rng.randrange(5000)}" for _ in range(150)]
     rows = list(enumerate(edited(base, rng, 1) for _ in range(400)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(minhash, "BLOCK_BYTES", 40_000)
 
-    def unwanted(at):
-        raise AssertionError("pairs of blocks of one component")
+    def unwanted(*_):
+        raise AssertionError("pairs of one component")
 
     monkeypatch.setattr(minhash, "block_pairs", unwanted)
     assert {r.component_id for r in near_duplicates(docs, Fraction(85, 100)).collect()} == {0}
 
 
 def test_pairs_of_blocks_leave_out_one_component(spark):
-    # In bucket 1 component 7 fills blocks 10 to 19, two others are in block 20; bucket 2 has one component.
-    rows = [(1, b, 7) for b in range(10, 20)] + [(1, 20, 8), (1, 20, 9)] + [(2, b, 7) for b in range(10, 20)]
-    at = spark.createDataFrame(rows, "key long, block long, comp long")
+    # Under key 1 component 7 fills blocks 10 to 19, small ones are in block 20; key 2 has one component.
+    rows = [(1, b, 7) for b in range(10, 20)] + [(1, 20, -1)] + [(2, b, 7) for b in range(10, 20)] + [(3, 19, 7), (3, 21, 8)]
+    at = spark.createDataFrame(rows, "key long, block long, only long")
     got = sorted((r.x, r.y) for r in minhash.block_pairs(at).collect())
-    assert got == [(b, 20) for b in range(10, 21)]
+    assert got == sorted([(b, 20) for b in range(10, 21)] + [(19, 21)])
+
+
+def test_sampled_pairs(spark):
+    rows = [(1, c, 7, 100) for c in range(10, 60)] + [(1, 70, 8, 100), (1, 71, 9, 84)]
+    at = spark.createDataFrame(rows, "key long, class_id long, comp long, n long")
+    for turn in range(3):
+        got = [(r.a, r.b) for r in minhash.sampled_pairs(at, Fraction(85, 100), turn).collect()]
+        assert got and len(got) == len(set(got)) <= 50 and all(a < b == 70 for a, b in got)
+
+
+@pytest.mark.parametrize("threshold", [Fraction(85, 100), Fraction(1, 2)])
+def test_prefix_keys_lose_no_pair(spark, threshold):
+    """Every pair of sets at the threshold shares a key, many pairs below it none."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 60, 400)
+    sets = []
+    for k in range(120):
+        kept = base[rng.random(400) < rng.uniform(0.7, 1)]
+        sets.append(np.unique(np.concatenate((kept, rng.integers(0, 1 << 60, rng.integers(0, 60))))))
+    sets += [np.array([7]), np.array([7]), np.array([7, 8]), rng.integers(0, 1 << 60, 9)]
+    frame = spark.createDataFrame([(k, k, v.tobytes()) for k, v in enumerate(sets)], "class_id long, comp long, shingles binary")
+    at = minhash.prefix_keys(frame, threshold)
+    keys = {}
+    for r in at.collect():
+        keys.setdefault(r.key, set()).add(r.class_id)
+    pairs = {(i, j) for of in keys.values() for i in of for j in of if i < j}
+    for i, a in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            both = len(np.intersect1d(a, sets[j]))
+            if both >= threshold * (len(a) + len(sets[j]) - both):
+                assert (i, j) in pairs
+    if threshold > Fraction(1, 2):
+        assert len(pairs) < 0.5 * len(sets) ** 2 / 2
+
+
+def test_bands_follow_the_threshold():
+    for t in (Fraction(1, 2), Fraction(4, 5), Fraction(85, 100), Fraction(99, 100)):
+        size = minhash.signature_size(t)
+        assert (1 - float(t) ** minhash.ROWS) ** (size // minhash.ROWS) <= minhash.UNMET * 1.0001
+
+
+def test_several_texts_of_one_id(spark):
+    """Each row has the component of its own text."""
+    one, two = ("a b c d e f g h", "k l m n o p q r")
+    rows = [(5, one), (5, two), (3, one), (9, two)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(3, 3, True), (5, 3, False), (5, 5, True), (9, 5, False)]
 
 
 def test_rows_without_id(spark):
