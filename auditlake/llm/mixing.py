@@ -132,16 +132,17 @@ def _by_copy(patterns: list, supply: dict, sent: dict, copies: int) -> dict[tupl
 
 
 def chosen_copies(docs: DataFrame, flows: dict[tuple, float], seed: int, copies: int = len(COSTS)) -> DataFrame:
-    """`docs` (doc_id, pattern, size) with `copies`: how often the mix takes each document.
+    """`docs` (doc_id, pattern, size, digest) with `copies`: how often the mix takes each document.
 
     Copies that the flow takes of all of a pattern's documents are added as they are; the part of
-    a further copy is filled up to the flow by whole documents in a seeded order.
+    a further copy is filled up to the flow by whole documents in a seeded order, and what large
+    documents leave open by second copies of smaller ones.
     """
     spark = docs.sparkSession
     taken: dict[tuple, float] = {}
     for (p, _, _), words in flows.items():
         taken[p] = taken.get(p, 0.0) + words
-    order = F.xxhash64(F.lit(seed), "doc_id")
+    order = F.xxhash64(F.lit(seed), "doc_id", "digest")
     rows = docs.withColumn("order", order)
     summed = rows.groupBy("pattern").agg(F.sum("size").alias("supply"), F.count("*").alias("n"))
     wanted = spark.createDataFrame([(key(p), w) for p, w in taken.items()], "pattern string, wanted double")
@@ -154,15 +155,19 @@ def chosen_copies(docs: DataFrame, flows: dict[tuple, float], seed: int, copies:
     rows = rows.join(F.broadcast(plan.select("pattern", "buckets", "whole")), "pattern")
     rows = rows.withColumn("bucket", F.pmod("order", "buckets")).withColumn("extra", F.lit(0))
     now, open_ = rows, plan.select("pattern", "open")
-    for _ in range(1 + PASSES):
-        now, open_ = _fill(now, open_)
-    return now.withColumn("copies", (F.col("whole") + F.col("extra")).cast("long")).drop("extra", "whole", "order", "bucket", "buckets")
+    for turn in range(1 + 2 * PASSES):
+        now, open_ = _fill(now, open_, copies if turn > PASSES else 1)
+    return now.withColumn("copies", (F.col("whole") + F.col("extra")).cast("long")).drop("extra", "whole", "order", "bucket", "buckets", "digest")
 
 
-def _fill(rows: DataFrame, open_: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One pass: documents not taken yet and no larger than what is open, in order, while they fit."""
+def _fill(rows: DataFrame, open_: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """One pass: documents no larger than what is open, in order, while they fit.
+
+    With `most` 1 those that have no further copy yet, otherwise all that have fewer than `most`.
+    """
     rows = rows.join(F.broadcast(open_), "pattern")
-    fits = (F.col("extra") == 0) & (F.col("size") > 0) & (F.col("size") <= F.col("open"))
+    room = (F.col("extra") == 0) if most == 1 else (F.col("whole") + F.col("extra") < most)
+    fits = room & (F.col("size") > 0) & (F.col("size") <= F.col("open"))
     buckets = rows.where(fits).groupBy("pattern", "bucket").agg(F.sum("size").alias("sum"), F.first("open").alias("open"))
     before = F.sum("sum").over(Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     buckets = buckets.withColumn("before", F.coalesce(before, F.lit(0)))
@@ -178,7 +183,7 @@ def _fill(rows: DataFrame, open_: DataFrame) -> tuple[DataFrame, DataFrame]:
     whole = F.col("edge").isNull() | (F.col("bucket") < F.col("edge"))
     part = (F.col("bucket") == F.col("edge")) & (F.struct("order", "doc_id", "size") <= F.col("stop"))
     done = done.withColumn("new", fits & (whole | F.coalesce(part, F.lit(False))))
-    done = written(done.withColumn("extra", F.when(F.col("new"), 1).otherwise(F.col("extra"))).drop("edge", "edge_before", "stop"), "mix")
+    done = written(done.withColumn("extra", F.col("extra") + F.col("new").cast("int")).drop("edge", "edge_before", "stop"), "mix")
     used = done.groupBy("pattern").agg(F.sum(F.when(F.col("new"), F.col("size")).otherwise(0)).alias("used"), F.first("open").alias("open"))
     return done.drop("new", "open"), written(used.select("pattern", (F.col("open") - F.col("used")).alias("open")), "open")
 
@@ -216,13 +221,14 @@ def mix(docs: DataFrame, weights: Sequence[float], share: float = 1.5, most: flo
     none more than `most` times its own size, with the excess dealt again by weight. `copies` is how
     often the mix takes the document: whole documents, at most `most` times. The taken words of a
     source differ from its target by less than its smallest document not taken, unless sources
-    compete for the same documents. Rows that repeat a doc_id are documents of their own. An empty
+    compete for the same documents. Rows that repeat a doc_id are documents of their own; equal
+    rows are taken equally often. An empty
     table gives an empty table; further columns are ignored. Equal seeds give equal results.
     """
     sources = F.array("source") if sources is None else sources
     sources = F.when(F.size(sources) > 0, sources).otherwise(F.array(F.lit(None).cast("string")))
-    sized = docs.select("doc_id", n_words(F.col("text")).alias("size"), sources.alias("sources"))
-    sized = written(sized.select("doc_id", "size", _key(F.col("sources")).alias("pattern")), "sizes")
+    sized = docs.select("doc_id", n_words(F.col("text")).alias("size"), sources.alias("sources"), F.xxhash64("text").alias("digest"))
+    sized = written(sized.select("doc_id", "size", _key(F.col("sources")).alias("pattern"), "digest"), "sizes")
     summed = sized.groupBy("pattern").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
     if len(summed) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")

@@ -70,3 +70,15 @@ def test_overlapping_sources(spark):
     got = mix(docs, [1, 1], share=0.9, sources=F.col("tags")).collect()
     assert sum(r["size"] * r.copies for r in got) == pytest.approx(900, abs=10)
     assert {r.copies for r in got} == {0, 1}
+
+
+def test_a_large_document_leaves_no_gap(spark):
+    """Second copies of small documents fill what one very large document cannot."""
+    rows = [(i, "w " * 10, "a") for i in range(40)] + [(100, "w " * 500, "a")] + [(200 + i, "w " * 10, "b") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for seed in range(4):
+        got = mix(docs, [1, 9], share=1.1, seed=seed).collect()
+        for source in "ab":
+            mine = [r for r in got if r.pattern == key((source,))]
+            taken, target = sum(r["size"] * r.copies for r in mine), mine[0].target
+            assert abs(taken - target) <= 10 and all(0 <= r.copies <= 2 for r in mine)
