@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.shared import small_batches, written
+from auditlake.llm.shared import lean, small_batches, written
 from auditlake.llm.texts import CHUNK_BYTES, LOWER, SPACE, pieces, text_bytes
 
 GRAMS = (2, 3, 4)
@@ -219,7 +219,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             )
 
     schema = "doc_id long, lang_pred string, score double, rejected boolean"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), schema)
 
 
 def known_language(docs: DataFrame, model: Model) -> DataFrame:
@@ -230,7 +230,7 @@ def known_language(docs: DataFrame, model: Model) -> DataFrame:
         for batch in pieces(batches, "text", CHUNK_BYTES // 2):
             yield batch.filter(pa.array(~predictions(model, batch.column("text"))[2]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def held_out(doc_id: Column) -> Column:

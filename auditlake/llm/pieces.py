@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.shared import small_batches
+from auditlake.llm.shared import lean, small_batches
 from auditlake.llm.texts import _INVERSE, _PRIME, _power, mixed, pieces, text_bytes
 
 BLANK = 0x2581
@@ -336,7 +336,7 @@ def encoded(docs: DataFrame, path: str, seed: int = 0, dropout: float = 0.1, var
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(same)], ["doc_id", "ids", "lossless"])
 
     rows = docs.select("doc_id", "text", variant.cast("long").alias("variant"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, lossless boolean")
+    return rows.mapInArrow(lean(run), "doc_id long, ids array<int>, lossless boolean")
 
 
 def id_digest(rows: DataFrame) -> DataFrame:
@@ -352,4 +352,4 @@ def id_digest(rows: DataFrame) -> DataFrame:
                 ["doc_id", "n_ids", "ids_sha256", "lossless"],
             )
 
-    return rows.mapInArrow(run, "doc_id long, n_ids long, ids_sha256 string, lossless boolean")
+    return rows.mapInArrow(lean(run), "doc_id long, n_ids long, ids_sha256 string, lossless boolean")

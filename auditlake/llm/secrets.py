@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.shared import small_batches, written
+from auditlake.llm.shared import lean, small_batches, written
 from auditlake.llm.texts import LOWER, pieces, text_bytes
 
 #: The patterns and how long a match has to be.
@@ -188,7 +188,7 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     table gives an empty table. Without any text the models are those of the generated strings.
     """
     small_batches(docs.sparkSession)
-    scan = written(docs.select("doc_id", "text").mapInArrow(_scan, SCAN), "scan")
+    scan = written(docs.select("doc_id", "text").mapInArrow(lean(_scan), SCAN), "scan")
     ratio = train(scan)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +201,7 @@ def secret_spans(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, _SPAN)], ["doc_id", "spans"])
 
     rows = scan.where("pairs is null").select("doc_id", "base", "runs")
-    return rows.mapInArrow(run, "doc_id long, spans array<struct<kind:int,start:long,end:long>>")
+    return rows.mapInArrow(lean(run), "doc_id long, spans array<struct<kind:int,start:long,end:long>>")
 
 
 def span_digest(spans: DataFrame) -> DataFrame:
@@ -223,7 +223,7 @@ def span_digest(spans: DataFrame) -> DataFrame:
 def without_secrets(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     """`docs` with every secret in `text` masked and n_chars, where there is one, counted anew."""
     small_batches(docs.sparkSession)
-    pairs = docs.select("doc_id", "text").mapInArrow(_pair_rows, "pairs array<struct<pair:int,labelled:long,ordinary:long>>")
+    pairs = docs.select("doc_id", "text").mapInArrow(lean(_pair_rows), "pairs array<struct<pair:int,labelled:long,ordinary:long>>")
     ratio = train(pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +235,7 @@ def without_secrets(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
                     texts[k] = masked(texts[k], [x[1:] for x in _all_spans(base, found, ratio)], mask)
             yield batch.set_column(batch.schema.get_field_index("text"), batch.schema.field("text"), pa.array(texts, batch.schema.field("text").type))
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(lean(run), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -61,6 +61,21 @@ def test_stages(spark):
         assert r.lossless and decode(model, np.array(r.ids), np.array([0, len(r.ids)]))[0].tobytes().decode() == texts[r.doc_id]
 
 
+def test_rows_without_ids_repeated_rows_and_clashing_columns(spark):
+    from corpus_pipeline import mixture, near_copies
+
+    one, two = "a b c d e f g h", "k l m n o p q r s"
+    rows = [(None, one, "aa", "s1", 1, 7, "x")] * 3 + [(None, two, "aa", "s2", 1, 7, "x"), (4, two, "aa", "s2", 1, 7, "x"), (4, two, "aa", "s2", 1, 7, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, copies int, `copy` string")
+    got = near_copies(spark, docs, "").collect()
+    assert sorted((r.doc_id is None, r.text) for r in got) == [(False, two), (True, one)] and {r.copies for r in got} == {7}
+    mixed = mixture(spark, docs, "")
+    assert mixed.columns == docs.columns and {(r.copies, r["copy"]) for r in mixed.collect()} == {(7, "x")}
+    # 24 words of s1 and 27 of s2 aim at three quarters and a quarter of 51; equal rows stay together.
+    words = {s: sum(len(r.text.split()) for r in mixed.where(f"source = '{s}'").collect()) for s in ("s1", "s2")}
+    assert words == {"s1": 24, "s2": 9}
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in STAGES:
