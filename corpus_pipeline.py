@@ -6,6 +6,7 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from auditlake.llm.langid import known_language, train
 from auditlake.llm.minhash import near_duplicates
@@ -15,6 +16,9 @@ from auditlake.llm.queries import TOKENIZERS, table
 from auditlake.llm.secrets import without_secrets
 from auditlake.llm.shared import written
 
+#: Columns of a stage's own, named so that none of the documents' columns is in the way.
+ROW, GROUP, TAKEN, EQUAL, PLACE = (f"__pipeline_{name}" for name in ("row", "group", "taken", "equal", "place"))
+
 #: Stages have no SQL: trained models and keyed hashes decide in them. tests/llm checks them.
 ORACLE_SQL = None
 
@@ -24,10 +28,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return known_language(docs, train(docs))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows with a key: a hash of the row, as an id alone may be null or repeated. Equal rows have one key."""
+    key = F.xxhash64(*(F.col(c).cast("string") for c in ("doc_id", "source", "text", "lang")))
+    return docs.withColumn(ROW, key)
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id; rows without an id stay."""
-    gone = near_duplicates(docs, Fraction(4, 5)).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near copies, the one with the smallest id, one row of it; rows
+    without an id are groups of equal texts. Rows with an empty set of words are no copies.
+    """
+    keyed = _keyed(docs)
+    found = near_duplicates(keyed.select(F.col(ROW).alias("doc_id"), "text"), Fraction(4, 5))
+    group = found.select(F.col("doc_id").alias(ROW), F.col("component_id").alias(GROUP)).distinct()
+    rows = keyed.select(ROW, F.col("doc_id").isNull().alias("none"), "doc_id").distinct().join(group, ROW)
+    kept = rows.groupBy(GROUP).agg(F.min(F.struct("none", "doc_id", ROW)).alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
+    return keyed.join(kept, ROW, "left_semi").dropDuplicates([ROW]).select(docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +53,15 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at weights 3, 1, 2, repeating, as many words as there are; a document comes 0 to 2 times."""
-    taken = mix(docs, [3, 1, 2], share=1.0, most=2).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    rows = docs.join(taken.withColumnRenamed("doc_id", "taken_id"), F.col("doc_id").eqNullSafe(F.col("taken_id")))
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+    keyed = _keyed(docs)
+    rows = keyed.select(F.col(ROW).alias("doc_id"), "text", "source")
+    taken = mix(rows, [3, 1, 2], share=1.0, most=2).groupBy("doc_id").agg(F.sum("copies").alias(TAKEN), F.count("*").alias(EQUAL))
+    rows = keyed.join(taken.withColumnRenamed("doc_id", ROW), ROW)
+    # Equal rows share what they take: the first ones one copy more where it does not divide.
+    place = F.row_number().over(Window.partitionBy(ROW).orderBy(ROW)) - 1
+    rows = rows.withColumn(PLACE, F.when(F.col(EQUAL) > 1, place).otherwise(0))
+    n = F.floor(F.col(TAKEN) / F.col(EQUAL)) + (F.col(PLACE) < F.col(TAKEN) % F.col(EQUAL)).cast("int")
+    return rows.withColumn(PLACE, n.cast("int")).where(F.col(PLACE) > 0).withColumn(PLACE, F.explode(F.sequence(F.lit(1), PLACE))).select(docs.columns)
 
 
 def ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
