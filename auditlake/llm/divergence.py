@@ -32,16 +32,15 @@ from auditlake.llm.shared import small_batches, written
 LEAST_DOCUMENTS = 10
 SCALE = 1_000_000_000
 TOP = 10
-#: Sums held by a task before it passes them on, bytes of text counted together, and sources of one
-#: text added at a time.
-HELD, TOGETHER, SOURCES = 400_000, 1 << 20, 1 << 16
+#: Sums held by a task before it passes them on, and bytes of text counted together.
+HELD, TOGETHER = 500_000, 1 << 20
 #: Sources in a tile and, on average, terms in a chunk.
 TILE, CHUNK = 64, 512
 
 #: Bytes of a term in lower case; every other byte is a blank. Bytes above 127 belong to terms.
 _TERM = bytes(b if b > 127 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
-_SUMS = "lang string, source string, term binary, n long"
+_SUMS = "lang string, source string, term binary, n long, documents long"
 
 
 def terms_of(text: bytes) -> list[bytes]:
@@ -60,103 +59,89 @@ def counted(text: bytes) -> Counter:
 
 
 class _Sums:
-    """Occurrences by (lang, source) and, under source None, documents by lang."""
+    """Occurrences and documents by (lang, source) and term."""
 
     def __init__(self):
-        self.by: defaultdict[tuple, Counter] = defaultdict(Counter)
+        self.counts: defaultdict[tuple, Counter] = defaultdict(Counter)
+        self.documents: defaultdict[tuple, Counter] = defaultdict(Counter)
         self.once: defaultdict[tuple, list] = defaultdict(list)
         self.waiting = 0
 
-    def add(self, lang: str, text: bytes, copies: list[tuple[str, int]]) -> None:
-        """A text and its numbers of copies by source."""
-        if len(copies) == 1 and copies[0][1] == 1 and len(text) < TOGETHER:
-            self.once[lang, copies[0][0]].append(terms_of(text))
-            self.waiting += len(text)
-            if self.waiting >= TOGETHER:
-                self.settle()
-            return
-        terms, total = counted(text), sum(n for _, n in copies)
-        documents = self.by[lang, None]
-        for term in terms:
-            documents[term] += total
-        for source, n in copies:
-            counts = self.by[lang, source]
-            for term, k in terms.items():
-                counts[term] += k * n
+    def add(self, lang: str, source: str, copies: int, terms: Counter) -> None:
+        """So many copies of a text in a source."""
+        counts, documents = self.counts[lang, source], self.documents[lang, source]
+        for term, n in terms.items():
+            counts[term] += copies * n
+            documents[term] += copies
+
+    def add_once(self, lang: str, source: str, text: bytes) -> None:
+        """A text that the source has once; such texts are added many at a time."""
+        self.once[lang, source].append(terms_of(text))
+        self.waiting += len(text)
+        if self.waiting >= TOGETHER:
+            self.settle()
 
     def settle(self) -> None:
-        """Adds the texts that exist once, many at a time."""
-        for (lang, source), lists in self.once.items():
-            self.by[lang, source].update(chain.from_iterable(lists))
-            self.by[lang, None].update(chain.from_iterable(map(set, lists)))
+        for group, lists in self.once.items():
+            self.counts[group].update(chain.from_iterable(lists))
+            self.documents[group].update(chain.from_iterable(map(set, lists)))
         self.once.clear()
         self.waiting = 0
 
     def flushed(self, least: int) -> Iterator[pa.RecordBatch]:
         """All sums, once there are `least`."""
-        if sum(map(len, self.by.values())) < least:
+        if sum(map(len, self.counts.values())) < least:
             return
-        for (lang, source), sums in self.by.items():
-            names = [pa.array([x] * len(sums), pa.string()) for x in (lang, source)]
-            values = [pa.array(list(sums), pa.binary()), pa.array(list(sums.values()), pa.int64())]
-            yield pa.RecordBatch.from_arrays([*names, *values], ["lang", "source", "term", "n"])
-        self.by.clear()
+        for group, counts in self.counts.items():
+            names = [pa.array([x] * len(counts), pa.string()) for x in group]
+            numbers = [pa.array(x, pa.int64()) for x in (list(counts.values()), list(map(self.documents[group].__getitem__, counts)))]
+            yield pa.RecordBatch.from_arrays([*names, pa.array(list(counts), pa.binary()), *numbers], ["lang", "source", "term", "n", "documents"])
+        self.counts.clear()
+        self.documents.clear()
 
 
 def _term_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in the order of their texts, each text first, then its copies -> sums."""
-    sums, key, text, copies = _Sums(), None, b"", []
+    """Texts with their copies in a source, rows of one text in a row -> sums."""
+    sums, key, terms = _Sums(), None, None
     for batch in batches:
         texts = batch.column("text")
-        rows = zip(*(batch.column(c).to_pylist() for c in ("lang", "digest", "source", "n")))
-        for i, (lang, digest, source, n) in enumerate(rows):
-            if n == 0 or len(copies) >= SOURCES:
-                if copies:
-                    sums.add(key, text, copies)
-                copies = []
-            if n == 0:
-                key, text = lang, texts[i].as_buffer().to_pybytes()
-            else:
-                copies.append((source, n))
+        rows = zip(*(batch.column(c).to_pylist() for c in ("lang", "digest", "source", "n", "sources")))
+        for i, (lang, digest, source, n, sources) in enumerate(rows):
+            if n == sources == 1 and len(text := texts[i].as_buffer()) < TOGETHER:
+                sums.add_once(lang, source, text.to_pybytes())
+                continue
+            if digest != key:
+                key, terms = digest, counted(texts[i].as_buffer().to_pybytes())
+            sums.add(lang, source, n, terms)
         yield from sums.flushed(HELD)
-    if copies:
-        sums.add(key, text, copies)
     sums.settle()
     yield from sums.flushed(1)
 
 
 def collapsed(docs: DataFrame) -> DataFrame:
-    """(lang, digest, source, n, text): each text of a lang once with n = 0, then its copies by source.
+    """(lang, digest, source, n, sources, text): each text of a lang with its copies in each source.
 
-    `docs` holds lang, source and text without nulls. Copies are counted and texts made distinct
-    before the shuffle, so a text with very many copies is a row or two for each task.
+    `docs` holds lang, source and text without nulls. Copies are counted and texts made one before
+    the shuffle, so a text with very many copies is a row for each task; it is shuffled once, and
+    only numbers are joined to it.
     """
-    digest = F.unhex(F.sha2("text", 256)).alias("digest")
-    copies = docs.select("lang", digest, "source").groupBy("lang", "digest", "source").agg(F.count("*").alias("n"))
-    texts = docs.select("lang", "text").distinct()
-    texts = texts.select("lang", digest, F.lit("").alias("source"), F.lit(0).cast("long").alias("n"), F.col("text").cast("binary").alias("text"))
-    return texts.unionByName(copies.withColumn("text", F.lit(None).cast("binary")))
+    docs = docs.withColumn("digest", F.unhex(F.sha2("text", 256)))
+    copies = docs.groupBy("lang", "digest", "source").agg(F.count("*").alias("n"))
+    sources = F.count("*").over(Window.partitionBy("lang", "digest")).alias("sources")
+    texts = docs.groupBy("lang", "digest").agg(F.first(F.col("text").cast("binary")).alias("text"))
+    return texts.join(copies.select("*", sources), ["lang", "digest"]).select("lang", "digest", "source", "n", "sources", "text")
 
 
 def term_counts(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
-    """(lang, source, term, n, of_lang, first) for kept terms with n > 0 occurrences in the group.
-
-    `of_lang` are all occurrences in the language; `first` marks one row of each (lang, term).
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = collapsed(docs).repartition(parts, "lang", "digest").sortWithinPartitions("lang", "digest", "n")
-    rows = rows.select("lang", "digest", "source", "n", "text").mapInArrow(_term_sums, _SUMS)
-    # One shuffle by term serves the sums by source and those over sources.
-    sums = rows.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"))
-    term = Window.partitionBy("lang", "term")
-    sums = sums.select(
-        "*", F.max(F.when(F.col("source").isNull(), F.col("n"))).over(term).alias("documents"),
-        F.sum(F.when(F.col("source").isNotNull(), F.col("n"))).over(term).alias("of_lang"),
-        (F.min("source").over(term) == F.col("source")).alias("first"),
-    )
-    return sums.where(f"source is not null and documents >= {least}").drop("documents")
+    """(lang, term, of_lang, source, n, documents) for kept terms: occurrences in the lang and the group, documents in the group."""
+    small_batches(docs.sparkSession)
+    # One shuffle by term serves all sums, and rare terms end in it. Both readers ask for all of its
+    # columns, so that it is one and the same.
+    sums = collapsed(docs).mapInArrow(_term_sums, _SUMS).repartition("lang", "term")
+    kept = sums.groupBy("lang", "term").agg(F.sum("documents").alias("found"), F.sum("n").alias("of_lang"), F.count("source").alias("rows"))
+    kept = kept.where((F.col("found") >= least) & (F.col("rows") > 0)).select("lang", "term", "of_lang")
+    counts = sums.join(kept.hint("shuffle_hash"), ["lang", "term"]).groupBy("lang", "term", "of_lang", "source")
+    return counts.agg(F.sum("n").alias("n"), F.sum("documents").alias("documents"))
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
@@ -173,7 +158,8 @@ def gap(p: Column, q: Column) -> Column:
 def group_facts(docs: DataFrame, counts: DataFrame) -> DataFrame:
     """A row for each (lang, source) of `docs`: total, terms and of_lang of the lang, share of a term
     without occurrences, tile, and how many tiles and chunks the lang has."""
-    langs = counts.groupBy("lang").agg(F.sum("n").alias("of_lang"), F.sum(F.col("first").cast("long")).alias("terms"))
+    terms = counts.select("lang", "term", "of_lang").distinct()
+    langs = terms.groupBy("lang").agg(F.sum("of_lang").alias("of_lang"), F.count("*").alias("terms"))
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = docs.select("lang", "source").distinct().join(totals, ["lang", "source"], "left")
     sources = groups.groupBy("lang").agg(F.ceil(F.count("*") / TILE).alias("tiles"))

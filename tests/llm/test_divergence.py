@@ -65,7 +65,7 @@ def test_equals_brute_force(spark, least):
 
 def test_tiles_chunks_and_flushes_change_nothing(spark, monkeypatch):
     rows = corpus(4, sources=14)
-    for name, value in (("TILE", 3), ("CHUNK", 2), ("HELD", 5), ("TOGETHER", 40), ("SOURCES", 2)):
+    for name, value in (("TILE", 3), ("CHUNK", 2), ("HELD", 5), ("TOGETHER", 40)):
         monkeypatch.setattr(divergence, name, value)
     assert run(spark, rows, 3) == brute(rows, 3)
 
