@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from auditlake.llm.components import components
-from auditlake.llm.shared import lean, small_batches, written
+from auditlake.llm.shared import lean, release, small_batches, written
 from auditlake.llm.texts import LOWER, Words, alike, mixed, pieces, text_bytes
 
 WORDS = 5
@@ -492,6 +492,7 @@ def class_components(classes: DataFrame, docs: DataFrame, threshold: Fraction) -
         both = both.join(blocks.select(F.col("block").alias("y"), F.col("members").alias("right")), "y")
         links = both.select("left", "right").mapInArrow(lean(_links(threshold)), "a long, b long")
         label = _merged(label, written(links, "links"))
+    release(sets)
     return label.select(F.col("class_id").alias("node"), F.col("comp").alias("component"))
 
 
