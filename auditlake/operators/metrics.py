@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.plans.segmented import running
+from auditlake.plans.segmented import BUCKET, dealt, running
 
 # Upper bounds of the latency histogram, in seconds, as they are printed.
 LATENCY_BUCKETS = ["0.005", "0.01", "0.025", "0.05", "0.1", "0.25", "0.5", "1", "2", "5"]
@@ -131,15 +131,17 @@ def top_rules(hits: DataFrame, n: int) -> DataFrame:
     return per_rule.orderBy(F.col("hits").desc(), "rule_id").limit(n)
 
 
-def alert_for(samples: DataFrame, holds_for: Column, bucket: Column) -> DataFrame:
+def alert_for(samples: DataFrame, holds_for: Column, bucket: Column | None = None) -> DataFrame:
     """(series, ts, seq, firing) samples -> islands where the condition held long enough.
 
     An island is a run of samples with no false sample between them, named by the last
-    false one before it; it fires when it spans ``holds_for`` seconds or more.
+    false one before it; it fires when it spans ``holds_for`` seconds or more. Samples are
+    followed in ranges of even size, or in a ``bucket`` of ts where no series is busy.
     """
+    rows, edges = dealt(samples, ["series"], ["ts", "seq"], bucket)
     marked = running(
-        samples.withColumn("__bucket", bucket), ["series"], "__bucket", ["ts", "seq"],
-        lasts={"__since": F.when(~F.col("firing"), F.struct("ts", "seq"))},
+        rows, ["series"], BUCKET, ["ts", "seq"],
+        lasts={"__since": F.when(~F.col("firing"), F.struct("ts", "seq"))}, edges=edges,
     )
     islands = marked.filter("firing").groupBy("series", "__since").agg(
         F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count("*").alias("samples")
@@ -171,21 +173,23 @@ def outbox_claimable(outbox: DataFrame, now: Column, n: int = 100) -> DataFrame:
     return outbox.filter(due & free).orderBy("created_at", "event_id").limit(n)
 
 
-def auditor_outages(calls: DataFrame, bucket: Column, failures: int = OUTAGE_FAILURES,
+def auditor_outages(calls: DataFrame, bucket: Column | None = None, failures: int = OUTAGE_FAILURES,
                     seconds: int = OUTAGE_SECONDS) -> DataFrame:
     """(auditor, ts, seq, error) calls -> outages: every 5th consecutive failure opens one.
 
-    A success ends a run; calls refused while an outage is open are not failures.
+    A success ends a run; calls refused while an outage is open are not failures. Calls are
+    counted in ranges of even size, or in a ``bucket`` of ts where no auditor is busy.
     """
-    real = calls.filter(F.coalesce("error", F.lit("")) != CIRCUIT_OPEN).withColumn("__bucket", bucket)
+    asked = calls.filter(F.coalesce("error", F.lit("")) != CIRCUIT_OPEN)
+    real, edges = dealt(asked, ["auditor"], ["ts", "seq"], bucket)
     failed = F.coalesce("error", F.lit("")) != ""
     counted = running(
-        real, ["auditor"], "__bucket", ["ts", "seq"], sums={"__failures": failed.cast("bigint")}
+        real, ["auditor"], BUCKET, ["ts", "seq"], sums={"__failures": failed.cast("bigint")}, edges=edges
     )
     # Failures up to the latest success, subtracted to get the position inside the run.
     based = running(
-        counted, ["auditor"], "__bucket", ["ts", "seq"],
-        lasts={"__base": F.when(~failed, F.col("__failures"))},
+        counted, ["auditor"], BUCKET, ["ts", "seq"],
+        lasts={"__base": F.when(~failed, F.col("__failures"))}, edges=edges,
     )
     position = F.col("__failures") - F.coalesce("__base", F.lit(0))
     opened = based.filter(failed & (position % failures == 0))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions.text import KNOWN_ROUTES
 from auditlake.plans.lookup import lookup
-from auditlake.plans.segmented import running
+from auditlake.plans.segmented import BUCKET, dealt, running
 
 # The lattice of decisions, and the defaults of an unset policy field.
 RANK = {"allow": 0, "monitor": 1, "redact": 2, "block": 3}
@@ -191,12 +191,16 @@ def policy_coverage(rule_sets: DataFrame, policies: DataFrame) -> DataFrame:
     return counted.select("managed_rule_sets", "__p.*").withColumn("covered", ok)
 
 
-def policy_timeline(changes: DataFrame, keys: list[str], order: list[str], bucket: Column) -> DataFrame:
-    """Revision number of each change of a policy (1, 2, ...), in change order."""
+def policy_timeline(changes: DataFrame, keys: list[str], order: list[str],
+                    bucket: Column | None = None) -> DataFrame:
+    """Revision number of each change of a policy (1, 2, ...), in change order.
+
+    Counted in ranges of even size, or in a ``bucket`` of the order where none is busy.
+    """
+    rows, edges = dealt(changes, keys, order, bucket)
     return running(
-        changes.withColumn("__bucket", bucket), keys, "__bucket", order,
-        sums={"revision": F.lit(1).cast("bigint")},
-    ).drop("__bucket")
+        rows, keys, BUCKET, order, sums={"revision": F.lit(1).cast("bigint")}, edges=edges,
+    ).drop(BUCKET)
 
 
 def snapshot_hash(table: DataFrame, columns: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.plans.segmented import running
+from auditlake.plans.segmented import BUCKET, dealt, running
 
 
 def windowed_decisions(events: DataFrame, width: str, slide: str | None = None,
@@ -19,19 +19,22 @@ def windowed_decisions(events: DataFrame, width: str, slide: str | None = None,
     )
 
 
-def tenant_sessions(events: DataFrame, gap: str, bucket: str = "day") -> DataFrame:
+def tenant_sessions(events: DataFrame, gap: str, bucket: str | None = None) -> DataFrame:
     """Per-tenant sessions: bursts of events separated by at least ``gap``.
 
-    Events of a tenant and instant collapse first, and the gaps are found per tenant and
-    ``bucket`` of time, so a busy tenant is not one task's work.
+    Events of a tenant and instant collapse first, and the gaps are found in ranges of even
+    size, or per tenant and ``bucket`` of time where no tenant is busy within one, so a busy
+    tenant is not one task's work.
     """
     rows = events.groupBy("tenant_id", "event_time").agg(F.count("*").alias("c"))
-    rows = rows.withColumn("__bucket", F.date_trunc(bucket, "event_time"))
-    dated = running(rows, ["tenant_id"], "__bucket", ["event_time"], befores={"prev": F.col("event_time")})
+    width = F.date_trunc(bucket, "event_time") if bucket else None
+    rows, edges = dealt(rows, ["tenant_id"], ["event_time"], width)
+    dated = running(rows, ["tenant_id"], BUCKET, ["event_time"], befores={"prev": F.col("event_time")}, edges=edges)
     length = F.expr(f"INTERVAL {gap}")
     fresh = F.col("prev").isNull() | (F.col("event_time") >= F.col("prev") + length)
     started = running(
-        dated, ["tenant_id"], "__bucket", ["event_time"], lasts={"session_start": F.when(fresh, F.col("event_time"))}
+        dated, ["tenant_id"], BUCKET, ["event_time"],
+        lasts={"session_start": F.when(fresh, F.col("event_time"))}, edges=edges,
     )
     return started.groupBy("tenant_id", "session_start").agg(
         (F.max("event_time") + length).alias("session_end"), F.sum("c").alias("n")

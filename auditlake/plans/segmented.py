@@ -3,6 +3,10 @@
 A plain window over a key sorts all rows of that key in a single task. Here rows are windowed
 per (key, bucket) only; one summary row per bucket carries the state across buckets. The
 window over the summaries sees (rows of the key / rows per bucket) rows.
+
+A bucket is a coarse function of the order, or, from ``dealt``, a range of about equal row count
+whatever the keys and times are. Only a key that goes on in another range needs a carried state,
+and a range has two such keys at most: its first and its last.
 """
 
 from __future__ import annotations
@@ -11,6 +15,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from auditlake.sources.sink import materialize
+
+BUCKET = "__bucket"
+
+
+def dealt(df: DataFrame, keys: list[str], order: list[str], bucket: Column | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(rows with a column ``__bucket``, edges) for ``running``.
+
+    With a ``bucket`` the rows stay as they are and there are no edges. Without one, Spark samples
+    split points of (keys, order) and deals the rows into spark.sql.shuffle.partitions ranges of
+    about equal row count. The ranges are written, so their number is data: neither a second
+    sampling nor a lost executor can move a row to another range, and each running value reads
+    them instead of the input. Rows equal in keys and order share a range.
+    """
+    if bucket is not None:
+        return df.withColumn(BUCKET, bucket), None
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = df.repartitionByRange(parts, *keys, *order).withColumn(BUCKET, F.spark_partition_id())
+    rows = materialize(ranges, "ranges")
+    key = F.struct(*keys)
+    ends = rows.groupBy(BUCKET).agg(F.array_distinct(F.array(F.min(key), F.max(key))).alias("ends"))
+    first_last = ends.select(BUCKET, F.explode("ends").alias("k"))
+    seen = first_last.withColumn("n", F.count("*").over(W.partitionBy("k")))
+    return rows, seen.filter("n > 1").select("k.*", BUCKET)
+
 
 def running(
     df: DataFrame,
@@ -21,6 +50,7 @@ def running(
     lasts: dict[str, Column] | None = None,
     befores: dict[str, Column] | None = None,
     nexts: dict[str, Column] | None = None,
+    edges: DataFrame | None = None,
 ) -> DataFrame:
     """Add running values per ``keys`` in ``order``; ``bucket`` must not decrease along it.
 
@@ -28,6 +58,8 @@ def running(
     lasts    last non-null value up to and including this row
     befores  last non-null value strictly before this row
     nexts    first non-null value strictly after this row
+    edges    (keys, bucket) groups with a neighbour in another bucket, from ``dealt``: two a
+             bucket at most, so they and their summaries are broadcast and nothing else is summed
     Keys, bucket and order must not be null.
     """
     sums, lasts, befores, nexts = sums or {}, lasts or {}, befores or {}, nexts or {}
@@ -51,7 +83,10 @@ def running(
         for n in [*lasts, *befores]
     ]
     carried += [F.last(f"__t_{n}", ignorenulls=True).over(later).alias(f"__c_{n}") for n in nexts]
-    carry = marked.groupBy(*part).agg(*totals).select(*part, *carried)
+    summed = marked if edges is None else marked.join(F.broadcast(edges), part, "left_semi")
+    carry = summed.groupBy(*part).agg(*totals).select(*part, *carried)
+    if edges is not None:
+        carry = F.broadcast(carry)
 
     rows = W.partitionBy(*part).orderBy(*order)
     back = W.partitionBy(*part).orderBy(*[F.col(c).desc() for c in order])

@@ -115,7 +115,7 @@ def alert_for(spark, sf):
         F.col("event_type").alias("series"), F.col("event_time").alias("ts"), F.col("event_id").alias("seq"),
         (F.col("k") >= 20).alias("firing"),
     )
-    fired = met.alert_for(samples, F.lit(HOLD), F.date_trunc("day", "ts"))
+    fired = met.alert_for(samples, F.lit(HOLD))
     return fired.select("series", F.unix_micros("started").alias("started_us"), F.unix_micros("ended").alias("ended_us"), "samples")
 
 
@@ -161,7 +161,7 @@ def auditor_outages(spark, sf):
         F.col("event_id").alias("seq"),
         F.when(k >= 97, met.CIRCUIT_OPEN).when(k >= 40, "timeout").otherwise("").alias("error"),
     )
-    found = met.auditor_outages(log, F.date_trunc("day", "ts"))
+    found = met.auditor_outages(log)
     return found.select("auditor", F.unix_micros("opened_at").alias("opened_us"),
                         F.unix_micros("open_until").alias("until_us"), "nth_in_run")
 

@@ -146,8 +146,7 @@ def policy_coverage(spark, sf):
 FROM orders""")
 def policy_timeline(spark, sf):
     changes = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    return pol.policy_timeline(changes, ["o_custkey"], ["o_orderdate", "o_orderkey"],
-                               F.date_trunc("year", "o_orderdate")).drop("o_orderdate")
+    return pol.policy_timeline(changes, ["o_custkey"], ["o_orderdate", "o_orderkey"]).drop("o_orderdate")
 
 
 @query("snapshot_hash", f"""WITH {RAW_POLICIES},

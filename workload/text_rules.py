@@ -313,14 +313,10 @@ PUBLICATIONS_SQL = """one AS (SELECT 'tenant:' || o_orderpriority AS scope, o_or
   FROM orders GROUP BY ALL)"""
 
 
-def month(ts="ts"):
-    return F.date_trunc("month", ts)
-
-
 @query("rule_set_timeline", f"""WITH {PUBLICATIONS_SQL} SELECT scope, version, epoch_ms(ts) AS from_ms,
   epoch_ms(lead(ts) OVER (PARTITION BY scope ORDER BY ts)) AS to_ms FROM one""")
 def rule_set_timeline(spark, sf):
-    spans = timeline.rule_set_timeline(publications(spark, sf), month())
+    spans = timeline.rule_set_timeline(publications(spark, sf))
     return spans.select("scope", "version", F.unix_millis("valid_from").alias("from_ms"),
                         F.unix_millis("valid_to").alias("to_ms"))
 
@@ -337,7 +333,7 @@ def rules_asof(spark, sf):
     probes = table(spark, sf, "lineitem").select(
         F.concat(F.lit("tenant:"), scope).alias("scope"), F.col("l_shipdate").alias("ts"), "l_orderkey", "l_linenumber"
     )
-    return timeline.rules_asof(probes, publications(spark, sf), month()).select(
+    return timeline.rules_asof(probes, publications(spark, sf)).select(
         "l_orderkey", "l_linenumber", "rule_version"
     )
 
