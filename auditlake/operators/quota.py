@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,14 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from auditlake.functions.pieces import Pieces, Stretch, composed, constant, identity
 from auditlake.functions.text import endpoint_bucket
 from auditlake.plans.segmented import running
 from auditlake.sources.sink import materialize
 
 RATE, BURST, PERIOD_MS = 60, 120, 1000
 CHUNK_MS = 3_600_000
-# Most distinct token levels for which a chunk is summarised for every level it may start at.
-MAX_LEVELS = 50_000
+# Chunks whose functions one task composes and follows.
+BLOCK_CHUNKS = 64
 
 
 def scan_chunks(frames: Iterator[pd.DataFrame], rate: int, burst: int, period_ms: int) -> Iterator[pd.DataFrame]:
@@ -44,56 +44,91 @@ def scan_chunks(frames: Iterator[pd.DataFrame], rate: int, burst: int, period_ms
         yield frame[["key", "session", "ms", "n"]].assign(level=levels)
 
 
-def chunk_tables(frames: Iterator[pd.DataFrame], rate: int, burst: int, period_ms: int) -> Iterator[pd.DataFrame]:
-    """One row per chunk: its end level for every level it may start from.
+def chunk_functions(frames: Iterator[pd.DataFrame], rate: int, burst: int, period_ms: int) -> Iterator[pd.DataFrame]:
+    """One row per chunk of rows sorted by key, session, chunk and time: its end level as a function
+    (``lo``, ``at``, ``slope`` of ``Pieces``) of the level its session had at ``prev``.
 
-    All start levels advance together; those that meet stay together, so only a few are left
-    after the first instants (one once the bucket fills, period/unit under constant overload).
+    The first chunk of a session (``opens``) starts from a full bucket, so its function is constant.
     """
-    unit, full = math.gcd(rate, period_ms), burst * period_ms
-    group, levels, where, at, steps = None, None, None, 0, 0
-
-    def row():
-        return {"key": group[0], "session": group[1], "chunk": group[2], "ends": levels[where] // unit}
-
+    full, group, stretch, at = burst * period_ms, None, None, 0
     for frame in frames:
         done = []
-        columns = (frame[c] for c in ("key", "session", "chunk", "ms", "n", "prev"))
-        for key, session, chunk, ms, n, prev in zip(*columns):
+        columns = (frame[c] for c in (*_CHUNK, "ms", "n", "prev", "opens"))
+        for key, session, chunk, ms, n, prev, opens in zip(*columns):
             if (key, session, chunk) != group:
                 if group is not None:
-                    done.append(row())
-                group, at, steps = (key, session, chunk), prev, 0
-                levels = np.arange(0, full + 1, unit, dtype="int64")
-                where = np.arange(len(levels))
-            levels = np.minimum(full, levels + (ms - at) * rate)
-            levels -= np.minimum(n, levels // period_ms) * period_ms
-            at, steps = ms, steps + 1
-            # Levels that have met are merged, every time while few and now and then while many.
-            if len(levels) > 1 and (len(levels) <= 64 or steps % 32 == 1):
-                levels, inverse = np.unique(levels, return_inverse=True)
-                where = inverse[where]
+                    done.append((*group, *stretch.now()))
+                group, at = (key, session, chunk), ms if opens else prev
+                stretch = Stretch(constant(full) if opens else identity(), full, period_ms)
+            stretch.refill((ms - at) * rate)
+            stretch.take(n)
+            at = ms
         if done:
-            yield pd.DataFrame(done)
+            yield pd.DataFrame(done, columns=_FUNCTION)
     if group is not None:
-        yield pd.DataFrame([row()])
+        yield pd.DataFrame([(*group, *stretch.now())], columns=_FUNCTION)
 
 
-def chunk_starts(frames: Iterator[pd.DataFrame], unit: int) -> Iterator[pd.DataFrame]:
-    """Start level of each chunk, over tables sorted by key, session and chunk.
+def _pieces(frame: pd.DataFrame) -> Iterator[Pieces]:
+    for row in zip(frame["lo"], frame["at"], frame["slope"]):
+        yield Pieces(*(np.asarray(values, np.int64) for values in row))
 
-    The first row of a session holds the single end level of its first chunk.
-    """
+
+def block_functions(frames: Iterator[pd.DataFrame], full: int) -> Iterator[pd.DataFrame]:
+    """One row per key, session and block: its chunks' functions composed, over rows sorted by these and chunk."""
+    group, function = None, None
+    for frame in frames:
+        done = []
+        for key, session, block, pieces in zip(frame["key"], frame["session"], frame["block"], _pieces(frame)):
+            if (key, session, block) != group:
+                if group is not None:
+                    done.append((*group, *function))
+                group, function = (key, session, block), pieces
+            else:
+                function = composed(function, pieces, full)
+        if done:
+            yield pd.DataFrame(done, columns=_FUNCTION)
+    if group is not None:
+        yield pd.DataFrame([(*group, *function)], columns=_FUNCTION)
+
+
+def starts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Level before each row's function, over rows in order whose first function is constant in every group."""
     level = 0
     for frame in frames:
-        starts = []
-        for ends in frame["ends"]:
-            starts.append(level * unit)
-            level = ends[0] if len(ends) == 1 else ends[level]
-        yield frame[["key", "session", "chunk"]].assign(start=starts)
+        found = []
+        for pieces in _pieces(frame):
+            found.append(level)
+            level = pieces(level)
+        yield frame[_CHUNK].assign(start=found)
 
 
 _CHUNK = ["key", "session", "chunk"]
+_FUNCTION = [*_CHUNK, "lo", "at", "slope"]
+_FUNCTION_TYPE = "key string, session bigint, chunk bigint, lo array<bigint>, at array<bigint>, slope array<bigint>"
+_START_TYPE = "key string, session bigint, chunk bigint, start bigint"
+# Sorts before every chunk.
+_OPENING = -(2**62)
+
+
+def _chunk_starts(functions: DataFrame, full: int) -> DataFrame:
+    """(key, session, chunk) -> level at the end of the chunk before.
+
+    A session is followed block by block, a block chunk by chunk, each in a task of its own: a task
+    sees the blocks of a session or the chunks of a block, never a session's chunks or instants.
+    """
+    blocked = functions.withColumn("block", F.floor(F.col("chunk") / BLOCK_CHUNKS))
+    by_block = blocked.repartition("key", "session", "block").sortWithinPartitions("key", "session", "block", "chunk")
+    blocks = by_block.mapInPandas(lambda frames: block_functions(frames, full), _FUNCTION_TYPE)
+    followed = blocks.repartition("key", "session").sortWithinPartitions(*_CHUNK).mapInPandas(starts, _START_TYPE)
+    zero = F.array(F.lit(0).cast("bigint"))
+    opening = followed.select(
+        "key", "session", F.lit(_OPENING).cast("bigint").alias("chunk"), zero.alias("lo"),
+        F.array("start").alias("at"), zero.alias("slope"), F.col("chunk").alias("block"),
+    )
+    both = blocked.unionByName(opening).repartition("key", "session", "block")
+    found = both.sortWithinPartitions("key", "session", "block", "chunk").mapInPandas(starts, _START_TYPE)
+    return found.filter(F.col("chunk") != _OPENING)
 
 
 def _scan(rows: DataFrame, rate: int, burst: int, period_ms: int) -> DataFrame:
@@ -110,8 +145,8 @@ def bucket_levels(calls: DataFrame, rate: int, burst: int, period_ms: int) -> Da
     Calls of one key and millisecond collapse into one row before anything is shuffled by
     key. A pause long enough to refill the bucket makes what follows independent of what came
     before, so keys are split into sessions there. A session that goes on over several
-    chunks of time is split too: each later chunk is summarised for every level it could
-    start from, the summaries are chained, and all chunks are then scanned side by side.
+    chunks of time is split too: each chunk becomes a piecewise-linear function of the level it
+    starts from, the functions are composed, and all chunks are then scanned side by side.
     """
     instants = calls.groupBy("key", "ms").agg(F.count("*").alias("n"))
     chunked = instants.withColumn("chunk", F.floor(F.col("ms") / CHUNK_MS))
@@ -119,32 +154,18 @@ def bucket_levels(calls: DataFrame, rate: int, burst: int, period_ms: int) -> Da
     gaps = running(chunked, ["key"], "chunk", ["ms"], befores={"prev": F.col("ms")})
     fresh = F.col("prev").isNull() | (F.col("ms") - F.col("prev") >= refill_ms)
     sessions = running(gaps, ["key"], "chunk", ["ms"], lasts={"session": F.when(fresh, F.col("ms"))})
-    rows = sessions.withColumns({"prev": F.coalesce("prev", "ms"), "start": F.lit(-1).cast("bigint")})
-    unit = math.gcd(rate, period_ms)
-    if burst * period_ms // unit >= MAX_LEVELS:
-        # Too many levels to try them all: one task follows each session, row by row.
-        whole = _scan(rows.withColumn("chunk", F.lit(0).cast("bigint")), rate, burst, period_ms)
-        return whole.select("key", "ms", "level")
+    opens = F.col("chunk") == F.floor(F.col("session") / CHUNK_MS)
+    rows = sessions.withColumns({"prev": F.coalesce("prev", "ms"), "opens": opens})
     stored = materialize(rows, "instants")
-    later = F.col("chunk") > F.floor(F.col("session") / CHUNK_MS)
-    first, rest = stored.filter(~later), stored.filter(later)
+    first = stored.filter("opens").withColumn("start", F.lit(-1).cast("bigint"))
+    rest = stored.filter("not opens")
     levels = _scan(first, rate, burst, period_ms)
     if not rest.isEmpty():
         long = rest.select("key", "session").distinct()
-        opening = _scan(first.join(long, ["key", "session"], "left_semi"), rate, burst, period_ms)
-        last = F.max_by(F.struct("level", "n"), "ms")
-        left = F.col("e.level") - F.least(F.col("e.n"), F.floor(F.col("e.level") / period_ms)) * period_ms
-        ends = opening.groupBy("key", "session").agg(last.alias("e")).select(
-            "key", "session", F.lit(-(2**62)).alias("chunk"), F.array((left / unit).cast("bigint")).alias("ends")
-        )
-        tables = rest.repartition(*_CHUNK).sortWithinPartitions(*_CHUNK, "ms").mapInPandas(
-            lambda frames: chunk_tables(frames, rate, burst, period_ms),
-            "key string, session bigint, chunk bigint, ends array<bigint>",
-        )
-        starts = ends.unionByName(tables).repartition("key", "session").sortWithinPartitions(*_CHUNK).mapInPandas(
-            lambda frames: chunk_starts(frames, unit), "key string, session bigint, chunk bigint, start bigint"
-        )
-        levels = levels.unionByName(_scan(rest.drop("start").join(starts, _CHUNK), rate, burst, period_ms))
+        ordered = stored.join(long, ["key", "session"], "left_semi").repartition(*_CHUNK).sortWithinPartitions(*_CHUNK, "ms")
+        functions = ordered.mapInPandas(lambda frames: chunk_functions(frames, rate, burst, period_ms), _FUNCTION_TYPE)
+        found = _chunk_starts(materialize(functions, "chunks"), burst * period_ms)
+        levels = levels.unionByName(_scan(rest.join(found, _CHUNK), rate, burst, period_ms))
     return levels.select("key", "ms", "level")
 
 

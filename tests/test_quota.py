@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from auditlake.functions.pieces import Stretch, composed, constant, identity
 from auditlake.operators import quota
 
 
@@ -41,18 +42,68 @@ def test_equals_brute_force(spark, monkeypatch, rate, burst, period, spread, chu
     assert run(spark, calls, rate, burst, period) == brute(calls, rate, burst, period)
 
 
-def test_tables_follow_every_level():
-    import pandas as pd
-
-    rng = random.Random(3)
-    rate, burst, period = 3, 4, 10
-    times = sorted(rng.sample(range(100, 200), 40))
-    frame = pd.DataFrame({"key": "k", "session": 0, "chunk": 1, "ms": times, "n": [rng.randint(1, 3) for _ in times], "prev": 90})
-    halves = [frame.iloc[:17], frame.iloc[17:]]
-    table = next(iter(quota.chunk_tables(iter(halves), rate, burst, period)))["ends"][0]
-    for start in range(burst * period + 1):
-        level, at = start, 90
-        for ms, n in zip(frame["ms"], frame["n"]):
-            level, at = min(burst * period, level + (ms - at) * rate), ms
-            level -= min(n, level // period) * period
-        assert table[start] == level
+def steps(rng, n, reach, calls):
+    times = sorted(rng.sample(range(100, 100 + reach), n))
+    return [(now - before, rng.randint(1, calls)) for before, now in zip([90, *times], times)]
+
+
+def followed(level, calls, rate, full, period):
+    for pause, n in calls:
+        level = min(full, level + pause * rate)
+        level -= min(n, level // period) * period
+    return level
+
+
+def stretch(calls, rate, full, period, pieces=None):
+    whole = Stretch(pieces or identity(), full, period)
+    for pause, n in calls:
+        whole.refill(pause * rate)
+        whole.take(n)
+    return whole.now()
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_functions_follow_every_level(seed):
+    rng = random.Random(seed)
+    rate, burst, period = rng.randint(1, 9), rng.randint(1, 9), rng.randint(1, 30)
+    full, n = burst * period, rng.randint(1, 60)
+    calls = steps(rng, n, rng.choice([n, 3 * n, 20 * n]), rng.choice([1, 3, 2 * burst]))
+    whole = stretch(calls, rate, full, period)
+    for level in range(full + 1):
+        assert whole(level) == followed(level, calls, rate, full, period)
+    assert stretch(calls, rate, full, period, constant(full))(0) == followed(full, calls, rate, full, period)
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_composition_is_associative(seed):
+    rng = random.Random(seed)
+    rate, burst, period = rng.randint(1, 5), rng.randint(1, 6), rng.randint(1, 25)
+    full = burst * period
+    calls = [steps(rng, 8, 60, 3) for _ in range(3)]
+    a, b, c = (stretch(part, rate, full, period) for part in calls)
+    left, right = composed(composed(a, b, full), c, full), composed(a, composed(b, c, full), full)
+    whole = sum(calls, [])
+    for level in range(full + 1):
+        assert left(level) == right(level) == followed(level, whole, rate, full, period)
+
+
+def test_size_does_not_follow_levels():
+    """A billion levels, 50 tokens: the functions stay as small as the bucket has tokens."""
+    rng = random.Random(5)
+    burst, period = 50, 20_000_000
+    for rate in (1, 1000, 200_000):
+        whole = stretch([(rng.randint(1, 100), rng.randint(1, 3)) for _ in range(20_000)], rate, burst * period, period)
+        assert len(whole.lo) <= 4 * burst
+
+
+def test_hot_key_is_dealt_to_several_tasks(spark, monkeypatch):
+    """A key that never pauses: its levels come from as many chunks as it spans, over several blocks."""
+    monkeypatch.setattr(quota, "CHUNK_MS", 1_000_000)
+    monkeypatch.setattr(quota, "BLOCK_CHUNKS", 4)
+    seen = []
+    real = quota._chunk_starts
+    monkeypatch.setattr(quota, "_chunk_starts", lambda f, full: seen.append(f.count()) or real(f, full))
+    rng = random.Random(11)
+    calls = [(i, "hot", rng.randrange(30_000_000)) for i in range(2000)]
+    assert run(spark, calls, 1, 3, 3_600_000) == brute(calls, 1, 3, 3_600_000)
+    assert seen == [30]
