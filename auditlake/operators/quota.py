@@ -17,8 +17,8 @@ from auditlake.sources.sink import materialize
 
 RATE, BURST, PERIOD_MS = 60, 120, 1000
 CHUNK_MS = 3_600_000
-# Chunks whose functions one task composes and follows.
-BLOCK_CHUNKS = 64
+# Instants of a session that one task follows, and chunks whose functions one task composes.
+CHUNK_ROWS, BLOCK_CHUNKS = 4096, 64
 
 
 def scan_chunks(frames: Iterator[pd.DataFrame], rate: int, burst: int, period_ms: int) -> Iterator[pd.DataFrame]:
@@ -144,18 +144,22 @@ def bucket_levels(calls: DataFrame, rate: int, burst: int, period_ms: int) -> Da
 
     Calls of one key and millisecond collapse into one row before anything is shuffled by
     key. A pause long enough to refill the bucket makes what follows independent of what came
-    before, so keys are split into sessions there. A session that goes on over several
-    chunks of time is split too: each chunk becomes a piecewise-linear function of the level it
-    starts from, the functions are composed, and all chunks are then scanned side by side.
+    before, so keys are split into sessions there. A session of more than CHUNK_ROWS instants is
+    split too: each chunk becomes a piecewise-linear function of the level it starts from, the
+    functions are composed, and all chunks are then scanned side by side.
     """
     instants = calls.groupBy("key", "ms").agg(F.count("*").alias("n"))
-    chunked = instants.withColumn("chunk", F.floor(F.col("ms") / CHUNK_MS))
+    hours = instants.withColumn("hour", F.floor(F.col("ms") / CHUNK_MS))
     refill_ms = -(-burst * period_ms // rate)
-    gaps = running(chunked, ["key"], "chunk", ["ms"], befores={"prev": F.col("ms")})
+    one = F.lit(1).cast("bigint")
+    gaps = running(hours, ["key"], "hour", ["ms"], sums={"nth": one}, befores={"prev": F.col("ms")})
     fresh = F.col("prev").isNull() | (F.col("ms") - F.col("prev") >= refill_ms)
-    sessions = running(gaps, ["key"], "chunk", ["ms"], lasts={"session": F.when(fresh, F.col("ms"))})
-    opens = F.col("chunk") == F.floor(F.col("session") / CHUNK_MS)
-    rows = sessions.withColumns({"prev": F.coalesce("prev", "ms"), "opens": opens})
+    opened = {"session": F.when(fresh, F.col("ms")), "opened": F.when(fresh, F.col("nth"))}
+    sessions = running(gaps, ["key"], "hour", ["ms"], lasts=opened)
+    chunk = F.floor((F.col("nth") - F.col("opened")) / CHUNK_ROWS)
+    rows = sessions.select(
+        "key", "session", chunk.alias("chunk"), "ms", "n", F.coalesce("prev", "ms").alias("prev"), (chunk == 0).alias("opens")
+    )
     stored = materialize(rows, "instants")
     first = stored.filter("opens").withColumn("start", F.lit(-1).cast("bigint"))
     rest = stored.filter("not opens")

@@ -36,6 +36,8 @@ def test_one_call(spark):
 @pytest.mark.parametrize("chunk", [1_000, 60_000])
 def test_equals_brute_force(spark, monkeypatch, rate, burst, period, spread, chunk):
     monkeypatch.setattr(quota, "CHUNK_MS", chunk if period == 1000 else chunk * 1000)
+    monkeypatch.setattr(quota, "CHUNK_ROWS", 20 if chunk == 1_000 else 300)
+    monkeypatch.setattr(quota, "BLOCK_CHUNKS", 5)
     rng = random.Random(rate * chunk + burst)
     # One key makes most calls and never pauses; others are quiet.
     calls = [(i, rng.choice(["hot", "hot", "hot", "b", "c"]), rng.randrange(spread)) for i in range(1500)]
@@ -97,8 +99,8 @@ def test_size_does_not_follow_levels():
 
 
 def test_hot_key_is_dealt_to_several_tasks(spark, monkeypatch):
-    """A key that never pauses: its levels come from as many chunks as it spans, over several blocks."""
-    monkeypatch.setattr(quota, "CHUNK_MS", 1_000_000)
+    """A key that never pauses: its levels come from chunks of 100 instants, over several blocks."""
+    monkeypatch.setattr(quota, "CHUNK_ROWS", 100)
     monkeypatch.setattr(quota, "BLOCK_CHUNKS", 4)
     seen = []
     real = quota._chunk_starts
@@ -106,4 +108,4 @@ def test_hot_key_is_dealt_to_several_tasks(spark, monkeypatch):
     rng = random.Random(11)
     calls = [(i, "hot", rng.randrange(30_000_000)) for i in range(2000)]
     assert run(spark, calls, 1, 3, 3_600_000) == brute(calls, 1, 3, 3_600_000)
-    assert seen == [30]
+    assert seen == [-(-len({ms for _, _, ms in calls}) // 100)]
