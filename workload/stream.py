@@ -97,7 +97,7 @@ def stream_rate_limit(spark, sf):
         F.format_string("%020d", "event_id").alias("request_id"), F.concat(F.lit("u"), "user_id").alias("tenant_id"),
         F.col("event_type").alias("path"), "ts",
     )
-    rows = drain(quota.stream_rate_limit(calls, RATE, BURST, PERIOD), "quota")
+    rows = drain(quota.stream_rate_limit(calls, RATE, BURST, PERIOD, late="1 day"), "quota")
     return rows.select(F.col("request_id").cast("bigint").alias("event_id"), "allowed", "retry_ms")
 
 
