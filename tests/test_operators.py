@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from auditlake.operators import identity
 from auditlake.operators import metrics as met
 from auditlake.operators import timeline, windows
-from auditlake.plans.lookup import salted_lookup
+from auditlake.plans.lookup import busy_groups, lookup, salted_lookup
 from auditlake.plans.segmented import running
 
 START = datetime(2024, 1, 1)
@@ -37,6 +37,23 @@ def test_salted_lookup_keeps_every_row(spark):
     assert found.count() == 1000 and found.filter("v = 1").count() == rows.filter("k = 'hot'").count()
 
 
+def test_only_busy_keys_are_repeated(spark):
+    quiet = spark.range(10_000).select(F.concat(F.lit("k"), F.col("id") % 1000).alias("k"), "id")
+    hot = spark.range(8000).select(F.when(F.col("id") < 5000, "hot").alias("k"), (F.col("id") + 10_000).alias("id"))
+    table = quiet.select("k").distinct().unionByName(spark.createDataFrame([("hot",)], "k string")).withColumn("v", F.lit(1))
+    rows = quiet.unionByName(hot)
+    busy = busy_groups(rows, ["k"])
+    assert len(busy) == 2
+    found = lookup(rows, table, ["k"], F.col("id"), max_bytes=0)
+    assert (found.count(), found.select("id").distinct().count(), found.filter("v = 1").count()) == (18_000, 18_000, 15_000)
+    # A right join without matches shows the rows of the table that were sent.
+    sent = lookup(rows, table.withColumn("k", F.concat(F.lit("x"), "k")), ["k"], F.col("id"), "right", max_bytes=0)
+    assert sent.count() < 1100
+    # Keys of two types are not hashed alike.
+    whole = spark.createDataFrame([(1, "a")], "k int, v string")
+    assert lookup(spark.range(3).withColumnRenamed("id", "k"), whole, ["k"], F.col("k"), max_bytes=0).filter("v = 'a'").count() == 1
+
+
 def test_outage_after_five_failures(spark):
     def calls(errors):
         return [("a", START + timedelta(seconds=i), i, e) for i, e in enumerate(errors)]
