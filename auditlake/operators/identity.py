@@ -25,22 +25,25 @@ def credential_audit(presented: DataFrame, keys: DataFrame, pepper: bytes, sprea
     """
     whole = F.regexp_extract("authorization", CREDENTIAL, 1)
     key_id = F.lower(F.regexp_extract("authorization", CREDENTIAL, 2))
-    parsed = presented.withColumns({"__key": whole, "__id": key_id})
+    # The digest is made before the join, so that the value itself is shuffled only for who asks for it.
+    parsed = presented.withColumns({
+        "__malformed": whole == "", "__mac": F.when(whole != "", hmac_sha256(whole, pepper)),
+        # A malformed value has no id to look up; null keeps it out of the join's hot key.
+        "__id": F.when(whole != "", key_id),
+    })
     known = keys.select(
         F.lower("id").alias("__id"), F.col("tenant_id").alias("__tenant"), "key_hmac", "revoked_at",
         F.lit(True).alias("__found"),
     )
-    # A malformed value has no id to look up; null keeps it out of the join's hot key.
-    with_id = parsed.withColumn("__id", F.when(F.col("__key") != "", F.col("__id")))
-    joined = lookup(with_id, known, ["__id"], F.coalesce(spread, F.lit(0)))
+    joined = lookup(parsed, known, ["__id"], F.coalesce(spread, F.lit(0)))
     revoked = F.col("revoked_at").isNotNull()
     if as_of is not None:
         revoked = revoked & (F.col("revoked_at") <= as_of)
     outcome = (
-        F.when(F.col("__key") == "", "malformed")
+        F.when(F.col("__malformed"), "malformed")
         .when(F.col("__found").isNull(), "unknown")
         .when(revoked, "revoked")
-        .when(F.col("key_hmac") != hmac_sha256(F.col("__key"), pepper), "mismatch")
+        .when(F.col("key_hmac") != F.col("__mac"), "mismatch")
         .otherwise("ok")
     )
     checked = joined.withColumn("outcome", outcome)

@@ -116,6 +116,16 @@ def test_credentials(spark):
     assert outcomes(stored.withColumn("revoked_at", F.lit(START)))[0] == "revoked"
 
 
+def test_a_value_is_not_shuffled_unless_asked_for(spark, monkeypatch):
+    joined = []
+    monkeypatch.setattr(identity, "lookup", lambda rows, *rest: joined.append(rows.columns) or salted_lookup(rows, *rest))
+    keys = spark.createDataFrame([], "id string, tenant_id string, key_hmac binary, revoked_at timestamp")
+    rows = spark.createDataFrame([(0, "x"), (1, None)], "i int, authorization string")
+    found = identity.credential_audit(rows, keys, b"p", F.col("i")).drop("authorization")
+    assert [r.outcome for r in found.orderBy("i").collect()] == ["malformed", "unknown"]
+    assert joined == [["i", "authorization", "__malformed", "__mac", "__id"]]
+
+
 @pytest.mark.parametrize("tenant,ok", [("a", True), ("A.b_c-1", True), (".a", False), ("", False), ("a b", False), ("é", False),
                                        ("a" * 128, True), ("a" * 129, False), ("a\n", False)])
 def test_tenant_ids(spark, tenant, ok):
