@@ -93,13 +93,15 @@ def suffix_order(data: np.ndarray) -> np.ndarray:
     key = data.astype(np.uint64)
     for k in (1, 2, 4):
         key = (key << np.uint64(8 * k)) | shifted(key, k)
-    order = np.argsort(key)
-    ordered = key[order]
+    # Places fit 32 bits, as a task holds far less than 2 GB; they are what the memory of a task goes to.
+    places = np.arange(n, dtype=np.int32)
+    order = np.argsort(key).astype(np.int32)
+    key = key[order]
     head = np.ones(n, bool)
-    head[1:] = ordered[1:] != ordered[:-1]
-    start = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-    rank = np.empty(n, np.int64)
-    rank[order] = start
+    head[1:] = key[1:] != key[:-1]
+    del key
+    rank = np.empty(n, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(head, places, 0))
     size = 8
     while size < ORDER:
         alone = head.copy()
@@ -109,16 +111,15 @@ def suffix_order(data: np.ndarray) -> np.ndarray:
             break
         tied = order[place]
         # Three ranks of `size` bytes each; blocks are far below the 2 ** 21 positions that fit.
+        first = rank[tied].astype(np.int64)
         second, third = (np.where(tied + k < n, rank[np.minimum(tied + k, n - 1)] + 1, 0) for k in (size, 2 * size))
-        key = (((rank[tied] << 21) + second) << 21) + third if n < 1 << 21 else _packed(rank[tied], second, third)
+        key = (((first << 21) + second) << 21) + third if n < 1 << 21 else _packed(first, second, third)
         by = np.argsort(key)
         order[place], key = tied[by], key[by]
         new = np.ones(len(place), bool)
         new[1:] = key[1:] != key[:-1]
         head[place] = new
-        start = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-        rank = np.empty(n, np.int64)
-        rank[order] = start
+        rank[order] = np.maximum.accumulate(np.where(head, places, 0))
         size *= 3
     return order
 
@@ -142,18 +143,18 @@ def separated(data: np.ndarray, order: np.ndarray, length: int = LENGTH) -> np.n
     n = len(data)
     before = data[order - 1]  # the transform; the byte before the first one is the last
     first = data[order]
-    to = np.empty(n, np.int64)
-    to[np.argsort(before, kind="stable")] = np.arange(n)
+    to = np.empty(n, np.int32)
+    to[np.argsort(before, kind="stable")] = np.arange(n, dtype=np.int32)
     apart = np.zeros(n + 1, bool)
     apart[0] = apart[n] = True
     owner = np.full(n + 2, -1, np.int32)
-    left, right = np.array([0]), np.array([n - 1])
+    left, right = np.array([0], np.int32), np.array([n - 1], np.int32)
     for _ in range(length):
         if not len(left):
             break
         width = right - left + 1
         interval = np.repeat(np.arange(len(left), dtype=np.int32), width)
-        inside = np.arange(len(interval)) - np.repeat(np.cumsum(width) - width - left, width)
+        inside = np.arange(len(interval), dtype=np.int32) - np.repeat((np.cumsum(width) - width - left).astype(np.int32), width)
         target = to[inside]
         owner[target + 1] = interval
         ends = (owner[target + 2] != interval) | (first[np.minimum(target + 1, n - 1)] != first[target])
@@ -174,7 +175,7 @@ def earlier_windows(segments: list[bytes], docs: np.ndarray) -> list[np.ndarray]
     begin = ORDER + np.cumsum(size + 1) - size - 1
     order = suffix_order(data)
     apart = separated(data, order)
-    owner = np.full(len(data), -1, np.int64)
+    owner = np.full(len(data), -1, np.int32)
     window = np.zeros(len(data), bool)
     for k, (b, s) in enumerate(zip(begin, size)):
         owner[b : b + s] = k
@@ -214,7 +215,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = last + LENGTH
         size = end - first
         offsets = np.concatenate(([0], np.cumsum(size)))
-        inside = np.arange(offsets[-1]) + np.repeat(first - offsets[:-1], size)
+        inside = np.arange(offsets[-1], dtype=np.int32) + np.repeat((first - offsets[:-1]).astype(np.int32), size)
         segment = pa.BinaryArray.from_buffers(
             pa.binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data[inside])]
         )

@@ -93,3 +93,17 @@ def test_repeats_equal_brute_force(spark, monkeypatch, most):
     assert [r.n_removed for r in got if r.doc_id is None] == [0]
     assert sum(v[1] for v in want.values()) > 3000
     assert repeated_passages(docs.limit(0)).count() == 0
+
+
+def test_memory_of_the_transform():
+    """The arrays of a block take at most 60 bytes per byte of its segments."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    segments = [bytes(rng.integers(97, 123, 100, dtype=np.uint8)) for _ in range(5000)]
+    earlier_windows(segments[:10], np.arange(10))
+    tracemalloc.start()
+    earlier_windows(segments, np.arange(5000))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * sum(map(len, segments)), peak
