@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from auditlake.llm.shared import written
@@ -13,23 +13,24 @@ def components(edges: DataFrame) -> DataFrame:
 
     A large star hangs a node's larger neighbours on its smallest one, a small star the smaller
     ones; repeated in turn, every component becomes a star around its smallest node after a
-    logarithmic number of rounds. Minima are taken before the shuffle, so a node with very many
+    logarithmic number of rounds; edges that are stars already take one, no edges none. Minima are taken before the shuffle, so a node with very many
     edges costs one row per task. An empty table gives an empty table; repeated edges, loops and
     either direction are allowed.
     """
     now = written(_oriented(edges), "edges")
-    before = None
-    while True:
+    before, state = None, _state(now)
+    while state[0] and state != before:
         now = written(_small_star(_large_star(now)), "edges")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
+        before, state = state, _state(now)
     leaves = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component"))
     return leaves.union(roots).groupBy("node").agg(F.min("component").alias("component"))
 
 
+def _state(edges: DataFrame) -> Row:
+    return edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+
+
 def _oriented(edges: DataFrame) -> DataFrame:
     """Distinct edges from the larger to the smaller node."""
     pair = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.shared import lean, small_batches, written
+from auditlake.llm.shared import lean, small_batches, trim, written
 from auditlake.llm.texts import CHUNK_BYTES, LOWER, SPACE, pieces, text_bytes
 
 GRAMS = (2, 3, 4)
@@ -178,7 +178,10 @@ def train(docs: DataFrame, training: Training = Training()) -> Model:
         share = min(1.0, LANGUAGE_ROWS / r.n, room / max(1, r.bytes))
         limit = F.when(F.col("lang") == r.lang, F.lit(share)).otherwise(limit)
     rows = chosen.where(F.pmod(F.shiftright("place", 20), F.lit(1 << 20)) < limit * (1 << 20)).select("text", "lang").collect()
-    return fit([r.text for r in rows], [r.lang for r in rows], training)
+    model = fit([r.text for r in rows], [r.lang for r in rows], training)
+    del rows
+    trim()
+    return model
 
 
 def predictions(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:

@@ -285,11 +285,12 @@ def _rooted(members: DataFrame) -> DataFrame:
     Two rounds suffice where components share many buckets; where only a chain of buckets holds
     them together, they stay apart until links have contracted them or pairs of blocks bridge them.
     """
-    root = members.select("comp", F.col("comp").alias("root")).distinct()
+    rooted = members.withColumn("root", F.col("comp"))
     for _ in range(2):
-        least = members.join(root, "comp").groupBy("key").agg(F.min("root").alias("root"))
+        least = rooted.groupBy("key").agg(F.min("root").alias("root"))
         root = members.join(least, "key").groupBy("comp").agg(F.min("root").alias("root"))
         root = written(root, "roots")
+        rooted = members.join(root, "comp")
     return root
 
 

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 ROWS_PER_BATCH, BYTES_PER_BATCH = "512", "8m"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Share of its limit up to which the driver's heap may grow before garbage is collected between jobs.
+HEAP_SHARE = 0.4
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,7 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
 def written(rows: DataFrame, name: str) -> DataFrame:
     """Rows written once and read back: later jobs neither recompute them nor lose them with an executor.
 
-    Nothing reads the shuffles of the write again, so their files go when it ends.
+    Nothing reads the shuffles of the write again, so their files go when it ends; so does what
+    planning and scheduling it left on the driver, where that has made the heap grow.
     """
     spark = rows.sparkSession
     path = f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
@@ -40,6 +43,7 @@ def written(rows: DataFrame, name: str) -> DataFrame:
         rows.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
+    collect_driver(spark)
     return spark.read.schema(rows.schema).parquet(path)
 
 
@@ -52,6 +56,25 @@ def release(rows: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def collect_driver(spark: SparkSession) -> None:
+    """Collects the garbage of the driver's JVM if its heap has grown over HEAP_SHARE of its limit.
+
+    Every job leaves plans, generated code and events behind. In a row of many short jobs the JVM
+    would rather grow up to its limit, beside all it holds outside the heap, than collect them.
+    """
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    if runtime.totalMemory() > HEAP_SHARE * runtime.maxMemory():
+        spark._jvm.java.lang.System.gc()
+
+
+def trim() -> None:
+    """Gives the memory that this Python process does not use back to the machine."""
+    pa.default_memory_pool().release_unused()
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def lean(run):
     """`run` over Arrow batches, giving unused memory back to the machine when a task ends.
 
@@ -60,10 +83,7 @@ def lean(run):
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        gc.collect()
-        with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        trim()
 
     return told
 
