@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from auditlake.llm.components import components
-from auditlake.llm.shared import lean, release, small_batches, written
+from auditlake.llm.shared import lean, release, screened, small_batches, written
 from auditlake.llm.texts import LOWER, Words, alike, mixed, pieces, text_bytes
 
 WORDS = 5
@@ -55,7 +55,7 @@ COLUMNS, PAIRS = 8192, 1 << 17
 _PLACE = np.random.default_rng(7).integers(0, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 _BYTES = "8 * n_shingles + 500"
-SKETCH = "doc_id long, n_shingles long, digest string, signature binary"
+SKETCH = "doc_id long, hash long, n_shingles long, digest string, keys binary"
 
 
 def shingles(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,24 +114,37 @@ def _digests(values: np.ndarray, of: np.ndarray) -> list[str | None]:
     ]
 
 
+def band_keys(signed: np.ndarray) -> np.ndarray:
+    """A hash of every band of every signature, one row a signature."""
+    bands = signed.shape[1] // ROWS
+    signed = signed.reshape(len(signed), bands, ROWS).astype(np.uint64)
+    key = np.repeat(np.arange(bands, dtype=np.uint64)[None], len(signed), 0)
+    for k in range(ROWS):
+        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + signed[:, :, k])
+    return key
+
+
 def _sketches(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             values, of = shingles(*text_bytes(batch.column("text")))
-            rows = iter(signatures(values, of, size))
-            signed = [next(rows).tobytes() if b > a else None for a, b in zip(of[:-1], of[1:])]
+            rows = iter(band_keys(signatures(values, of, size)))
+            keys = [next(rows).tobytes() if b > a else None for a, b in zip(of[:-1], of[1:])]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.diff(of)), pa.array(_digests(values, of), pa.string()), pa.array(signed, pa.binary())],
-                ["doc_id", "n_shingles", "digest", "signature"],
+                [
+                    batch.column("doc_id"), batch.column("hash"), pa.array(np.diff(of)), pa.array(_digests(values, of), pa.string()),
+                    pa.array(keys, pa.binary()),
+                ],
+                ["doc_id", "hash", "n_shingles", "digest", "keys"],
             )
 
     return run
 
 
 def sketches(docs: DataFrame, threshold: Fraction) -> DataFrame:
-    """doc_id, n_shingles, digest of the shingle set and signature of every text."""
+    """doc_id, hash of the text, n_shingles, digest of the shingle set and keys of the signature's bands for every text."""
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(lean(_sketches(signature_size(threshold))), SKETCH)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(lean(_sketches(signature_size(threshold))), SKETCH)
 
 
 # ---- posterior bounds
@@ -244,39 +257,30 @@ def _links(threshold: Fraction):
 
 
 def _members(size: int):
-    """Texts -> digest, signature and full shingle set."""
+    """Texts -> signature and full shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             values, of = shingles(*text_bytes(batch.column("text")))
             full = np.flatnonzero(of[1:] > of[:-1])
-            digests = _digests(values, of)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("class_id").take(pa.array(full)), pa.array([digests[k] for k in full], pa.string()),
+                    batch.column("class_id").take(pa.array(full)),
                     pa.array([x.tobytes() for x in signatures(values, of, size)], pa.binary()),
                     pa.array([values[of[k] : of[k + 1]].tobytes() for k in full], pa.binary()),
                 ],
-                ["class_id", "digest", "signature", "shingles"],
+                ["class_id", "signature", "shingles"],
             )
 
     return run
 
 
-def _keys(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = size // ROWS
-        for batch in batches:
-            if batch.num_rows:
-                signed = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32)
-                signed = signed.reshape(batch.num_rows, bands, ROWS).astype(np.uint64)
-                key = np.repeat(np.arange(bands, dtype=np.uint64)[None], batch.num_rows, 0)
-                for k in range(ROWS):
-                    key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + signed[:, :, k])
-                of = np.repeat(batch.column("class_id").to_numpy(), bands)
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(of)], ["key", "class_id"])
-
-    return run
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            keys = np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.int64)
+            of = np.repeat(batch.column("class_id").to_numpy(), len(keys) // batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(of)], ["key", "class_id"])
 
 
 def _rooted(members: DataFrame) -> DataFrame:
@@ -316,8 +320,8 @@ def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _open(members: DataFrame, label: DataFrame) -> DataFrame:
-    """Members (key, class_id, comp, ...) of the buckets or keys that still hold several components."""
-    at = members.drop("comp").join(label, "class_id").select(members.columns)
+    """Members (key, class_id, ...), with their `comp` now, of the buckets or keys that still hold several components."""
+    at = members.drop("comp").join(label, "class_id")
     several = at.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
     return written(at.join(several, "key"), "members")
 
@@ -327,12 +331,12 @@ def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = [np.frombuffer(x.as_py(), np.int64) for x in batch.column("shingles")]
         if sets:
             n = np.array([len(x) for x in sets])
-            names = [pa.array(np.repeat(batch.column(c).to_numpy(), n)) for c in ("class_id", "comp")]
-            yield pa.RecordBatch.from_arrays([*names, pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets))], ["class_id", "comp", "n", "value"])
+            of = pa.array(np.repeat(batch.column("class_id").to_numpy(), n))
+            yield pa.RecordBatch.from_arrays([of, pa.array(np.repeat(n, n).astype(np.int32)), pa.array(np.concatenate(sets))], ["class_id", "n", "value"])
 
 
 def prefix_keys(sets: DataFrame, threshold: Fraction) -> DataFrame:
-    """(key, class_id, comp, n) of sets (class_id, comp, shingles): sets that are alike share a key.
+    """(key, class_id, n) of sets (class_id, shingles): sets that are alike share a key.
 
     Sets of a and b shingles that reach the threshold t have at least t / (1 + t) * (a + b) in
     common. With the rarest shingles first, the first a - common + 1 of the one then meet the first
@@ -341,10 +345,12 @@ def prefix_keys(sets: DataFrame, threshold: Fraction) -> DataFrame:
     only share what very many share have no key in common.
     """
     up, down = threshold.numerator, threshold.denominator
-    values = sets.mapInArrow(lean(_values), "class_id long, comp long, n long, value long")
+    values = sets.select("class_id", "shingles").mapInArrow(lean(_values), "class_id long, n int, value long")
     often = values.groupBy("value").agg(F.count("*").alias("often")).where("often > 1")
-    place = F.row_number().over(Window.partitionBy("class_id").orderBy(F.coalesce("often", F.lit(1)), "value"))
-    ranked = values.join(often, "value", "left").withColumn("place", place)
+    # A shingle of one set only is no key; such ones come first in the set and need not be shuffled with it.
+    of = Window.partitionBy("class_id", "n")
+    place = F.col("n") - F.count("*").over(of) + F.row_number().over(of.orderBy("often", "value"))
+    ranked = values.join(often, "value").withColumn("place", place)
 
     def band(size: Column) -> Column:
         return F.floor(F.log(size) / F.lit(math.log(RATIO)))
@@ -353,13 +359,12 @@ def prefix_keys(sets: DataFrame, threshold: Fraction) -> DataFrame:
         return F.col("n") - F.ceil((F.col("n") + partner) * up / F.lit(up + down).cast("decimal(10,0)")) + 1
 
     fewest, most = F.ceil(F.col("n") * up / F.lit(down).cast("decimal(10,0)")), F.floor(F.col("n") * down / F.lit(up).cast("decimal(10,0)"))
-    # A shingle of one set only is no key.
-    first = ranked.where((F.col("place") <= prefix(fewest)) & F.col("often").isNotNull())
+    first = ranked.where(F.col("place") <= prefix(fewest))
     each = first.withColumn("other", F.explode(F.sequence(band(fewest), band(most)))).withColumn("own", band(F.col("n")))
     smallest = F.greatest(fewest.cast("long"), F.floor(F.pow(F.lit(RATIO), F.col("other")) * (1 - 1e-9)))
     each = each.where(F.col("place") <= prefix(smallest))
     key = F.xxhash64("value", F.least("own", "other"), F.greatest("own", "other"))
-    return each.select(key.alias("key"), "class_id", "comp", "n")
+    return each.select(key.alias("key"), "class_id", F.col("n").cast("long").alias("n"))
 
 
 def sampled_pairs(at: DataFrame, threshold: Fraction, turn: int) -> DataFrame:
@@ -438,15 +443,16 @@ def class_components(classes: DataFrame, docs: DataFrame, threshold: Fraction) -
     """(node, component) of the classes that share a bucket with others."""
     small_batches(docs.sparkSession)
     values = signature_size(threshold)
-    keys = classes.select("class_id", "signature").mapInArrow(lean(_keys(values)), "key long, class_id long")
+    keys = classes.select("class_id", "keys").mapInArrow(lean(_keys), "key long, class_id long")
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = written(keys.join(shared, "key").select("key", "class_id", F.col("class_id").alias("comp")), "members")
     label = written(members.select("class_id", "comp").distinct(), "labels")
     size = classes.select("class_id", "n_shingles")
-    full = docs.join(label.select(F.col("class_id").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("class_id"), "text")
-    full = full.mapInArrow(lean(_members(values)), "class_id long, digest string, signature binary, shingles binary")
-    sets = full.join(classes.select("class_id", "digest"), ["class_id", "digest"]).dropDuplicates(["class_id", "digest"])
-    sets = written(sets.drop("digest"), "sets")
+    # Only texts of classes in shared buckets are shuffled, and few others; one text of each class.
+    wanted = written(classes.select("class_id", "hash").join(label.select("class_id"), "class_id"), "wanted")
+    full = screened(docs.select(F.col("doc_id").alias("class_id"), "text", F.xxhash64("text").alias("hash")), "class_id", wanted.select("class_id"), "likely")
+    full = full.where("likely").join(wanted, ["class_id", "hash"]).dropDuplicates(["class_id", "hash"])
+    sets = written(full.mapInArrow(lean(_members(values)), "class_id long, signature binary, shingles binary"), "sets")
 
     # A few members of each component, at first every class, are compared within one block.
     before = None
@@ -466,11 +472,12 @@ def class_components(classes: DataFrame, docs: DataFrame, threshold: Fraction) -
     # What is still apart: classes of different components whose rarest shingles meet. While that
     # joins many components, a class meets a few others.
     if n:
-        left = members.select("class_id", "comp").distinct()
-        at = written(prefix_keys(sets.join(left, "class_id").select("class_id", "comp", "shingles"), threshold), "keys")
+        keys = at = written(prefix_keys(sets.join(members.select("class_id").distinct(), "class_id"), threshold), "keys")
         before = None
         for turn in count():
             at = _open(at, label)
+            if keys is not None:
+                keys = release(keys)
             n = at.agg(F.countDistinct("comp")).first()[0]
             if not n or before is not None and 10 * n > 9 * before:
                 break
@@ -493,6 +500,7 @@ def class_components(classes: DataFrame, docs: DataFrame, threshold: Fraction) -
         both = both.join(blocks.select(F.col("block").alias("y"), F.col("members").alias("right")), "y")
         links = both.select("left", "right").mapInArrow(lean(_links(threshold)), "a long, b long")
         label = _merged(label, written(links, "links"))
+        release(blocks)
     release(sets)
     return label.select(F.col("class_id").alias("node"), F.col("comp").alias("component"))
 
@@ -512,7 +520,8 @@ def near_duplicates(docs: DataFrame, threshold: Fraction = Fraction(4, 5)) -> Da
     sketch = written(sketches(docs, threshold), "sketches")
     classes = written(
         sketch.where("digest is not null and doc_id is not null").groupBy("digest")
-        .agg(F.min("doc_id").alias("class_id"), F.min("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")),
+        .agg(F.min(F.struct("doc_id", "hash")).alias("one"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n_shingles"))
+        .select("digest", F.col("one.doc_id").alias("class_id"), F.col("one.hash").alias("hash"), "keys", "n_shingles"),
         "classes",
     )
     component = class_components(classes, docs, threshold).withColumnRenamed("node", "class_id")
@@ -520,4 +529,8 @@ def near_duplicates(docs: DataFrame, threshold: Fraction = Fraction(4, 5)) -> Da
     class_of = class_of.select("digest", F.coalesce("component", "class_id").alias("component"))
     out = sketch.select("doc_id", "n_shingles", "digest").join(class_of, "digest", "left")
     out = out.withColumn("component_id", F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    out = written(out.select("doc_id", "n_shingles", "component_id", kept), "near")
+    release(sketch)
+    release(classes)
+    return out

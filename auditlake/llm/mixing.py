@@ -28,6 +28,8 @@ COSTS = (0, 1)
 BUCKETS, PER_BUCKET = 64, 2048
 #: Passes after the first that fill what whole documents have left open.
 PASSES = 3
+#: An entry of `turns`: a pass takes a pattern's documents that fit before the bucket `edge`, and in it up to `stop`.
+TURN = "struct<most:int,open:double,edge:long,stop:struct<order:long,doc_id:{},size:long>>"
 SEPARATOR = "\x1f"
 #: The flow is solved on the driver over patterns; more of them are refused, not cut off.
 MAX_PATTERNS = 20_000
@@ -131,61 +133,88 @@ def _by_copy(patterns: list, supply: dict, sent: dict, copies: int) -> dict[tupl
     return out
 
 
-def chosen_copies(docs: DataFrame, flows: dict[tuple, float], seed: int, copies: int = len(COSTS)) -> DataFrame:
-    """`docs` (doc_id, pattern, size, digest) with `copies`: how often the mix takes each document.
+def copies_plan(docs: DataFrame, flows: dict[tuple, float], seed: int, copies: int = len(COSTS)) -> DataFrame:
+    """What decides how often the mix takes each of `docs` (doc_id, pattern, size, digest), a row for each pattern.
 
-    Copies that the flow takes of all of a pattern's documents are added as they are; the part of
-    a further copy is filled up to the flow by whole documents in a seeded order, and what large
-    documents leave open by second copies of smaller ones.
+    Copies that the flow takes of all of a pattern's documents are added as they are (`whole`); the
+    part of a further copy is filled up to the flow by whole documents in a seeded order, and what large
+    documents leave open by second copies of smaller ones. Every pass that fills is an entry of `turns`.
     """
     spark = docs.sparkSession
     taken: dict[tuple, float] = {}
     for (p, _, _), words in flows.items():
         taken[p] = taken.get(p, 0.0) + words
-    order = F.xxhash64(F.lit(seed), "doc_id", "digest")
-    rows = docs.withColumn("order", order)
-    summed = rows.groupBy("pattern").agg(F.sum("size").alias("supply"), F.count("*").alias("n"))
+    summed = docs.groupBy("pattern").agg(F.sum("size").alias("supply"), F.count("*").alias("n"))
     wanted = spark.createDataFrame([(key(p), w) for p, w in taken.items()], "pattern string, wanted double")
     plan = written(summed.join(F.broadcast(wanted), "pattern", "left").select(
         "pattern", "supply",
         (F.lit(BUCKETS) + F.col("n") / F.lit(PER_BUCKET)).cast("long").alias("buckets"),
         F.least(F.coalesce("wanted", F.lit(0.0)), F.lit(float(copies)) * F.col("supply")).alias("wanted"),
+        F.lit(seed).alias("seed"),
     ).withColumn("whole", F.when(F.col("supply") > 0, F.floor(F.col("wanted") / F.col("supply") + 1e-9)).otherwise(0))
-     .withColumn("open", F.greatest(F.lit(0.0), F.col("wanted") - F.col("whole") * F.col("supply"))), "plan")
-    rows = rows.join(F.broadcast(plan.select("pattern", "buckets", "whole")), "pattern")
-    rows = rows.withColumn("bucket", F.pmod("order", "buckets")).withColumn("extra", F.lit(0))
-    now, open_ = rows, plan.select("pattern", "open")
+     .withColumn("open", F.greatest(F.lit(0.0), F.col("wanted") - F.col("whole") * F.col("supply")))
+     .withColumn("turns", F.array().cast(f"array<{_turn(docs)}>")), "plan")
     for turn in range(1 + 2 * PASSES):
-        now, open_ = _fill(now, open_, copies if turn > PASSES else 1)
-    return now.withColumn("copies", (F.col("whole") + F.col("extra")).cast("long")).drop("extra", "whole", "order", "bucket", "buckets", "digest")
+        plan = _fill(docs, plan, copies if turn > PASSES else 1)
+    return plan
 
 
-def _fill(rows: DataFrame, open_: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """One pass: documents no larger than what is open, in order, while they fit.
+def with_copies(docs: DataFrame, plan: DataFrame) -> DataFrame:
+    """`docs` (doc_id, pattern, size, digest and others) with `copies`, by copies_plan(); no row is moved."""
+    rows = _placed(docs, plan)
+    return rows.withColumn("copies", (F.col("whole") + F.col("extra")).cast("long")).select(*docs.columns, "copies")
 
-    With `most` 1 those that have no further copy yet, otherwise all that have fewer than `most`.
-    """
-    rows = rows.join(F.broadcast(open_), "pattern")
-    room = (F.col("extra") == 0) if most == 1 else (F.col("whole") + F.col("extra") < most)
-    fits = room & (F.col("size") > 0) & (F.col("size") <= F.col("open"))
-    buckets = rows.where(fits).groupBy("pattern", "bucket").agg(F.sum("size").alias("sum"), F.first("open").alias("open"))
+
+def _placed(docs: DataFrame, plan: DataFrame) -> DataFrame:
+    """`docs` with their place in the seeded order and the further copies (`extra`) of the turns so far."""
+    rows = docs.join(F.broadcast(plan), "pattern").withColumn("order", F.xxhash64("seed", "doc_id", "digest"))
+    rows = rows.withColumn("bucket", F.pmod("order", "buckets"))
+
+    def more(extra: Column, turn: Column) -> Column:
+        before = F.col("bucket") < turn["edge"]
+        part = (F.col("bucket") == turn["edge"]) & (_place() <= turn["stop"])
+        chosen = turn["edge"].isNull() | before | F.coalesce(part, F.lit(False))
+        return extra + (_fits(extra, turn["most"], turn["open"]) & chosen).cast("int")
+
+    return rows.withColumn("extra", F.aggregate("turns", F.lit(0), more))
+
+
+def _turn(docs: DataFrame) -> str:
+    return TURN.format(docs.schema["doc_id"].dataType.simpleString())
+
+
+def _place() -> Column:
+    return F.struct("order", "doc_id", "size")
+
+
+def _fits(extra: Column, most: Column, open_: Column) -> Column:
+    """With `most` 1 documents that have no further copy yet, otherwise all that have fewer than `most`; none larger than what is open."""
+    room = F.when(most == 1, extra == 0).otherwise(F.col("whole") + extra < most)
+    return room & (F.col("size") > 0) & (F.col("size") <= open_)
+
+
+def _fill(docs: DataFrame, plan: DataFrame, most: int) -> DataFrame:
+    """One pass: documents no larger than what is open, in order, while they fit."""
+    rows = _placed(docs, plan).where(_fits(F.col("extra"), F.lit(most), F.col("open")))
+    buckets = rows.groupBy("pattern", "bucket").agg(F.sum("size").alias("sum"), F.first("open").alias("open"))
     before = F.sum("sum").over(Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     buckets = buckets.withColumn("before", F.coalesce(before, F.lit(0)))
     # Only the one bucket of a pattern in which the open words run out is ordered.
-    last = buckets.where("before <= open and before + sum > open").select("pattern", "bucket", "before")
-    edge = last.select("pattern", F.col("bucket").alias("edge"), F.col("before").alias("edge_before"))
-    done = rows.join(F.broadcast(edge), "pattern", "left")
-    at_edge = done.where(fits & (F.col("bucket") == F.col("edge")))
+    last = F.col("before").alias("edge_before"), F.col("bucket").alias("edge"), (F.col("before") + F.col("sum") > F.col("open")).alias("over")
+    ends = buckets.where("before <= open").groupBy("pattern").agg(F.max(F.struct(*last, "sum")).alias("last")).select("pattern", "last.*")
+    ends = written(ends.select(
+        "pattern", F.when(F.col("over"), F.col("edge")).alias("edge"), "edge_before",
+        (F.col("edge_before") + F.when(F.col("over"), 0).otherwise(F.col("sum"))).alias("used"),
+    ), "ends")
+    at_edge = rows.join(F.broadcast(ends.drop("used")), "pattern").where("bucket = edge")
     within = F.sum("size").over(Window.partitionBy("pattern").orderBy("order", "doc_id", "size"))
     inside = at_edge.withColumn("until", F.col("edge_before") + within).where("until <= open")
-    stop = inside.groupBy("pattern").agg(F.max(F.struct("order", "doc_id", "size")).alias("stop"))
-    done = done.join(F.broadcast(stop), "pattern", "left")
-    whole = F.col("edge").isNull() | (F.col("bucket") < F.col("edge"))
-    part = (F.col("bucket") == F.col("edge")) & (F.struct("order", "doc_id", "size") <= F.col("stop"))
-    done = done.withColumn("new", fits & (whole | F.coalesce(part, F.lit(False))))
-    done = written(done.withColumn("extra", F.col("extra") + F.col("new").cast("int")).drop("edge", "edge_before", "stop"), "mix")
-    used = done.groupBy("pattern").agg(F.sum(F.when(F.col("new"), F.col("size")).otherwise(0)).alias("used"), F.first("open").alias("open"))
-    return done.drop("new", "open"), written(used.select("pattern", (F.col("open") - F.col("used")).alias("open")), "open")
+    stop = inside.groupBy("pattern").agg(F.max(_place()).alias("stop"), F.max("until").alias("until"))
+    told = plan.join(F.broadcast(ends.drop("edge_before")), "pattern", "left").join(F.broadcast(stop), "pattern", "left")
+    turn = F.struct(F.lit(most).alias("most"), "open", "edge", "stop").cast(_turn(docs))
+    used = F.coalesce("until", "used", F.lit(0))
+    told = told.withColumn("turns", F.concat("turns", F.array(turn))).withColumn("open", F.col("open") - used)
+    return written(told.select(plan.columns), "plan")
 
 
 def key(pattern: tuple) -> str:
@@ -225,10 +254,31 @@ def mix(docs: DataFrame, weights: Sequence[float], share: float = 1.5, most: flo
     rows are taken equally often. An empty
     table gives an empty table; further columns are ignored. Equal seeds give equal results.
     """
+    rows = sized_rows(docs.select("doc_id", "text", "source") if sources is None else docs, sources).select("doc_id", "size", "pattern", "digest")
+    rows = written(rows, "sizes")
+    plan, facts = _planned(rows, weights, share, most, seed)
+    told = docs.sparkSession.createDataFrame(facts, "pattern string, target double, source_size long")
+    return with_copies(rows, plan).select("pattern", "doc_id", "size", "copies").join(F.broadcast(told), "pattern")
+
+
+def mixed_rows(docs: DataFrame, weights: Sequence[float], share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
+    """The rows of documents (doc_id, text, source, ...) with `copies` as mix() tells them. No text is shuffled:
+    what decides is broadcast, a row for each pattern. Columns pattern, size and digest are added.
+    """
+    rows = sized_rows(docs)
+    plan, _ = _planned(written(rows.select("doc_id", "size", "pattern", "digest"), "sizes"), weights, share, most, seed)
+    return with_copies(rows, plan)
+
+
+def sized_rows(docs: DataFrame, sources: Column | None = None) -> DataFrame:
+    """`docs` with `size`, membership `pattern` and `digest` of the text."""
     sources = F.array("source") if sources is None else sources
     sources = F.when(F.size(sources) > 0, sources).otherwise(F.array(F.lit(None).cast("string")))
-    sized = docs.select("doc_id", n_words(F.col("text")).alias("size"), sources.alias("sources"), F.xxhash64("text").alias("digest"))
-    sized = written(sized.select("doc_id", "size", _key(F.col("sources")).alias("pattern"), "digest"), "sizes")
+    return docs.withColumns({"size": n_words(F.col("text")), "pattern": _key(sources), "digest": F.xxhash64("text")})
+
+
+def _planned(sized: DataFrame, weights: Sequence[float], share: float, most: float, seed: int) -> tuple[DataFrame, list[tuple]]:
+    """copies_plan() of documents (doc_id, size, pattern, digest), and the target and size of each pattern's sources."""
     summed = sized.groupBy("pattern").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
     if len(summed) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
@@ -241,7 +291,4 @@ def mix(docs: DataFrame, weights: Sequence[float], share: float = 1.5, most: flo
     weight = {s: weights[i % len(weights)] for i, s in enumerate(ordered)}
     targets = capped_targets(sizes, weight, share * sum(supply.values()), most)
     flows = flow(supply, targets, tuple(range(int(most))))
-    out = chosen_copies(sized, flows, seed, int(most))
-    facts = [(key(p), float(sum(targets[s] for s in p)), int(sum(sizes[s] for s in p))) for p in supply]
-    told = docs.sparkSession.createDataFrame(facts, "pattern string, target double, source_size long")
-    return out.join(F.broadcast(told), "pattern")
+    return copies_plan(sized, flows, seed, int(most)), [(key(p), float(sum(targets[s] for s in p)), int(sum(sizes[s] for s in p))) for p in supply]

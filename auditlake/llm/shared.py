@@ -10,12 +10,15 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROWS_PER_BATCH, BYTES_PER_BATCH = "512", "8m"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Share of its limit up to which the driver's heap may grow before garbage is collected between jobs.
 HEAP_SHARE = 0.4
+#: Bits of a bitmap of ids: so many for each id, in maps of MAP_BITS (Spark's size), MOST_MAPS (8 MB) at most.
+BITS_PER_ID, MAP_BITS, MOST_MAPS = 16, 1 << 15, 1 << 11
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,6 +59,28 @@ def release(rows: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def screened(rows: DataFrame, column: str, ids: DataFrame, name: str) -> DataFrame:
+    """`rows` with a column `name`: false only where `column` is not among `ids` (one column, not null).
+
+    It is true for all ids and for about one in BITS_PER_ID other rows, more of them beyond MOST_MAPS; so a
+    join with few ids has to shuffle few rows, whatever their size. Bitmaps of the ids are broadcast.
+    """
+    maps = max(1, min(MOST_MAPS, -(-BITS_PER_ID * ids.count() // MAP_BITS)))
+
+    def place(of: Column) -> Column:
+        return F.pmod(F.xxhash64(of), F.lit(maps * MAP_BITS)) + 1
+
+    number, bits, at = (f"{name}_{c}" for c in ("number", "bits", "at"))
+    told = ids.select(place(F.col(ids.columns[0])).alias(at)).groupBy(F.bitmap_bucket_number(at).alias(number))
+    told = told.agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias(bits))
+    rows = rows.withColumn(at, place(F.col(column)))
+    rows = rows.withColumn(number, F.bitmap_bucket_number(at)).withColumn(at, F.bitmap_bit_position(at))
+    rows = rows.join(F.broadcast(told), number, "left")
+    byte = F.conv(F.hex(F.substring(bits, (F.col(at) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.coalesce(byte.bitwiseAND(F.expr(f"shiftleft(1, cast({at} % 8 as int))")) != 0, F.lit(False))
+    return rows.withColumn(name, held).drop(number, bits, at)
+
+
 def collect_driver(spark: SparkSession) -> None:
     """Collects the garbage of the driver's JVM if its heap has grown over HEAP_SHARE of its limit.
 
