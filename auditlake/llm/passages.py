@@ -3,8 +3,8 @@
 1. A text is cut at anchors: of the 20-byte strings in each run of 31, the one with the lowest hash.
    Every 50-byte string holds an anchor that depends on its own bytes only, so equal 50-byte strings
    have equal anchors. Anchors that only one text has are left out; of the others the bytes around
-   them, all 50-byte strings they stand for, go on as a segment. Equal segments become one row.
-2. Segments of one anchor come together in a task and are sorted by their suffixes. From the
+   them, all 50-byte strings they stand for, go on as a segment.
+2. Segments of one anchor come together in a task, equal ones as one, and are sorted by their suffixes. From the
    Burrows-Wheeler transform, intervals of suffixes with a common prefix are expanded backwards,
    breadth first: round l finds the neighbouring suffixes whose common prefix has length l. The
    expansion stops at the minimum length; neighbours not separated by then share at least 50 bytes.
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.llm.shared import lean, release, small_batches, written
@@ -193,27 +193,24 @@ def earlier_windows(segments: list[bytes], docs: np.ndarray) -> list[np.ndarray]
 # ---- over tables
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts -> their anchors; `place` is the first byte of the anchor's segment and, in the low half, its size."""
     for batch in pieces(batches, "text"):
         data, at = text_bytes(batch.column("text"))
         low, first, last, text = anchors(data, at)
         digest = batch.column("digest").to_numpy()[text]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(low.view(np.int64)), pa.array(digest), pa.array((first - at[text]).astype(np.int32))],
-            ["anchor", "digest", "place"],
-        )
+        place = ((first - at[text]) << 32) + (last + LENGTH - first)
+        yield pa.RecordBatch.from_arrays([pa.array(low.view(np.int64)), pa.array(digest), pa.array(place)], ["anchor", "digest", "place"])
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The segments of a text at the listed places."""
     for batch in pieces(batches, "text"):
         data, at = text_bytes(batch.column("text"))
-        low, first, last, text = anchors(data, at)
         places = batch.column("places")
-        flat = places.flatten().to_numpy() + np.repeat(at[:-1], places.value_lengths().fill_null(0).to_numpy())
-        kept = np.isin(first, flat)
-        low, first, last, text = low[kept], first[kept], last[kept], text[kept]
-        end = last + LENGTH
-        size = end - first
+        flat, count = places.flatten(), places.value_lengths().to_numpy()
+        anchor, place = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+        size, place = place & 0xFFFFFFFF, place >> 32
+        first = place + np.repeat(at[:-1], count)
         offsets = np.concatenate(([0], np.cumsum(size)))
         inside = np.arange(offsets[-1], dtype=np.int32) + np.repeat((first - offsets[:-1]).astype(np.int32), size)
         segment = pa.BinaryArray.from_buffers(
@@ -221,37 +218,52 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(low.view(np.int64)), pa.array(span_hashes(data, first, end).view(np.int64)), segment,
-                pa.array(batch.column("doc_id").to_numpy()[text]), pa.array((first - at[text]).astype(np.int32)),
+                pa.array(anchor), pa.array(span_hashes(data, first, first + size).view(np.int64)), segment,
+                pa.array(np.repeat(batch.column("doc_id").to_numpy(), count)), pa.array(place.astype(np.int32)),
                 pa.array(size.astype(np.int32)),
             ],
             ["anchor", "segment_id", "segment", "doc_id", "place", "size"],
         )
 
 
+def _packed_spans(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return (begin.astype(np.int64) << 32) + end
+
+
+def _runs(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of each run of ascending starts of 50-byte strings that overlap or touch."""
+    cut = np.flatnonzero(np.diff(windows) > LENGTH)
+    return windows[np.concatenate(([0], cut + 1))], windows[np.append(cut, len(windows) - 1)]
+
+
 def _earlier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ordered by anchor -> windows of each segment that a smaller document has."""
+    """Segments ordered by anchor -> (doc_id, span): what their documents lose to smaller ones."""
 
     def solved(rows: pa.Table) -> pa.RecordBatch:
+        key, kind, docs, place, size = (rows.column(c).to_numpy() for c in ("anchor", "segment_id", "doc_id", "place", "size"))
+        order = np.lexsort((docs, kind, key))
+        new = np.ones(len(order), bool)
+        new[1:] = (key[order[1:]] != key[order[:-1]]) | (kind[order[1:]] != kind[order[:-1]])
+        head = order[new]
+        of = np.empty(len(order), np.int64)
+        of[order] = np.cumsum(new) - 1
+        least = docs[head]
+        # A later document loses the whole segment, the first one what even earlier ones have.
+        later = docs > least[of]
+        doc, span = [docs[later]], [_packed_spans(place[later], place[later] + size[later])]
         # An anchor's only segment shares its windows with no other one.
-        key, docs = rows.column("anchor").to_numpy(), rows.column("doc_id").to_numpy()
-        same = key[1:] == key[:-1]
-        several = np.append(same, False) | np.append(False, same)
-        windows = [np.zeros(0, np.int64)] * len(key)
-        if several.any():
-            found = earlier_windows(rows.column("segment").filter(pa.array(several)).to_pylist(), docs[several])
-            for k, w in zip(np.flatnonzero(several).tolist(), found):
-                windows[k] = w
-        count = np.array([len(w) for w in windows])
-        offsets = pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32))
-        flat = pa.array(np.concatenate(windows).astype(np.int32))
-        return pa.RecordBatch.from_arrays(
-            [
-                rows.column("anchor").combine_chunks(), rows.column("segment_id").combine_chunks(),
-                rows.column("doc_id").combine_chunks(), pa.ListArray.from_arrays(offsets, flat),
-            ],
-            ["anchor", "segment_id", "least", "windows"],
-        )
+        same = key[head[1:]] == key[head[:-1]]
+        several = np.flatnonzero(np.append(same, False) | np.append(False, same))
+        if len(several):
+            found = earlier_windows(rows.column("segment").take(pa.array(head[several])).to_pylist(), least[several])
+            runs = {k: _runs(w) for k, w in zip(several.tolist(), found) if len(w)}
+            hit = np.zeros(len(head), bool)
+            hit[list(runs)] = True
+            for row in np.flatnonzero(hit[of] & ~later).tolist():
+                begin, last = runs[of[row]]
+                doc.append(np.repeat(docs[row], len(begin)))
+                span.append(_packed_spans(place[row] + begin, place[row] + last + LENGTH))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(doc)), pa.array(np.concatenate(span))], ["doc_id", "span"])
 
     held, size = [], 0
     for batch in batches:
@@ -276,9 +288,9 @@ def _lost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "text"):
         data, at = text_bytes(batch.column("text"))
         spans = batch.column("spans")
-        flat = spans.flatten()
+        flat = spans.flatten().to_numpy()
         shift = np.repeat(at[:-1], spans.value_lengths().to_numpy())
-        begin, end = (flat.field(k).to_numpy() + shift for k in (0, 1))
+        begin, end = (flat >> 32) + shift, (flat & 0xFFFFFFFF) + shift
         gone = covered(len(data), begin, end)
         starts = gone.copy()
         starts[1:] &= ~gone[:-1]
@@ -299,7 +311,8 @@ def covered(n: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def spread_windows(segments: DataFrame) -> DataFrame:
-    """What _earlier() gives, for anchors with more segments than a task should hold.
+    """(anchor, segment_id, least, windows) of distinct segments, for anchors with more of them than a task should hold:
+    the smallest document of each and the starts of its 50-byte strings that a smaller one has.
 
     Every 50-byte string of a segment is a row; the smallest document of equal strings is taken
     before they are shuffled.
@@ -314,6 +327,19 @@ def spread_windows(segments: DataFrame) -> DataFrame:
     return out.withColumn("windows", F.coalesce("windows", F.array().cast("array<int>")))
 
 
+def _spread_spans(cut: DataFrame) -> DataFrame:
+    """What _earlier() gives, by spread_windows()."""
+    distinct = cut.groupBy("anchor", "segment_id").agg(F.min("doc_id").alias("doc_id"), F.first("segment").alias("segment"))
+    rows = cut.select("anchor", "segment_id", "doc_id", "place", "size").join(spread_windows(distinct), ["anchor", "segment_id"])
+
+    def span(begin: Column, end: Column) -> Column:
+        return F.shiftleft(begin.cast("long"), 32) + end
+
+    whole = F.array(span(F.col("place"), F.col("place") + F.col("size")))
+    own = F.transform("windows", lambda w: span(F.col("place") + w, F.col("place") + w + LENGTH))
+    return rows.select("doc_id", F.explode(F.when(F.col("doc_id") > F.col("least"), whole).otherwise(own)).alias("span"))
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for every row of documents (doc_id, text).
 
@@ -333,38 +359,33 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     known = facts.where(F.col("doc_id").isNotNull())
     first = written(known.groupBy("sha256").agg(F.min("doc_id").alias("first"), F.first("digest").alias("digest")), "first")
 
-    # Anchors that at least two different texts have, as places by text.
+    # Anchors that at least two different texts have, as places by text. Both readers of the shuffle ask for all
+    # its columns, and nulls, of which there are none, are left out by name: so it is one and the same, made once.
     found = docs.where(F.octet_length("text") >= LENGTH).select("doc_id", "text", F.xxhash64("text").alias("digest"))
-    rows = found.select("text", "digest").mapInArrow(lean(_anchor_rows), "anchor long, digest long, place int")
+    rows = found.select("text", "digest").mapInArrow(lean(_anchor_rows), "anchor long, digest long, place long")
+    rows = rows.where("anchor is not null and digest is not null")
     rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "anchor")
-    # Both readers of the shuffle ask for all its columns, so that it is one and the same.
     several = rows.groupBy("anchor").agg(F.min("digest").alias("low"), F.max("digest").alias("high"), F.count("place").alias("n"))
     several = several.where("low <> high and n > 0").select("anchor")
     # Both sides are dealt by anchor already; the smaller one is hashed, so that nothing is sorted.
-    places = rows.join(several.hint("shuffle_hash"), "anchor").groupBy("digest").agg(F.collect_set("place").alias("places"))
-    places = written(places.join(first, "digest").select(F.col("first").alias("doc_id"), "places"), "places")
-    texts = docs.join(places, "doc_id").dropDuplicates(["doc_id"])
+    places = rows.join(several.hint("shuffle_hash"), "anchor").groupBy("digest").agg(F.collect_set(F.struct("anchor", "place")).alias("places"))
+    places = written(places.join(first, "digest").select(F.col("first").alias("doc_id"), F.col("digest").alias("of"), "places"), "places")
+    # Places are those of one text; the comparison is no equality, so that the tables meet by doc_id alone.
+    texts = docs.join(places, "doc_id").where(F.xxhash64("text").bitwiseXOR(F.col("of")) == 0).dropDuplicates(["doc_id"])
 
-    # One row for each different segment, with the smallest document that has it.
+    # Segments of an anchor meet in one task, or string by string where they are too many for that.
     kinds = "anchor long, segment_id long, segment binary, doc_id long, place int, size int"
-    cut = written(texts.mapInArrow(lean(_segments), kinds), "cut")
+    cut = written(texts.select("doc_id", "text", "places").mapInArrow(lean(_segments), kinds), "cut")
     release(places)
-    distinct = cut.groupBy("anchor", "segment_id").agg(F.min("doc_id").alias("doc_id"), F.first("segment").alias("segment"))
-    distinct = written(distinct, "distinct")
-    size = distinct.groupBy("anchor").agg(F.sum(F.octet_length("segment")).alias("bytes"))
+    size = cut.groupBy("anchor").agg(F.sum("size").alias("bytes"))
     large = written(size.where(F.col("bytes") > ANCHOR_BYTES).select("anchor"), "large")
-    blocks = distinct.join(large, "anchor", "left_anti")
+    blocks = cut.join(F.broadcast(large), "anchor", "left_anti")
     blocks = blocks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "anchor").sortWithinPartitions("anchor")
-    earlier = blocks.mapInArrow(lean(_earlier), "anchor long, segment_id long, least long, windows array<int>")
-    earlier = written(earlier.unionByName(spread_windows(distinct.join(large, "anchor"))), "earlier")
-    release(distinct)
-
-    # A later document loses the whole segment, the first one what even earlier ones have.
-    spans = cut.select("anchor", "segment_id", "doc_id", "place", "size").join(earlier, ["anchor", "segment_id"])
-    later = F.array(F.struct(F.col("place").alias("begin"), (F.col("place") + F.col("size")).alias("end")))
-    own = F.transform("windows", lambda w: F.struct((F.col("place") + w).alias("begin"), (F.col("place") + w + LENGTH).alias("end")))
-    spans = spans.withColumn("spans", F.when(F.col("doc_id") > F.col("least"), later).otherwise(own)).where(F.size("spans") > 0)
-    by_doc = spans.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    spans = blocks.mapInArrow(lean(_earlier), "doc_id long, span long")
+    spans = written(spans.union(_spread_spans(cut.join(F.broadcast(large), "anchor"))), "spans")
+    release(cut)
+
+    by_doc = spans.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
     lost = docs.join(by_doc, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "spans")
     lost = lost.mapInArrow(lean(_lost), "doc_id long, n_removed long, n_spans long, kept_sha256 string")
 

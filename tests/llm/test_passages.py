@@ -107,3 +107,26 @@ def test_memory_of_the_transform():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 60 * sum(map(len, segments)), peak
+
+
+def test_anchors_are_found_once(spark, monkeypatch):
+    """The shuffle of anchors is made once for both of its readers, and anchors are not looked for again in texts that share some."""
+    rng = random.Random(7)
+    passage = words(rng, 40)
+    docs = spark.createDataFrame([(i, words(rng, 40) + passage + words(rng, 9)) for i in range(20)], "doc_id long, text string")
+    plans = {}
+    kept = passages_module.written
+
+    def told(rows, name):
+        plans[name] = kept(rows, name) if name != "places" else None
+        if name == "places":
+            rows.collect()
+            plan = rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+            plans["anchors"] = plan.count("ReusedExchange") + plan.count("ReusedQueryStage")
+            plans[name] = kept(rows, name)
+        return plans[name]
+
+    monkeypatch.setattr(passages_module, "written", told)
+    assert repeated_passages(docs).where("n_removed > 0").count() == 19
+    assert plans["anchors"] > 0
+    assert plans["spans"].columns == ["doc_id", "span"]
