@@ -31,7 +31,8 @@ from auditlake.llm.texts import _INVERSE, _PRIME, _power, mixed, pieces, text_by
 
 BLANK = 0x2581
 LONG = 48
-CHUNK = 1 << 20
+#: Bytes of text cut together: a worker holds some hundred bytes for each, beside the executor's JVM.
+CHUNK = 1 << 18
 KEPT = 400_000
 _FAR = np.int64(1) << 40
 _MASK = (1 << 64) - 1

@@ -35,6 +35,9 @@ _SIZE = len(_TOKEN) + 1  # 0 is any other character
 _CLASS = np.zeros(256, np.int64)
 _CLASS[list(_TOKEN.encode())] = np.arange(1, _SIZE)
 
+#: Bytes of text scanned together: a worker holds about a hundred bytes for each, beside the executor's JVM.
+CHUNK = 1 << 18
+
 #: Runs from this length on are scored; a random one reaches both bounds (natural logarithms).
 LEAST_RUN, LEAST_TOTAL, LEAST_MEAN = 16, 20.0, 0.7
 #: Generated random strings: so many of 32 characters from each alphabet.
@@ -108,7 +111,7 @@ def piece_spans(column: pa.Array) -> tuple[list, list, list[str], np.ndarray]:
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ordinary, labelled = np.zeros(_SIZE**2, np.int64), np.zeros(_SIZE**2, np.int64)
-    for batch in pieces(batches, "text"):
+    for batch in pieces(batches, "text", CHUNK):
         bases, runs, secrets, pairs = piece_spans(batch.column("text"))
         ordinary += pairs
         labelled += pair_counts(secrets)
@@ -227,7 +230,7 @@ def without_secrets(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     ratio = train(pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", CHUNK):
             bases, runs, _, _ = piece_spans(batch.column("text"))
             texts = batch.column("text").to_pylist()
             for k, (base, found) in enumerate(zip(bases, runs)):

@@ -92,6 +92,17 @@ def collect_driver(spark: SparkSession) -> None:
         spark._jvm.java.lang.System.gc()
 
 
+def collect_executors(spark: SparkSession) -> None:
+    """Has every executor's JVM collect its garbage and give the heap that it does not use back to the machine.
+
+    A JVM that has grown in shuffles keeps its heap, and what buffers outside it the garbage still holds,
+    up to its limit; the Python workers of the stages that follow need memory beside it.
+    """
+    tasks = spark.sparkContext.defaultParallelism  # one for each core, all at once
+    rows = spark.range(0, tasks, 1, tasks).select(F.java_method(F.lit("java.lang.System"), F.lit("gc")).alias("done"))
+    rows.write.format("noop").mode("overwrite").save()
+
+
 def trim() -> None:
     """Gives the memory that this Python process does not use back to the machine."""
     pa.default_memory_pool().release_unused()
