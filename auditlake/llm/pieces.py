@@ -38,7 +38,39 @@ _FAR = np.int64(1) << 40
 _MASK = (1 << 64) - 1
 
 
-class Model:
+class MergeTable:
+    """Rank and result of each pair of symbols that merges, in a table of hashed places.
+
+    A key lies at its place or in the run of keys after it.
+    """
+
+    def __init__(self, merges: dict[tuple[int, int], tuple[int, int]]):
+        keys = np.array([(a << 21) + b for a, b in merges], np.int64)
+        self.shift = np.uint64(64 - max(4, int(4 * len(keys)).bit_length()))
+        room = (1 << (64 - int(self.shift))) + len(keys) + 1
+        self.keys, self.ranks, self.into = np.full(room, -1), np.full(room, _FAR), np.zeros(room, np.int64)
+        for at, k, (rank, into) in zip(self._place(keys).tolist(), keys.tolist(), merges.values()):
+            while self.keys[at] >= 0:
+                at += 1
+            self.keys[at], self.ranks[at], self.into[at] = k, rank, into
+
+    def _place(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(_PRIME)) >> self.shift).astype(np.int64)
+
+    def lookup(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and symbol of each merge; rank _FAR where there is none."""
+        key = (left << 21) + right
+        at = self._place(key)
+        open_ = np.flatnonzero((self.keys[at] != key) & (self.keys[at] >= 0))
+        while len(open_):
+            at[open_] += 1
+            have = self.keys[at[open_]]
+            open_ = open_[(have != key[open_]) & (have >= 0)]
+        # An empty place has rank _FAR.
+        return self.ranks[at], self.into[at]
+
+
+class Model(MergeTable):
     """Pieces, scores and byte pieces of a model file, as tables over symbols.
 
     Symbols 0.. are the model's pieces; further ones are characters that are no piece.
@@ -69,15 +101,7 @@ class Model:
                     self.merges[a, b] = (rank_of[model.get_score(i)], i)
         self.first_unknown = size + len(extra)
         self.known = Known()
-        # Merges in a table of hashed places: a key lies at its place or in the run of keys after it.
-        keys = np.array([(a << 21) + b for a, b in self.merges], np.int64)
-        self.shift = np.uint64(64 - max(4, int(4 * len(keys)).bit_length()))
-        room = (1 << (64 - int(self.shift))) + len(keys) + 1
-        self.keys, self.ranks, self.into = np.full(room, -1), np.full(room, _FAR), np.zeros(room, np.int64)
-        for at, k, (rank, into) in zip(self._place(keys).tolist(), keys.tolist(), self.merges.values()):
-            while self.keys[at] >= 0:
-                at += 1
-            self.keys[at], self.ranks[at], self.into[at] = k, rank, into
+        super().__init__(self.merges)
         chars = sorted(self.symbol)
         self.chars = np.array([ord(c) for c in chars], np.int64)
         self.char_symbols = np.array([self.symbol[c] for c in chars], np.int64)
@@ -94,21 +118,6 @@ class Model:
         at = np.minimum(np.searchsorted(self.chars, points), len(self.chars) - 1)
         return np.where(self.chars[at] == points, self.char_symbols[at], self.first_unknown + points)
 
-    def _place(self, key: np.ndarray) -> np.ndarray:
-        return ((key.astype(np.uint64) * np.uint64(_PRIME)) >> self.shift).astype(np.int64)
-
-    def lookup(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank and symbol of each merge; rank _FAR where there is none."""
-        key = (left << 21) + right
-        at = self._place(key)
-        open_ = np.flatnonzero((self.keys[at] != key) & (self.keys[at] >= 0))
-        while len(open_):
-            at[open_] += 1
-            have = self.keys[at[open_]]
-            open_ = open_[(have != key[open_]) & (have >= 0)]
-        # An empty place has rank _FAR.
-        return self.ranks[at], self.into[at]
-
 
 @cache
 def load(path: str) -> Model:
@@ -152,7 +161,7 @@ def agenda(model: Model, symbols: list[int], unit_key: int, dropout: float) -> l
     return out
 
 
-def rounds(model: Model, symbols: np.ndarray, first: np.ndarray, unit_key: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
+def rounds(model: MergeTable, symbols: np.ndarray, first: np.ndarray, unit_key: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
     """Many units side by side: final symbols of all units in order, and their number in each.
 
     `first` holds the n + 1 offsets of the units in `symbols`.

@@ -8,7 +8,8 @@ A short word holds two lists: the boundaries of its parts and the rank of each a
 lowest rank, leftmost first, is found by a scan; its inner boundary is deleted and the ranks on
 either side are refreshed. A scan is a pass over a few numbers, which beats any ordered structure
 while words are short; words of more than LONG bytes use a heap of candidates with equal results.
-Words met before are looked up, up to KEPT of them.
+The new words of texts that come together have their arrays one after another and are cut side by
+side. Words met before are looked up, up to KEPT of them.
 
 Decoding joins the tokens of the ids with blanks, word ends included, as the file names no decoder.
 """
@@ -26,16 +27,21 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from auditlake.llm.pieces import MergeTable, rounds
 from auditlake.llm.shared import small_batches
+from auditlake.llm.texts import pieces
 
 LONG = 128
 KEPT = 200_000
+#: Bytes of text whose new words are cut side by side, from so many words on.
+CHUNK, LEAST = 1 << 19, 32
 #: Texts are read in slices of about this many characters that end before a blank.
 SLICE = 1 << 20
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same on lower-case ASCII.
+_ASCII_WORD = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 _NEVER = 1 << 60
 _BLANK = re.compile(r"[\t\n\x0b\x0c\r ]")
-_SIGMA = str.maketrans("Σ", "σ")  # lower case goes by character: no final form
 
 
 def _spelling() -> list[str]:
@@ -60,6 +66,14 @@ class WordBpe:
         self.tokens = {i: t for t, i in (self.vocab | self.special).items()}
         self.cut = regex.compile(WORD)
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
+        # Symbols as numbers: a token's is its id, those that are no token follow.
+        symbols, self.size = dict(self.vocab), max(self.vocab.values()) + 1
+
+        def number(symbol: str) -> int:
+            return symbols.setdefault(symbol, self.size + len(symbols))
+
+        self.inner, self.last = (np.array([number(self.letter[b] + end) for b in range(256)]) for end in ("", self.end))
+        self.table = MergeTable({(number(a), number(b)): (k, number(a + b)) for (a, b), k in self.ranks.items()})
         self.path, self.file = path, None
         self.known = _Known(self)
 
@@ -85,6 +99,19 @@ class WordBpe:
                 ranks[i] = self.ranks.get((middle, spelled[bounds[i + 1] : bounds[i + 2]]), _NEVER)
         return [self.vocab[spelled[a:b]] for a, b in zip(bounds, bounds[1:])]
 
+    def side_by_side(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of each word of at most LONG bytes, by the rank arrays of all of them at once."""
+        raw = [(w, x) for w in words if len(x := w.encode()) <= LONG]
+        data = np.frombuffer(b"".join(x for _, x in raw), np.uint8)
+        first = np.concatenate(([0], np.cumsum([len(x) for _, x in raw], dtype=np.int64)))
+        symbols = self.inner[data]
+        symbols[first[1:] - 1] = self.last[data[first[1:] - 1]]
+        final, count = rounds(self.table, symbols, first, np.zeros(0, np.uint64), 0.0)
+        if len(final) and final.max() >= self.size:
+            raise KeyError("a symbol that is no token")
+        ids, at = final.astype("<u4").tobytes(), (4 * np.concatenate(([0], np.cumsum(count)))).tolist()
+        return {w: ids[a:b] for (w, _), a, b in zip(raw, at, at[1:])}
+
     def long(self, word: str) -> list[int]:
         """Ids of a word by a heap of candidate merges."""
         parts, _ = self.pairs(word)
@@ -108,10 +135,11 @@ class WordBpe:
     def words(self, text: str) -> list[str]:
         """Words of a text without special tokens."""
         if text.isascii():
-            return self.cut.findall(text.lower())
+            return _ASCII_WORD.findall(text.lower())
         if any(unicodedata.category(c) == "Cn" for c in set(text)):
             return self._words_of_file(text)
-        return self.cut.findall(unicodedata.normalize("NFC", text).translate(_SIGMA).lower())
+        # Lower case goes by character: no final sigma.
+        return self.cut.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
     def _words_of_file(self, text: str) -> list[str]:
         """For characters younger than this Python's tables: the file's own normaliser and pattern."""
@@ -123,17 +151,33 @@ class WordBpe:
         found = self.file.pre_tokenizer.pre_tokenize_str(self.file.normalizer.normalize_str(text))
         return [bytes(back[ord(c)] for c in w).decode() for w, _ in found]
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit numbers."""
-        out = []
+    def parts(self, text: str) -> Iterator[bytes | list[str]]:
+        """The ids of special tokens, and between them the words of each slice."""
         for k, part in enumerate(self.at_special.split(text)):
             if k % 2:
-                out.append(np.array([self.special[part]], "<u4").tobytes())
-                continue
-            for piece in _slices(part):
-                out.append(b"".join(map(self.known.__getitem__, self.words(piece))))
+                yield np.array([self.special[part]], "<u4").tobytes()
+            else:
+                yield from map(self.words, _slices(part))
+
+    def told(self, parts: list[bytes | list[str]]) -> bytes:
+        return b"".join(x if isinstance(x, bytes) else b"".join(map(self.known.__getitem__, x)) for x in parts)
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a text as little-endian unsigned 32-bit numbers, slice by slice."""
+        out = []
+        for part in self.parts(text):
+            self.known.learn([part])
+            out.append(self.told([part]))
         return b"".join(out)
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """encode() of each text; several texts are held as words at once."""
+        if len(texts) == 1:
+            return [self.encode(texts[0])]
+        found = [list(self.parts(t)) for t in texts]
+        self.known.learn([part for parts in found for part in parts])
+        return [self.told(parts) for parts in found]
+
     def decode(self, ids: np.ndarray) -> str:
         """The tokens of some ids, joined by blanks; ids that no token has are left out."""
         try:
@@ -149,6 +193,17 @@ class _Known(dict):
         super().__init__()
         self.bpe = bpe
 
+    def learn(self, parts: list[bytes | list[str]]) -> None:
+        """Cuts the new words of some parts side by side, if they are many."""
+        words = set().union(*(x for x in parts if not isinstance(x, bytes)))
+        new = [w for w in words if w not in self]
+        if len(new) < LEAST or len(words) > KEPT:
+            return
+        if len(self) + len(new) > KEPT:
+            self.clear()
+            new = list(words)
+        self.update(self.bpe.side_by_side(new))
+
     def __missing__(self, word: str) -> bytes:
         size = len(word.encode())
         ids = np.array(self.bpe.short(word) if size <= LONG else self.bpe.long(word), "<u4").tobytes()
@@ -195,8 +250,8 @@ def word_ids(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for batch in batches:
-            ids = [bpe.encode(t.as_py() or "") for t in batch.column("text")]
+        for batch in pieces(batches, "text", CHUNK):
+            ids = bpe.encode_all([t or "" for t in batch.column("text").to_pylist()])
             count = pa.array([len(x) // 4 for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), count, pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
